@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window over event time or state
+(its only time-based behavior is a one-hour result cache).  All three
+analyses are batch DataFrame plans; nothing here is needed to reproduce them.
+"""
