@@ -55,7 +55,7 @@ def report_period(col: str | Column = "report_month") -> Column:
     c = F.col(col) if isinstance(col, str) else col
     y = F.split_part(c, F.lit("_"), F.lit(1)).try_cast("int")
     m = F.split_part(c, F.lit("_"), F.lit(2)).try_cast("int")
-    ok = y.isNotNull() & m.between(1, 12)
+    ok = c.rlike(r"^[0-9]{3}_[0-9]{2}$") & m.between(1, 12)
     return F.when(ok, F.make_date(y + MINGUO_OFFSET, m, F.lit(1)))
 
 
