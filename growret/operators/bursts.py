@@ -42,7 +42,7 @@ def burst_distribution(
     price: str = "year_close",
     half_even: bool = False,
     single_std_zero: bool = False,
-    quantiles: str = "sort",
+    quantiles: str = "auto",
 ) -> DataFrame:
     """Return distribution per hit count, 1 decimal.
 
@@ -201,7 +201,7 @@ def multi_year_stats(
     back: int = 2,
     ahead: int = 1,
     cap: int | None = None,
-    quantiles: str = "sort",
+    quantiles: str = "auto",
 ) -> DataFrame:
     """Returns of the hit entities in years y-back .. y+ahead, per hit count
     and year: mean, median (1 decimal, half-even) and n (F6, J7, J8, G26, C3).

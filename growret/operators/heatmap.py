@@ -53,7 +53,7 @@ def heatmap_cells(
     metric: str = "yoy_pct",
     stat: str = "median",
     price: str = "year_close",
-    quantiles: str = "sort",
+    quantiles: str = "auto",
 ) -> DataFrame:
     """One row per (bin, report month): the chosen statistic ``val``, the
     distinct symbols, the data points and the row-weighted mean return
@@ -107,7 +107,7 @@ def bin_summary(
     year,
     metric: str = "yoy_pct",
     price: str = "year_close",
-    quantiles: str = "sort",
+    quantiles: str = "auto",
 ) -> DataFrame:
     """Twelve statistics per bin over all its entity-months."""
     j = binned_months(annual, revenue, year=year, metric=metric, price=price)

@@ -18,6 +18,14 @@ third of all rows lands in one task's memory.  The ``sort`` strategy instead
 Nothing but a handful of rows per group ever meets in one task.  ``hash`` is
 the built-in aggregate (right for groups of bounded size, e.g. per entity),
 ``approx`` the mergeable sketch ``percentile_approx``.
+
+``auto`` (the default) is the size-checked choice, like a broadcast
+threshold: one count job bounds the input; when the *whole* input has at
+most ``spark.growret.quantile.hashRows`` rows (default one million), no
+group can be larger, and the built-in aggregate's per-group map is bounded
+by that, so ``hash`` runs; beyond it, ``sort``.  The check costs one
+counting pass over the input; a caller who knows the input is large passes
+``sort`` and skips it.
 """
 
 from __future__ import annotations
@@ -27,8 +35,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRATEGIES = ("sort", "hash", "approx")
+STRATEGIES = ("auto", "sort", "hash", "approx")
 BROADCAST_GROUP_BOUND = 100_000
+HASH_ROWS = 1_000_000
+HASH_ROWS_CONF = "spark.growret.quantile.hashRows"
+
+
+def choose_strategy(base: DataFrame) -> str:
+    """``hash`` when the input is provably small enough, else ``sort``."""
+    limit = int(base.sparkSession.conf.get(HASH_ROWS_CONF, str(HASH_ROWS)))
+    # a plain count: every task sends one partial count, so no row moves
+    return "hash" if base.count() <= limit else "sort"
 
 
 def _eq(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -41,7 +58,7 @@ def group_quantiles(
     value: str | Column,
     probs: dict[str, float],
     *,
-    strategy: str = "sort",
+    strategy: str = "auto",
     max_groups: int | None = None,
     num_partitions: int | None = None,
     accuracy: int = 10_000,
@@ -56,6 +73,8 @@ def group_quantiles(
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if strategy == "auto":
+        strategy = choose_strategy(base)
 
     if strategy == "hash":
         aggs = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]

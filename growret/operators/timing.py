@@ -128,7 +128,7 @@ def stage_values(study: DataFrame) -> DataFrame:
     return u.withColumn("stage_no", no)
 
 
-def stage_means(study: DataFrame, *, quantiles: str = "sort") -> DataFrame:
+def stage_means(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
     """Mean, median (2 decimals) and count per stage; zeros when a stage is empty."""
     v = stage_values(study)
     g = v.groupBy("stage_no", "stage").agg(F.avg("ret").alias("_mean"), F.count("ret").alias("n"))
@@ -146,7 +146,7 @@ def stage_means(study: DataFrame, *, quantiles: str = "sort") -> DataFrame:
     )
 
 
-def stage_stats(study: DataFrame, *, quantiles: str = "sort") -> DataFrame:
+def stage_stats(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
     """Advanced statistics per stage with at least two values.
 
     Skew and kurtosis are the bias-adjusted estimators; CV and tail ratio are
@@ -250,7 +250,7 @@ def stage_histogram(study: DataFrame, *, bins: int = 25) -> DataFrame:
     )
 
 
-def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5, quantiles: str = "sort") -> DataFrame:
+def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5, quantiles: str = "auto") -> DataFrame:
     """Events whose stage return lies strictly outside [q25 - k IQR, q75 + k IQR];
     stages with fewer than four values report none (C2)."""
     v = stage_values(study).filter(F.col("ret").isNotNull())

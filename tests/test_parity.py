@@ -65,3 +65,21 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns[:3] == ["return_bin", "bin_order", "report_month"]
     assert df.count() > 0
+
+
+SORT_KEYS = ["heatmap_median", "heatmap_iqr", "bin_summary", "burst_distribution", "multi_year_stats",
+             "stage_stats", "stage_outliers"]
+
+
+@pytest.mark.parametrize("key", SORT_KEYS)
+def test_sort_quantile_path_matches_oracle(spark, con, key):
+    """Force the skew-safe sort strategy (threshold 0) and compare again."""
+    from growret.operators.quantiles import HASH_ROWS_CONF
+
+    spark.conf.set(HASH_ROWS_CONF, "0")
+    try:
+        s = E.queries()[key](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.unset(HASH_ROWS_CONF)
+    d = con.execute(E.oracle_sql()[key]).df()
+    assert _norm(s) == _norm(d)
