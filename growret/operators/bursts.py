@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from growret.functions import stats
 from growret.functions.periods import reporting_window
 from growret.functions.returns import annual_returns, pct_change
-from growret.operators.quantiles import group_quantiles
+from growret.operators.quantiles import grouped_with_quantiles
 
 MAX_HITS = 13  # at most 13 report months in any window
 
@@ -51,7 +51,7 @@ def burst_distribution(
     A NULL return counts in the share denominators (Q15).
     """
     j = hit_returns(hits, annual, year=year, price=price)
-    g = j.groupBy("hits").agg(
+    aggs = [
         F.count(F.lit(1)).alias("stock_count"),
         F.avg("ret").alias("_mean"),
         stats.share_above("ret", 20).alias("_win"),
@@ -59,15 +59,14 @@ def burst_distribution(
         F.min("ret").alias("_min"),
         F.max("ret").alias("_max"),
         F.stddev_samp("ret").alias("_std"),
-    )
-    q = group_quantiles(j, ["hits"], "ret", {"_med": 0.5}, strategy=quantiles, max_groups=MAX_HITS)
+    ]
+    g = grouped_with_quantiles(j, ["hits"], aggs, "ret", {"_med": 0.5}, strategy=quantiles, max_groups=MAX_HITS)
     rnd = stats.round_half_even if half_even else stats.round_half_up
     std = F.col("_std")
     if single_std_zero:
         std = F.when(F.col("stock_count") == 1, F.lit(0.0)).otherwise(std)
     return (
-        g.join(q, "hits", "left")
-        .select(
+        g.select(
             "hits",
             "stock_count",
             rnd("_mean", 1).alias("mean_ret"),
@@ -217,12 +216,12 @@ def multi_year_stats(
     yrs = annual_returns(annual, years=(y - back, y + ahead), price=price).select("stock_id", "year", "annual_return")
     j = h.join(yrs, "stock_id", "inner")
     keys = ["hits", "year"]
-    g = j.groupBy(*keys).agg(F.avg("annual_return").alias("_mean"), F.count(F.lit(1)).alias("n"))
-    q = group_quantiles(
-        j, keys, "annual_return", {"_med": 0.5}, strategy=quantiles, max_groups=MAX_HITS * (back + ahead + 1)
+    g = grouped_with_quantiles(
+        j, keys, [F.avg("annual_return").alias("_mean"), F.count(F.lit(1)).alias("n")], "annual_return",
+        {"_med": 0.5}, strategy=quantiles, max_groups=MAX_HITS * (back + ahead + 1),
     )
     rnd = stats.round_half_even
-    return g.join(q, keys, "left").select(
+    return g.select(
         "hits", "year", rnd("_mean", 1).alias("mean_ret"), rnd("_med", 1).alias("median_ret"), "n"
     )
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from growret.functions import stats
 from growret.functions.periods import reporting_window, window_months
 from growret.functions.returns import LAST_DOWN_BIN, TOP_BIN, bin_label, return_bins
-from growret.operators.quantiles import group_quantiles
+from growret.operators.quantiles import grouped_with_quantiles
 
 METRICS = ("yoy_pct", "mom_pct")
 MAX_CELLS = (TOP_BIN + 1) * 13
@@ -54,6 +54,7 @@ def heatmap_cells(
     stat: str = "median",
     price: str = "year_close",
     quantiles: str = "auto",
+    ordered: bool = True,
 ) -> DataFrame:
     """One row per (bin, report month): the chosen statistic ``val``, the
     distinct symbols, the data points and the row-weighted mean return
@@ -67,13 +68,14 @@ def heatmap_cells(
         F.avg("annual_return").alias("avg_annual_return"),
     ]
     if stat in stats.QUANTILE_STATS:
-        cells = j.groupBy(*keys).agg(*base_aggs)
-        q = group_quantiles(j, keys, "m", stats.QUANTILE_STATS[stat], strategy=quantiles, max_groups=MAX_CELLS)
+        cells = grouped_with_quantiles(
+            j, keys, base_aggs, "m", stats.QUANTILE_STATS[stat], strategy=quantiles, max_groups=MAX_CELLS
+        )
         val = F.col("val") if stat == "median" else F.col("_q75") - F.col("_q25")
-        cells = cells.join(q, keys, "left").withColumn("val", val)
+        cells = cells.withColumn("val", val)
     else:
         cells = j.groupBy(*keys).agg(stats.simple_stat(stat, "m").alias("val"), *base_aggs)
-    return cells.select(
+    out = cells.select(
         bin_label("bin_order").alias("return_bin"),
         "bin_order",
         "report_month",
@@ -83,7 +85,17 @@ def heatmap_cells(
         "avg_annual_return",
         F.lit(stat).alias("stat_method"),
         F.lit(stats.STAT_LABELS[stat]).alias("stat_label"),
-    ).orderBy("bin_order", "report_month")
+    )
+    return out.orderBy("bin_order", "report_month") if ordered else out
+
+
+def cell_counts(annual: DataFrame, revenue: DataFrame, *, year, metric: str = "yoy_pct", price: str = "year_close") -> DataFrame:
+    """Distinct symbols and data points per (bin, report month), without any
+    statistic: what the totals and findings need (G10, G11)."""
+    j = binned_months(annual, revenue, year=year, metric=metric, price=price)
+    return j.groupBy("bin_order", "report_month").agg(
+        F.count_distinct("symbol").alias("stock_count"), F.count("m").alias("data_points")
+    )
 
 
 def month_column(report_month: str) -> str:
@@ -112,7 +124,7 @@ def bin_summary(
     """Twelve statistics per bin over all its entity-months."""
     j = binned_months(annual, revenue, year=year, metric=metric, price=price)
     keys = ["bin_order"]
-    g = j.groupBy(*keys).agg(
+    aggs = [
         F.count_distinct("symbol").alias("stock_count"),
         F.avg("annual_return").alias("avg_annual_return"),
         F.avg("m").alias("_mean"),
@@ -121,14 +133,13 @@ def bin_summary(
         F.max("m").alias("_max"),
         stats.cv_signed("m").alias("_cv"),
         stats.positive_share("m").alias("_pos"),
-    )
-    q = group_quantiles(
-        j, keys, "m", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75}, strategy=quantiles, max_groups=TOP_BIN + 1
+    ]
+    g = grouped_with_quantiles(
+        j, keys, aggs, "m", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75}, strategy=quantiles, max_groups=TOP_BIN + 1
     )
     r2 = stats.round_half_up
     return (
-        g.join(q, keys, "left")
-        .select(
+        g.select(
             bin_label("bin_order").alias("return_bin"),
             "bin_order",
             "stock_count",
@@ -175,12 +186,22 @@ def heatmap_totals(cells: DataFrame) -> DataFrame:
     )
 
 
-def bin_findings(summary: DataFrame, cells: DataFrame) -> DataFrame:
+def bin_findings(
+    annual: DataFrame, revenue: DataFrame, *, year, metric: str = "yoy_pct", price: str = "year_close"
+) -> DataFrame:
     """Worst down bin, best up bin and the down / up shares as one row (C4,
     G39, G40, F25).  Ties go to the lower bin order, like a first-match scan
-    of the bin-ordered table."""
-    per_bin = cells.groupBy("bin_order").agg(F.max("stock_count").alias("mx"))
-    s = summary.join(per_bin, "bin_order", "left")
+    of the bin-ordered table.  Only counts, means and a positive share per
+    bin are needed, so no percentile is computed."""
+    j = binned_months(annual, revenue, year=year, metric=metric, price=price)
+    per_bin = j.groupBy("bin_order").agg(
+        F.count_distinct("symbol").alias("stock_count"),
+        F.avg("annual_return").alias("avg_annual_return"),
+        stats.round_half_up(stats.positive_share("m"), 1).alias("positive_rate"),
+    )
+    per_cell = cell_counts(annual, revenue, year=year, metric=metric, price=price)
+    mx = per_cell.groupBy("bin_order").agg(F.max("stock_count").alias("mx"))
+    s = per_bin.join(mx, "bin_order", "left").withColumn("return_bin", bin_label("bin_order"))
     down = F.col("bin_order") <= LAST_DOWN_BIN
     up = ~down
     worst_key = F.struct(F.col("avg_annual_return"), F.col("bin_order"))

@@ -123,3 +123,42 @@ def group_quantiles(
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outs.append((lo + (ps - F.floor(ps)) * (hi - lo)).alias(name))
     return g.select(*keys, *outs)
+
+
+def grouped_with_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    aggs: list[Column],
+    value: str | Column,
+    probs: dict[str, float],
+    *,
+    strategy: str = "auto",
+    max_groups: int | None = None,
+) -> DataFrame:
+    """keys, ``aggs`` and the percentile columns of ``probs`` per group.
+
+    On the hash / approx path the percentiles join the other aggregates in a
+    single grouped aggregation (one pass over ``df``); on the sort path they
+    come from :func:`group_quantiles` and are joined on the keys (both sides
+    have one row per group).
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    if strategy == "auto":
+        strategy = choose_strategy(df)
+    v = F.col(value) if isinstance(value, str) else value
+    if strategy in ("hash", "approx"):
+        qf = (lambda p: F.percentile(v, F.lit(p))) if strategy == "hash" else (lambda p: F.percentile_approx(v, F.lit(p), 10_000))
+        allaggs = list(aggs) + [qf(p).alias(name) for name, p in probs.items()]
+        return df.groupBy(*keys).agg(*allaggs) if keys else df.agg(*allaggs)
+    g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    q = group_quantiles(df, keys, v, probs, strategy="sort", max_groups=max_groups)
+    if not keys:
+        return _single_row_join(g, q)
+    return g.join(q, keys, "left")
+
+
+def _single_row_join(g: DataFrame, q: DataFrame) -> DataFrame:
+    """Attach the one-row quantile frame to the one-row aggregate frame."""
+    key = F.lit(0)
+    return g.withColumn("_one", key).join(q.withColumn("_one", key), "_one", "left").drop("_one")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from growret.functions import stats
 from growret.functions.periods import announcement_date, reporting_window, year_months
 from growret.functions.returns import weekly_returns
-from growret.operators.quantiles import group_quantiles
+from growret.operators.quantiles import grouped_with_quantiles
 
 # Stage windows in days around the announcement date, as
 # (name, low, low inclusive, high, high inclusive), and the pre-month scale.
@@ -131,12 +131,13 @@ def stage_values(study: DataFrame) -> DataFrame:
 def stage_means(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
     """Mean, median (2 decimals) and count per stage; zeros when a stage is empty."""
     v = stage_values(study)
-    g = v.groupBy("stage_no", "stage").agg(F.avg("ret").alias("_mean"), F.count("ret").alias("n"))
-    q = group_quantiles(v, ["stage"], "ret", {"_med": 0.5}, strategy=quantiles, max_groups=len(STAGES))
+    g = grouped_with_quantiles(
+        v, ["stage_no", "stage"], [F.avg("ret").alias("_mean"), F.count("ret").alias("n")], "ret", {"_med": 0.5},
+        strategy=quantiles, max_groups=len(STAGES),
+    )
     r2 = stats.round_half_even
     return (
-        g.join(q, "stage", "left")
-        .select(
+        g.select(
             "stage_no", "stage",
             F.coalesce(r2("_mean", 2), F.lit(0.0)).alias("mean"),
             F.coalesce(r2("_med", 2), F.lit(0.0)).alias("median"),
@@ -152,7 +153,7 @@ def stage_stats(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
     Skew and kurtosis are the bias-adjusted estimators; CV and tail ratio are
     +infinity when their denominator is 0; classes use the rounded values."""
     v = stage_values(study).filter(F.col("ret").isNotNull())
-    g = v.groupBy("stage_no", "stage").agg(
+    aggs = [
         F.count("ret").alias("data_points"),
         F.avg("ret").alias("_mean"),
         F.stddev_samp("ret").alias("_std"),
@@ -161,13 +162,14 @@ def stage_stats(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
         F.count_if(F.col("ret") > 0).alias("_wins"),
         F.count_if(F.col("ret") < -TAIL).alias("left_tail"),
         F.count_if(F.col("ret") > TAIL).alias("right_tail"),
-    )
-    q = group_quantiles(
-        v, ["stage"], "ret", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75}, strategy=quantiles, max_groups=len(STAGES)
+    ]
+    g = grouped_with_quantiles(
+        v, ["stage_no", "stage"], aggs, "ret", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75},
+        strategy=quantiles, max_groups=len(STAGES),
     )
     r = stats.round_half_even
     inf = F.lit(float("inf"))
-    s = g.filter(F.col("data_points") >= 2).join(q, "stage", "left")
+    s = g.filter(F.col("data_points") >= 2)
     s = s.select(
         "stage_no", "stage",
         r("_mean", 2).alias("mean"),
@@ -258,13 +260,13 @@ def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5
         if stage not in STAGE_NAMES:
             raise ValueError(f"stage must be one of {STAGE_NAMES}")
         v = v.filter(F.col("stage") == stage)
-    n = v.groupBy("stage").agg(F.count(F.lit(1)).alias("_n"))
-    q = group_quantiles(v, ["stage"], "ret", {"_q25": 0.25, "_q75": 0.75}, strategy=quantiles, max_groups=len(STAGES))
+    q = grouped_with_quantiles(
+        v, ["stage"], [F.count(F.lit(1)).alias("_n")], "ret", {"_q25": 0.25, "_q75": 0.75},
+        strategy=quantiles, max_groups=len(STAGES),
+    )
     iqr = F.col("_q75") - F.col("_q25")
-    fences = (
-        n.filter(F.col("_n") >= 4)
-        .join(q, "stage", "inner")
-        .select("stage", (F.col("_q25") - k * iqr).alias("_lower"), (F.col("_q75") + k * iqr).alias("_upper"))
+    fences = q.filter(F.col("_n") >= 4).select(
+        "stage", (F.col("_q25") - k * iqr).alias("_lower"), (F.col("_q75") + k * iqr).alias("_upper")
     )
     o = v.join(F.broadcast(fences), "stage", "inner").filter((F.col("ret") < F.col("_lower")) | (F.col("ret") > F.col("_upper")))
     return o.select("stock_id", "stock_name", "report_month", "stage_no", "stage", "ret", "remark").orderBy(

@@ -133,7 +133,13 @@ def _cells_high_mom(t):
 
 
 def _median_cells(t):
-    return H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, stat="median", price=PRICE)
+    return H.heatmap_cells(
+        t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, stat="median", price=PRICE, ordered=False
+    )
+
+
+def _cell_counts(t):
+    return H.cell_counts(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, price=PRICE)
 
 
 # -- V1 ------------------------------------------------------------------------
@@ -210,7 +216,7 @@ FROM tot""",
     doubles=("completeness",),
 )
 def _totals(t):
-    return H.heatmap_totals(_median_cells(t))
+    return H.heatmap_totals(_cell_counts(t))
 
 
 _FINDINGS_SQL = with_fixtures(binned_months_cte(Y, METRIC, PRICE), _CELLS_CTE) + f""",
@@ -245,7 +251,7 @@ FROM agg"""
     doubles=("worst_avg_return", "worst_positive_rate", "best_avg_return", "best_positive_rate", "down_share", "up_share"),
 )
 def _findings(t):
-    return H.bin_findings(_summary(t), _median_cells(t))
+    return H.bin_findings(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, price=PRICE)
 
 
 # -- W3, F16 -------------------------------------------------------------------
