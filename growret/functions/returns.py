@@ -102,21 +102,37 @@ def weekly_price_field(price: str) -> str:
     return "w_high" if price == "w_high" else "w_close"
 
 
-def weekly_returns(weekly: DataFrame, *, price: str = "w_close", until=None) -> DataFrame:
+def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, until=None) -> DataFrame:
     """symbol, stock_id, date, weekly_ret: change against the previous bar.
 
     The previous bar is the previous *row* of the symbol, whatever the gap.
-    ``until`` (a date) may drop later bars before the window: a lag only
-    looks backwards, so bars after ``until`` never change earlier returns.
+    ``until`` (a date) drops later bars before the window: a lag only looks
+    back, so they never change earlier returns.  ``since`` keeps bars from
+    that date on; their lags still see the true predecessor, because each
+    symbol's last bar before ``since`` is added back -- found by a ``max_by``
+    that merges partially on the map side -- so the window sorts only the
+    kept range plus one bar per symbol, never the whole history.
     """
     p = weekly_price_field(price)
     df = weekly.select("symbol", "date", F.col(p).alias("price"))
     if until is not None:
         df = df.filter(F.col("date") <= F.lit(until))
+    if since is not None:
+        recent = df.filter(F.col("date") >= F.lit(since))
+        last_before = (
+            df.filter(F.col("date") < F.lit(since))
+            .groupBy("symbol")
+            .agg(F.max_by(F.struct("date", "price"), "date").alias("_b"))
+            .select("symbol", F.col("_b.date").alias("date"), F.col("_b.price").alias("price"))
+        )
+        df = recent.unionByName(last_before)
     prev = F.lag("price").over(Window.partitionBy("symbol").orderBy("date"))
-    return df.select(
+    out = df.select("symbol", "date", "price", prev.alias("_prev")).select(
         "symbol",
         entity_key("symbol").alias("stock_id"),
         "date",
-        (F.try_divide(F.col("price") - prev, F.nullif(prev, F.lit(0.0))) * 100).alias("weekly_ret"),
+        (F.try_divide(F.col("price") - F.col("_prev"), F.nullif(F.col("_prev"), F.lit(0.0))) * 100).alias("weekly_ret"),
     )
+    if since is not None:
+        out = out.filter(F.col("date") >= F.lit(since))
+    return out

@@ -6,9 +6,9 @@ Plan:
 * first crossings -- LAG over the 13 report months of each entity (window
   partitioned by entity, a calendar-bounded number of rows each), then the
   threshold / year / keyword filters *after* the lag (Q10);
-* weekly returns -- LAG over each symbol's bars.  Bars after the last date
-  any event can look at are dropped *before* the window (a lag only looks
-  back), bars before the first such date right after it;
+* weekly returns -- LAG over each symbol's bars, restricted to the dates
+  any event can look at plus each symbol's one bar before them (its lag
+  input), so the window never sorts a symbol's whole history;
 * event x bars -- an equi join on the entity with the date range
   ``base - 38 d .. base + 30 d`` as a residual condition: bars outside the
   range would only feed NULL to every stage mean, and an event without bars
@@ -86,7 +86,7 @@ def event_dates(year) -> tuple[dt.date, dt.date]:
 
 def year_weekly_returns(weekly: DataFrame, *, year, price: str = "w_close") -> DataFrame:
     lo, hi = event_dates(year)
-    return weekly_returns(weekly, price=price, until=hi).filter(F.col("date") >= F.lit(lo))
+    return weekly_returns(weekly, price=price, since=lo, until=hi)
 
 
 def _in_stage(offset, lo, lo_inc, hi, hi_inc):

@@ -80,6 +80,11 @@ def test_weekly_returns_lag_and_cut(spark):
     assert close(high[1], 200.0 / 11.0)
     cut = weekly_returns(wk, until=dt.date(1998, 1, 31)).count()
     assert cut == 2
+    # a window that starts after a gap still sees the true previous bar
+    late = [(x.date, x.weekly_ret) for x in weekly_returns(wk, since=dt.date(1998, 3, 9)).collect()]
+    assert late == [(dt.date(1998, 3, 9), None)]  # previous close 0 -> NULL, not "no previous"
+    mid = [x.weekly_ret for x in weekly_returns(wk, since=dt.date(1998, 1, 12)).orderBy("date").collect()]
+    assert close(mid[0], 20.0) and close(mid[1], -100.0)
 
 
 def test_fixed_bin_distribution(spark):
