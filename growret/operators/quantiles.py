@@ -35,6 +35,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from growret.session import checkpoint_dir
+
 STRATEGIES = ("auto", "sort", "hash", "approx")
 BROADCAST_GROUP_BOUND = 100_000
 HASH_ROWS = 1_000_000
@@ -90,6 +92,13 @@ def group_quantiles(
         .sortWithinPartitions(*keys, "_v")
         .select(*keys, "_v", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     )
+    if checkpoint_dir(spark) is not None:
+        # Both consumers below (the per-partition counts and the rank join)
+        # must see the same partition ids and row ids.  A reliable checkpoint
+        # in the shared folder stores them as plain columns -- whatever
+        # later re-reads, coalescing or executor losses happen -- and cuts
+        # the lineage of the sorted frame.
+        ranked = ranked.checkpoint(eager=True)
     per_part = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
     before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
