@@ -14,7 +14,7 @@ supplier holding a third of all lines costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the fixture definition: six-digit zero-padded entity codes,
@@ -26,11 +26,24 @@ ODD_SUFFIX = ".TWO"
 MINGUO_OFFSET = 1911
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer tasks than the cluster has cores.
+
+    A file with a single row group is read by one task however large the
+    cluster; spreading it (no key, so no skew) lets the partial aggregation
+    after it run on every core.  Inputs already split into enough tasks --
+    any large table -- are left alone.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def read_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate",
     )
+    li = spread(li)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     return {"lineitem": li, "part": part, "supplier": supplier}
@@ -52,14 +65,16 @@ def line_cells(star: dict[str, DataFrame]) -> DataFrame:
         px.alias("px"),
         key.alias("k"),
     )
+    # The first / last line of a cell is the min / max of (key, price): a tie
+    # on the whole key means equal price and quantity, hence an equal price,
+    # so this equals min_by / max_by over the key with half the aggregates.
+    line = line.withColumn("kp", F.struct("k", "px"))
     return line.groupBy("l_suppkey", "mon", "wk").agg(
         F.sum("amt").alias("amt"),
         F.count(F.lit(1)).alias("n"),
         F.max("p_name").alias("nm"),
-        F.min("k").alias("k_first"),
-        F.min_by("px", "k").alias("px_first"),
-        F.max("k").alias("k_last"),
-        F.max_by("px", "k").alias("px_last"),
+        F.min("kp").alias("first"),
+        F.max("kp").alias("last"),
         F.max("px").alias("px_high"),
         F.max("d").alias("d_last"),
     )
@@ -82,17 +97,17 @@ def monthly_revenue(cells: DataFrame, supplier: DataFrame) -> DataFrame:
         F.sum("n").alias("n"),
         F.max("nm").alias("nm"),
     )
-    prev = rev.select(
-        "l_suppkey", F.add_months("mon", 1).alias("mon"), F.col("revenue").alias("rev_prev")
-    )
-    year_ago = rev.select(
-        "l_suppkey", F.add_months("mon", 12).alias("mon"), F.col("revenue").alias("rev_year_ago")
-    )
-    r = (
-        rev.join(prev, ["l_suppkey", "mon"], "left")
-        .join(year_ago, ["l_suppkey", "mon"], "left")
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "inner")
-    )
+    # Revenue exactly one and twelve months earlier (NULL when that month is
+    # missing): a range frame over a month index selects precisely that row,
+    # like the fixture's self joins, with a single shuffle by supplier whose
+    # partitions hold one row per month.
+    idx = F.year("mon") * 12 + F.month("mon")
+    by_supp = Window.partitionBy("l_suppkey").orderBy(idx)
+    r = rev.select(
+        "*",
+        F.max("revenue").over(by_supp.rangeBetween(-1, -1)).alias("rev_prev"),
+        F.max("revenue").over(by_supp.rangeBetween(-12, -12)).alias("rev_year_ago"),
+    ).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "inner")
     report_month = F.concat(
         F.lpad((F.year("mon") - MINGUO_OFFSET).cast("string"), 3, "0"),
         F.lit("_"),
@@ -116,9 +131,9 @@ def monthly_revenue(cells: DataFrame, supplier: DataFrame) -> DataFrame:
 
 def stock_annual_k(cells: DataFrame) -> DataFrame:
     a = cells.groupBy("l_suppkey", F.year("mon").alias("yr")).agg(
-        F.min_by("px_first", "k_first").alias("year_open"),
+        F.min("first").px.alias("year_open"),
         F.max("px_high").alias("year_high"),
-        F.max_by("px_last", "k_last").alias("year_close"),
+        F.max("last").px.alias("year_close"),
     )
     return a.select(
         _symbol(F.col("l_suppkey")).alias("symbol"),
@@ -129,7 +144,7 @@ def stock_annual_k(cells: DataFrame) -> DataFrame:
 
 def stock_weekly_k(cells: DataFrame) -> DataFrame:
     w = cells.groupBy("l_suppkey", "wk").agg(
-        F.max_by("px_last", "k_last").alias("w_close"),
+        F.max("last").px.alias("w_close"),
         F.max("px_high").alias("w_high"),
     )
     return w.select(_symbol(F.col("l_suppkey")).alias("symbol"), F.col("wk").alias("date"), "w_close", "w_high")
