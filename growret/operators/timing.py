@@ -95,8 +95,11 @@ def _in_stage(offset, lo, lo_inc, hi, hi_inc):
     return a & b
 
 
-def event_study(events: DataFrame, wret: DataFrame) -> DataFrame:
-    """Five stage means of weekly returns per event."""
+def event_study(events: DataFrame, wret: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """Five stage means of weekly returns per event.
+
+    ``ordered=False`` skips the final global sort, for a study that is stored
+    and then aggregated (its row order is never seen)."""
     e = events.alias("e")
     c = wret.select(F.col("stock_id").alias("_sid"), "date", "weekly_ret").alias("c")
     cond = (
@@ -113,11 +116,10 @@ def event_study(events: DataFrame, wret: DataFrame) -> DataFrame:
             m = m * PRE_MONTH_SCALE
         aggs.append(m.alias(name))
     g = j.groupBy("stock_id", "stock_name", "report_month", "growth_val", "remark", "base_date").agg(*aggs)
-    return (
-        g.filter(F.col("pre_week").isNotNull())
-        .select("stock_id", "stock_name", "report_month", "growth_val", "remark", *STAGE_NAMES)
-        .orderBy(F.desc_nulls_first("pre_month"), "stock_id", "report_month")
+    study = g.filter(F.col("pre_week").isNotNull()).select(
+        "stock_id", "stock_name", "report_month", "growth_val", "remark", *STAGE_NAMES
     )
+    return study.orderBy(F.desc_nulls_first("pre_month"), "stock_id", "report_month") if ordered else study
 
 
 def stage_values(study: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from growret.plans.finalize import finalize, sql_finalize
-from growret.sources.store import model_tables
+from growret.sources.store import model_tables, shared
 
 
 @dataclass
@@ -38,6 +38,25 @@ def register(key: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
     return deco
 
 
+# Shared inputs: intermediate results several queries start from, stored
+# once per model-table set (like the reference's cached fetch results).
+SHARED: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {}
+
+
+def register_shared(name: str):
+    def deco(fn):
+        if name in SHARED:
+            raise KeyError(f"duplicate shared input {name}")
+        SHARED[name] = fn
+        return fn
+
+    return deco
+
+
+def shared_input(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    return shared(tables, name, SHARED[name])
+
+
 def load_all() -> dict[str, Query]:
     from growret.plans import q_bursts, q_heatmap, q_timing  # noqa: F401  (registration side effects)
 

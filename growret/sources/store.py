@@ -1,7 +1,9 @@
 """Shared, materialized model tables per (application, data folder).
 
 The reference caches each query result for an hour.  Here the shared inputs
-are materialized once and every query reads them:
+-- the model tables, and intermediate results several queries start from,
+such as the event study the stage statistics read -- are materialized once
+and every query reads them:
 
 * if the session names a shared ``spark.checkpoint.dir``, the tables are
   written there as parquet (annual bars partitioned by ``year``, monthly rows
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +33,54 @@ _CACHE: dict[tuple, dict[str, DataFrame]] = {}
 _PARTITION_BY = {"stock_annual_k": ["year"], "monthly_revenue": ["report_month"]}
 
 
+class ModelTables(dict):
+    """The model tables by name, plus shared intermediates built from them.
+
+    ``shared(name, build)`` materializes ``build(self)`` once, the same way
+    as the tables: parquet under the checkpoint folder when the session
+    names one, else persisted.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], root: str | None):
+        super().__init__(tables)
+        self.root = root
+        self._shared: dict[str, DataFrame] = {}
+        self._lock = threading.Lock()
+
+    def shared(self, name: str, build: Callable[["ModelTables"], DataFrame]) -> DataFrame:
+        with self._lock:
+            df = self._shared.get(name)
+            if df is None:
+                df = _store(build(self), None if self.root is None else f"{self.root}/shared/{name}")
+                self._shared[name] = df
+            return df
+
+    def release(self) -> None:
+        for df in [*self.values(), *self._shared.values()]:
+            df.unpersist()
+        self._shared.clear()
+
+
+def shared(tables: dict[str, DataFrame], name: str, build: Callable[[dict], DataFrame]) -> DataFrame:
+    """``tables.shared(name, build)`` for materialized tables; plain dicts
+    (tables a caller loaded itself) just build."""
+    if isinstance(tables, ModelTables):
+        return tables.shared(name, build)
+    return build(tables)
+
+
+def _store(df: DataFrame, path: str | None) -> DataFrame:
+    if path is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
 
 
-def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def model_tables(spark: SparkSession, sf_dir: str) -> ModelTables:
     """Derived model tables for ``sf_dir``, materialized once per application."""
     key = _key(spark, sf_dir)
     with _LOCK:
@@ -46,14 +92,14 @@ def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return tables
 
 
-def _materialize(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
     ckpt = checkpoint_dir(spark)
     star = read_star(spark, sf_dir)
     cells = line_cells(star)
     if ckpt is None:
         cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
         derived = derive_model_tables(spark, sf_dir, cells)
-        return {name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in derived.items()}
+        return ModelTables({name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in derived.items()}, None)
 
     tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     root = f"{ckpt.rstrip('/')}/growret-model-{tag}"
@@ -70,7 +116,7 @@ def _materialize(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         # explicit schema: partition folders must not be re-typed by inference
         back = spark.read.schema(MODEL_SCHEMAS[name]).parquet(path)
         out[name] = back.select(*df.columns)
-    return out
+    return ModelTables(out, root)
 
 
 def forget(spark: SparkSession | None = None) -> None:
@@ -78,6 +124,5 @@ def forget(spark: SparkSession | None = None) -> None:
     with _LOCK:
         for k in list(_CACHE):
             if spark is None or k[0] == spark.sparkContext.applicationId:
-                for df in _CACHE[k].values():
-                    df.unpersist()
+                _CACHE[k].release()
                 del _CACHE[k]

@@ -46,3 +46,37 @@ def test_csv_sinks(spark, tmp_path):
     for p in (p1, p2):
         back = spark.read.option("header", True).csv(p)
         assert back.columns == df.columns and back.count() == 1
+
+
+def _rows(df):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+def test_shared_study_stored_once_and_equal_to_fresh(spark):
+    import __spark_entry__ as E  # noqa: F401  (registers the shared inputs)
+    from growret.plans import q_timing as QT
+    from growret.plans.registry import shared_input
+
+    t = model_tables(spark, SF_SMALL)
+    a = shared_input(t, "event_study")
+    assert shared_input(t, "event_study") is a
+    assert _rows(a) == _rows(QT._study(t))
+
+
+def test_shared_persist_path_without_checkpoint_folder(spark):
+    from growret.sources.store import ModelTables
+
+    t = model_tables(spark, SF_SMALL)
+    plain = ModelTables(dict(t), None)
+    built = []
+
+    def build(tt):
+        built.append(1)
+        return tt["stock_annual_k"].filter(F.col("year") == "1998")
+
+    a = plain.shared("annual_1998", build)
+    b = plain.shared("annual_1998", build)
+    assert a is b and built == [1] and a.is_cached
+    assert a.count() == t["stock_annual_k"].filter(F.col("year") == "1998").count()
+    plain.release()
+    assert not a.is_cached
