@@ -194,14 +194,40 @@ def bin_findings(
     of the bin-ordered table.  Only counts, means and a positive share per
     bin are needed, so no percentile is computed."""
     j = binned_months(annual, revenue, year=year, metric=metric, price=price)
-    per_bin = j.groupBy("bin_order").agg(
-        F.count_distinct("symbol").alias("stock_count"),
-        F.avg("annual_return").alias("avg_annual_return"),
-        stats.round_half_up(stats.positive_share("m"), 1).alias("positive_rate"),
+    # One pass over the join: roll it up to (bin, month, symbol), then take
+    # the (bin, symbol) and (bin, month) grains in one grouping-sets
+    # aggregate.  Distinct symbols per bin and per cell are row counts of
+    # those grains; the row-weighted mean return and the positive share come
+    # from the carried sums and counts.
+    sym = j.groupBy("bin_order", "report_month", "symbol").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("annual_return").alias("_ret_sum"),
+        F.count("annual_return").alias("_ret_n"),
+        F.count_if(F.col("m") > 0).alias("_pos"),
+    )
+    grains = sym.groupingSets(
+        [["bin_order", "symbol"], ["bin_order", "report_month"]], "bin_order", "symbol", "report_month"
+    ).agg(
+        F.grouping_id().alias("_gid"),
+        *[F.sum(c).alias(c) for c in ("_rows", "_ret_sum", "_ret_n", "_pos")],
+        F.count(F.lit(1)).alias("_symbols"),
+    )
+    by_symbol = F.col("_gid") == 1  # report_month aggregated away
+    by_cell = ~by_symbol
+
+    def on_symbol(c):
+        return F.sum(F.when(by_symbol, F.col(c)))
+
+    s = (
+        grains.groupBy("bin_order")
+        .agg(
+            F.count_if(by_symbol).alias("stock_count"),
+            F.try_divide(on_symbol("_ret_sum"), on_symbol("_ret_n")).alias("avg_annual_return"),
+            stats.round_half_up(on_symbol("_pos") * 100.0 / on_symbol("_rows"), 1).alias("positive_rate"),
+            F.max(F.when(by_cell, F.col("_symbols"))).alias("mx"),
+        )
+        .withColumn("return_bin", bin_label("bin_order"))
     )
-    per_cell = cell_counts(annual, revenue, year=year, metric=metric, price=price)
-    mx = per_cell.groupBy("bin_order").agg(F.max("stock_count").alias("mx"))
-    s = per_bin.join(mx, "bin_order", "left").withColumn("return_bin", bin_label("bin_order"))
     down = F.col("bin_order") <= LAST_DOWN_BIN
     up = ~down
     worst_key = F.struct(F.col("avg_annual_return"), F.col("bin_order"))
