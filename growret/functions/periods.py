@@ -67,3 +67,11 @@ def announcement_date(col: str | Column = "report_month") -> Column:
 def date_text(col: str | Column) -> Column:
     """Date as ``YYYY-MM-DD`` text."""
     return F.date_format(col, "yyyy-MM-dd")
+
+
+def malformed_months(revenue: DataFrame, col: str = "report_month") -> DataFrame:
+    """One row: how many revenue rows carry a report month that is not a
+    well-formed ``YYY_MM`` (Q7).  Such rows match no reporting window and are
+    dropped by every query; this counts them (a partial count per task, no
+    row moves)."""
+    return revenue.agg(F.count_if(report_period(col).isNull()).alias("malformed_rows"))

@@ -58,6 +58,14 @@ def test_malformed_month_gives_null_period(spark):
     assert got == [None, None, None, dt.date(1998, 5, 1)]
 
 
+def test_malformed_months_are_counted_and_match_no_window(spark):
+    from growret.functions.periods import malformed_months, reporting_window
+
+    df = spark.createDataFrame([("87_1",), ("087_13",), ("abc",), (None,), ("087_05",)], "report_month string")
+    assert malformed_months(df).collect()[0].malformed_rows == 4
+    assert [r.report_month for r in reporting_window(df, year=1998).collect()] == ["087_05"]
+
+
 def test_entity_key_and_duplicate_suffix(spark):
     df = spark.createDataFrame(
         [("2330.TW", "1998", 10.0, 30.0, 20.0), ("2330.TWO", "1998", 10.0, 12.0, 11.0), ("99.TW", "1998", 0.0, 1.0, 1.0),
