@@ -80,3 +80,15 @@ def test_shared_persist_path_without_checkpoint_folder(spark):
     assert a.count() == t["stock_annual_k"].filter(F.col("year") == "1998").count()
     plain.release()
     assert not a.is_cached
+
+
+def test_heatmap_csv_keeps_bin_key_and_month_columns(spark, tmp_path):
+    import __spark_entry__ as E
+    from growret.sources.sinks import write_heatmap_csv
+
+    pivot = E.queries()["heatmap_pivot"](spark, SF_SMALL)
+    p = write_heatmap_csv(pivot, str(tmp_path / "hm"), single_file=True)
+    back = spark.read.option("header", True).csv(p)
+    assert back.columns == pivot.columns
+    assert {"bin_order", "return_bin"} <= set(back.columns)
+    assert back.count() == pivot.count()
