@@ -12,9 +12,19 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "growret") -> SparkSession:
+def build_session(
+    master: str = "local[8]", shuffle_partitions: int = 8, app: str = "growret", event_log_dir: str | None = None
+) -> SparkSession:
+    b = SparkSession.builder
+    if event_log_dir is not None:
+        b = (
+            b.config("spark.eventLog.enabled", "true")
+            .config("spark.eventLog.dir", event_log_dir)
+            .config("spark.eventLog.rolling.enabled", "false")
+            .config("spark.eventLog.compress", "false")
+        )
     spark = (
-        SparkSession.builder.master(master)
+        b.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
