@@ -13,7 +13,7 @@ the map side, and percentiles go through the skew-safe sort operator.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growret.functions import stats
@@ -288,10 +288,20 @@ def bin_drilldown(
     column, descending -- after the limit, as the reference does (O4, Q20)."""
     t = return_bins(annual, year=year, price=price).filter(F.col("bin_order") == int(bin_order))
     t = t.select("stock_id", "annual_return")
-    m = reporting_window(revenue, year=year).select("stock_id", "stock_name", "yoy_pct", "mom_pct")
-    r = latest_remark(revenue, year=year)
+    m = reporting_window(revenue, year=year).select(
+        "stock_id", "stock_name", "yoy_pct", "mom_pct", "report_month", F.col("remark").alias("_rm")
+    )
+    # The latest meaningful remark (W3, J3) comes from the bin's own joined
+    # rows -- the same window months -- through a window by entity (its 12
+    # months per symbol), so remarks of entities outside the bin are never
+    # aggregated; the grouping below is keyed by the entity too and reuses
+    # the window's partitioning instead of shuffling again.
+    latest = F.max(F.when(meaningful_remark("_rm"), F.struct("report_month", "_rm"))).over(Window.partitionBy("stock_id"))
+    j = m.join(t, "stock_id", "inner").select(
+        "stock_id", "stock_name", "yoy_pct", "mom_pct", "annual_return", latest.getField("_rm").alias("remark")
+    )
     kw = F.col("stock_name").contains(keyword) | (F.col("remark").isNotNull() & F.col("remark").contains(keyword))
-    j = m.join(t, "stock_id", "inner").join(r, "stock_id", "left").filter(kw)
+    j = j.filter(kw)
     r1 = stats.round_half_up
     g = j.groupBy("stock_id", "stock_name", "annual_return", "remark").agg(
         r1(F.avg("yoy_pct"), 1).alias("yoy_mean"),

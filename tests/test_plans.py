@@ -51,3 +51,11 @@ def test_stage_keys_read_the_stored_study(plans):
 def test_event_window_pushed_to_weekly_scan(plans):
     weekly = [ln for ln in _scan_lines(plans["event_study"]) if "w_close" in ln]
     assert any("GreaterThanOrEqual(date" in ln for ln in weekly)
+
+
+def test_drilldown_shuffles_only_the_bin_rows_once(plans):
+    p = plans["bin_drilldown"]
+    # one shuffle by entity for the remark window, reused by the grouping;
+    # the annual side is joined by broadcast when small (AQE's size check)
+    assert len(re.findall(r"Exchange hashpartitioning\(stock_id", p)) == 1
+    assert len(_scan_lines(p)) == 2

@@ -17,7 +17,7 @@ from tests.conftest import SF_SMALL
 from tests.test_parity import _norm
 
 HOT_SUPP, HOT_PART = 1, 1
-KEYS = ["heatmap_median", "bin_summary", "bin_findings", "burst_distribution", "event_study", "stage_stats", "latest_remark"]
+KEYS = ["heatmap_median", "bin_summary", "bin_findings", "bin_drilldown", "bin_drilldown_keyword", "burst_distribution", "event_study", "stage_stats", "latest_remark"]
 
 
 @pytest.fixture(scope="module")
