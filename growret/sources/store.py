@@ -18,6 +18,7 @@ and every query reads them:
 from __future__ import annotations
 
 import hashlib
+import re
 import threading
 from collections.abc import Callable
 
@@ -113,7 +114,10 @@ def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
         return ModelTables({name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in derived.items()}, None)
 
     tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    root = f"{ckpt.rstrip('/')}/growret-model-{tag}"
+    # one folder per application: two applications sharing the checkpoint
+    # folder never overwrite each other's tables
+    app = re.sub(r"[^A-Za-z0-9_-]", "_", spark.sparkContext.applicationId)
+    root = f"{ckpt.rstrip('/')}/growret-model-{app}-{tag}"
     cells_path = f"{root}/cells"
     cells.write.mode("overwrite").parquet(cells_path)
     cells = spark.read.parquet(cells_path)
