@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import types as T
 
 ANNUAL = "symbol string, year string, year_open double, year_high double, year_close double"
 REVENUE = "stock_id string, stock_name string, report_month string, yoy_pct double, mom_pct double, remark string"
