@@ -1,6 +1,5 @@
 import math
 
-
 ANNUAL = "symbol string, year string, year_open double, year_high double, year_close double"
 REVENUE = "stock_id string, stock_name string, report_month string, yoy_pct double, mom_pct double, remark string"
 WEEKLY = "symbol string, date date, w_close double, w_high double"

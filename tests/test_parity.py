@@ -1,6 +1,5 @@
 """Every registered query against its DuckDB oracle, plus the derived tables."""
 
-
 import duckdb
 import pandas as pd
 import pytest
