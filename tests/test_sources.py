@@ -92,3 +92,21 @@ def test_heatmap_csv_keeps_bin_key_and_month_columns(spark, tmp_path):
     assert back.columns == pivot.columns
     assert {"bin_order", "return_bin"} <= set(back.columns)
     assert back.count() == pivot.count()
+
+
+def test_no_scratch_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from growret.session import ensure_checkpoint_dir
+
+    cluster = SimpleNamespace(
+        sparkContext=SimpleNamespace(master="spark://head:7077", getCheckpointDir=lambda: None),
+        conf=SimpleNamespace(get=lambda key, default=None: default),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(cluster)
+    named = SimpleNamespace(
+        sparkContext=SimpleNamespace(master="spark://head:7077", getCheckpointDir=lambda: None),
+        conf=SimpleNamespace(get=lambda key, default=None: "hdfs:///shared/ckpt" if key == "spark.checkpoint.dir" else default),
+    )
+    assert ensure_checkpoint_dir(named) == "hdfs:///shared/ckpt"
