@@ -21,6 +21,8 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte but letters and digits, for words without their punctuation.
+_PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _BYTE = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _FOLD = _BYTE.copy()
 _FOLD[0x41:0x5B] = _BYTE[0x61:0x7B]
@@ -77,11 +79,11 @@ def byte_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch: byte ``start``/``end``, 64-bit ``hash``, and ``off``, where rows' words begin."""
 
-    def __init__(self, texts: pa.Array, fold_case: bool = False) -> None:
+    def __init__(self, texts: pa.Array, fold_case: bool = False, punctuation: bool = True) -> None:
         data, rows = byte_buffer(texts)
         self.data, self.rows = data, rows
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~(_SPACE if punctuation else _PUNCTUATION)[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[rows] = True
         begins = word.copy()
@@ -91,13 +93,18 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.off = np.searchsorted(self.start, rows)
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((_FOLD if fold_case else _BYTE)[data] * _powers(BYTE_BASE, n), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _powers(_inverse(BYTE_BASE), n + 1)[self.start])
+        self.total = np.zeros(n + 1, dtype=U64)
+        np.cumsum((_FOLD if fold_case else _BYTE)[data] * _powers(BYTE_BASE, n), out=self.total[1:])
+        self.hash = self.spans(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        back = _powers(_inverse(BYTE_BASE), len(self.data) + 1)
+        return mix((self.total[end] - self.total[start]) * back[start])
+
     def count(self) -> np.ndarray:
         return np.diff(self.off)
 

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import substring_dedup
+from growret.llm import near_dedup, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator on whole tables.
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
+}
