@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import near_dedup, substring_dedup, toxicity
+from growret.llm import decontaminate, near_dedup, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator on whole tables.

@@ -232,4 +232,5 @@ def corpus_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> di
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = corpus_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.select("doc_id", "text"), chain).drop("text")
+    scored = score(docs.select("doc_id", "text"), chain)
+    return scored.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
