@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import decontaminate, near_dedup, packing, secrets, substring_dedup, toxicity
+from growret.llm import decontaminate, language_id, near_dedup, packing, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_language_id": language_id.op2_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_packing": packing.op6_packing,
     "op8_toxicity": toxicity.op8_toxicity,
