@@ -13,9 +13,9 @@
    and a pair is pruned as soon as that falls under ``MISS``.  Survivors are
    verified exactly on their full shingle sets.
 4. Verified links give components.  Buckets that still hold several components
-   are compared in full, but only across components, in blocks of ``BLOCK``
-   rows, again by signature batches; survivors are verified exactly and the
-   components are joined.  A pair inside one component needs no link, so no
+   are compared in full, but only across components, in cells of two blocks of
+   ``BLOCK`` rows, again by signature batches; survivors are verified exactly
+   in the cell and the components are joined.  A pair inside one component needs no link, so no
    link between components is lost and no group is expanded into all pairs.
 
 Defined results: a null or empty text (or one without words) has an empty set
@@ -41,7 +41,7 @@ from growret.llm.stored import stored
 BANDS, ROWS = 24, 4
 BATCH = 32
 MISS = 1e-6
-BLOCK = 1024
+BLOCK = 512
 #: Classes without any doc_id are numbered from here on.
 NO_ID = 1 << 62
 
@@ -135,13 +135,12 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, set_id long, sig binary")
 
 
-def exact_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with 100 * intersection >= percent * union on full shingle sets."""
-    used = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int) -> DataFrame:
+    """``v, s``: the packed shingle set of each class in ``used(v)``, from the text of its first document."""
     wanted = classes.select("label", "set_id", "n_shingles", "v").join(used, "v")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("label")))
 
-    def full_sets(batches):
+    def sets(batches):
         for batch in batches:
             name, size = batch.column("set_id").to_pylist(), batch.column("n_shingles").to_pylist()
             ids, blobs = [], []
@@ -151,7 +150,12 @@ def exact_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: in
                     blobs.append(pack_sorted(s))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["v", "s"])
 
-    sets = stored(texts.select("v", "set_id", "n_shingles", "text").mapInArrow(full_sets, "v long, s binary"))
+    rows = texts.select("v", "set_id", "n_shingles", "text").mapInArrow(sets, "v long, s binary")
+    return rows.dropDuplicates(["v"])
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` with 100 * intersection >= percent * union on full shingle sets."""
     of_b = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
     of_a = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
 
@@ -165,7 +169,7 @@ def exact_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: in
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(confirm, "a long, b long").distinct()
+    return joined.mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -205,15 +209,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             alive = similar(_signatures(batch.column("ga")), _signatures(batch.column("gb")), need)
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    tried = stored(compared.select("a", "b", "ga", "gb").mapInArrow(prune, "a long, b long"))
-    links = stored(exact_links(docs, classes, tried, width, percent))
+    likely = compared.select("a", "b", "ga", "gb").mapInArrow(prune, "a long, b long")
+    sets = stored(full_sets(docs, classes, members.select("v").distinct(), width))
+    links = stored(exact_links(likely, sets, percent))
     comps = components(links)
-
-    left = across(members, sig, comps, need).join(tried, ["a", "b"], "left_anti")
-    left = stored(left)
-    if left.limit(1).count():
-        links = links.union(exact_links(docs, classes, left, width, percent))
-        comps = components(links)
+    more = stored(across(members, sig, sets, comps, need, percent))
+    if more.limit(1).count():
+        comps = components(links.union(more))
     found = classes.join(comps, "v", "left").select(
         F.col("set_id"), F.col("n_shingles"), F.coalesce("comp", "v").alias("comp")
     )
@@ -224,43 +226,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def across(members: DataFrame, sig: DataFrame, comps: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
-    """Pairs ``a < b`` of different components that share a bucket and that signatures don't prune.
+def across(
+    members: DataFrame, sig: DataFrame, sets: DataFrame, comps: DataFrame, need: list[tuple[int, int]], percent: int
+) -> DataFrame:
+    """Exact links ``a, b`` between different components that meet in a bucket.
 
-    A bucket is dealt in blocks of ``BLOCK`` rows, a task sees two blocks, and a
-    pair is compared only in the first band that both share.
+    The rows of a bucket's largest component are its majors, all others its
+    minors.  Majors meet minors, and minors each other, in cells of two blocks
+    of ``BLOCK`` rows or so; a cell holds signatures and full sets, prunes by
+    signature batches and counts the intersections of the survivors with an
+    inverted list of one block.  A pair is compared in the first band that both
+    share, and a row reports one link to each component.
     """
-    named = members.join(comps, "v", "left").select("key", "n", "v", F.coalesce("comp", "v").alias("comp"))
+    named = members.join(comps, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = stored(
-        named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        per.groupBy("key")
+        .agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps"))
+        .filter("comps > 1")
+        .select("key", F.col("top.comp").alias("major"), F.col("top.n").alias("majors"), (F.col("n") - F.col("top.n")).alias("minors"))
     )
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    rows = named.join(mixed, "key").withColumns({"bm": parts("majors"), "bq": parts("minors"), "is_major": F.expr("comp = major")})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.when(F.col("is_major"), F.col("bm")).otherwise(F.col("bq"))).cast("int"))
+    cell = "struct<kind:int,i:int,j:int,side:int>"
+    with_minors = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct(0, own, x, 0) as {cell}))")
+    with_majors = F.expr(f"transform(sequence(0, bm - 1), x -> cast(struct(0, x, own, 1) as {cell}))")
+    each_other = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct(1, least(own, x), greatest(own, x), int(own > x)) as {cell}))")
     cells = (
-        named.join(mixed, "key")
+        rows.withColumn("c", F.explode(F.when(F.col("is_major"), with_minors).otherwise(F.concat(with_majors, each_other))))
+        .filter("c.kind = 0 OR minors > 1")
+        .select("key", "c.*", "v", "comp")
         .join(sig, "v")
-        .withColumn("own", F.pmod(F.xxhash64("v"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .select("key", "i", "j", "own", "v", "comp", "sig")
+        .join(sets, "v")
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        key, i, j = (table[c][0].as_py() for c in ("key", "i", "j"))
-        sigs, v, comp, own = _signatures(table["sig"]), *(table[c].to_numpy() for c in ("v", "comp", "own"))
+        key, alone = table["key"][0].as_py(), table["kind"][0].as_py() == 1 and table["i"][0].as_py() == table["j"][0].as_py()
+        v, comp, side = (table[c].to_numpy() for c in ("v", "comp", "side"))
+        sigs = _signatures(table["sig"])
         keys = band_keys(sigs)
         band = int(np.argmax((keys == key).all(axis=0)))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+        if len(left) < len(right):
+            left, right = right, left
+        full = [unpack_sorted(x.as_py()) for x in table["s"]]
+        size = np.array([len(x) for x in full])
+        shingle = np.concatenate([full[x] for x in left]) if len(left) else np.zeros(0, U64)
+        holder = np.repeat(left, size[left])
+        order = np.argsort(shingle, kind="stable")
+        shingle, holder = shingle[order], holder[order]
         found = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((v[right] > v[x]) if i == j else True)]
+        for x in right:
+            y = left[(comp[left] != comp[x]) & ((v[left] > v[x]) if alone else True)]
             y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
             y = y[similar(np.broadcast_to(sigs[x], (len(y), sigs.shape[1])), sigs[y], need)]
-            found.append(np.stack([np.minimum(v[x], v[y]), np.maximum(v[x], v[y])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            if not len(y):
+                continue
+            lo, hi = np.searchsorted(shingle, full[x]), np.searchsorted(shingle, full[x], side="right")
+            at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(holder[at], minlength=len(v))[y]
+            y = y[100 * both >= percent * (size[x] + size[y] - both)]
+            _, one = np.unique(comp[y], return_index=True)
+            found += [(min(v[x], w), max(v[x], w)) for w in v[y[one]]]
+        a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return cells.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
