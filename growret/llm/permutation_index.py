@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 PIVOTS = 128
 PREFIX = 64
 CANDIDATES = 0.2
+ALIKE = 0.7
 BLOCK = 4096
 QUERIES = 1024
 FOUND = "query_id long, vec_id long, score double"
@@ -48,15 +49,25 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def choose_pivots(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """Vectors with the smallest hashes, equal ones counted once; scaled to length 1."""
-    drawn = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(8 * n).collect()  # at most 8 * n vectors
+    """n pivots of length 1, from the 8 * n rows with the smallest hashes of vec_id.
+
+    In that order a vector is passed over if its cosine with a pivot is ``ALIKE``
+    or more; what is passed over fills up if there are too few others.  Else a
+    crowd of like vectors would hold many pivots, whose order says nothing.
+    """
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(8 * n).collect()
     if not drawn:
         return np.zeros((0, 0))
     size = len(drawn[0]["v"])
-    distinct = list(dict.fromkeys(tuple(r["v"]) for r in drawn if len(r["v"]) == size))[:n]
-    pivots = np.array(distinct)
-    pivots /= np.abs(pivots).max(axis=1, keepdims=True)
-    return pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    points = np.array(list(dict.fromkeys(tuple(r["v"]) for r in drawn if len(r["v"]) == size)))
+    points /= np.abs(points).max(axis=1, keepdims=True)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    chosen: list[int] = []
+    for k in range(len(points)):
+        if not chosen or (points[chosen] @ points[k]).max() < ALIKE:
+            chosen.append(k)
+    spare = [k for k in range(len(points)) if k not in set(chosen)]
+    return points[(chosen + spare)[:n]]
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
