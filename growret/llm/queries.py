@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import decontaminate, language_id, near_dedup, packing, permutation_index, secrets, substring_dedup, toxicity
+from growret.llm import decontaminate, html_extract, language_id, near_dedup, packing, permutation_index, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_language_id": language_id.op2_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_neighbours": permutation_index.op4_neighbours,
+    "op5_html_text": html_extract.op5_html_text,
     "op6_packing": packing.op6_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
