@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import decontaminate, html_extract, language_id, near_dedup, packing, permutation_index, secrets, substring_dedup, toxicity
+from growret.llm import decontaminate, html_extract, language_id, near_dedup, packing, permutation_index, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neighbours": permutation_index.op4_neighbours,
     "op5_html_text": html_extract.op5_html_text,
     "op6_packing": packing.op6_packing,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secrets": secrets.op10_secrets,

@@ -25,20 +25,25 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(files: tuple[str, str] | None = None):
-    """A function from a text to its ids (unsigned 32-bit); loaded once per process."""
+def _load(files: tuple[str, str] | None) -> tuple:
     files = tuple(files or default_files())
     if files not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(files[1], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[files] = Tokenizer.from_file(files[0]), fast
-    exact, fast = _LOADED[files]
+        _LOADED[files] = Tokenizer.from_file(files[0]), fast, regex.compile(public_tokenizers.PATTERN)
+    return _LOADED[files]
+
+
+def encoder(files: tuple[str, str] | None = None):
+    """A function from a text to its ids (unsigned 32-bit); loaded once per process."""
+    exact, fast, _ = _load(files)
 
     def encode(text: str) -> np.ndarray:
         if _PLAIN.search(text):
@@ -46,3 +51,19 @@ def encoder(files: tuple[str, str] | None = None):
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
+
+
+def splitter(files: tuple[str, str] | None = None):
+    """A function from a text to the lengths of its pre-tokens, whose ids don't depend on one another.
+    A text that spells a special token counts as one pre-token."""
+    exact, _, pattern = _load(files)
+
+    def split(text: str) -> list[int]:
+        if not _PLAIN.search(text):
+            return [len(x) for x in pattern.findall(text)]
+        if "<|endoftext|>" in text:
+            return [len(text)]
+        ends = [b for _, (_, b) in exact.pre_tokenizer.pre_tokenize_str(text)]
+        return [b - a for a, b in zip([0, *ends], ends)]
+
+    return split
