@@ -95,27 +95,23 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     marked = False
 
     def flush() -> None:
-        if pieces:
-            if not out:
-                text = "".join(pieces)
-                text = " ".join((html.unescape(text) if "&" in text else text).split())
-                if text:
-                    block = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-                    lines.append((text, KEPT if article and block in BODY else UNDECIDED, article))
-            pieces.clear()
+        text = "".join(pieces)
+        pieces.clear()
+        if text := " ".join((html.unescape(text) if "&" in text else text).split()):
+            block = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
+            lines.append((text, KEPT if article and block in BODY else UNDECIDED, article))
 
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
+        if not out:
+            pieces.append(page[at : m.start() if m else n])
         if m is None:
-            pieces.append(page[at:])
             break
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not out:
                 pieces.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, attributes = tag.lower(), m[3] if m[2] else m[6]
@@ -127,7 +123,6 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if m[1] or m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    flush()
                     del stack[k:]
                     out, article = stack[-1][1:] if stack else (False, False)
                     break
@@ -150,10 +145,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        gone = out or left_out(tag, attributes, article)
-        if gone and not out:
-            flush()
-        out = gone
+        out = out or left_out(tag, attributes, article)
         if tag in ("article", "main") and not out:
             article = marked = True
         stack.append((tag, out, article))
