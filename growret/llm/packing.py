@@ -28,6 +28,7 @@ other columns are ignored; an empty table gives an empty result.  Beyond
 
 from __future__ import annotations
 
+import math
 import zlib
 from fractions import Fraction
 
@@ -54,26 +55,34 @@ class Mixture:
 
     def __init__(self, totals: list[int], weights: list[int], window: int) -> None:
         self.totals, self.total = totals, sum(totals)
-        self.bends: list[tuple[Fraction, list[Fraction], list[Fraction]]] = []  # time, served, rate
+        #: (first window, per queue a, b, c): after j windows the queue has served (a + b * j) // c tokens
+        self.bends: list[tuple[Fraction, list[tuple[int, int, int]]]] = []
         at, served = Fraction(0), [Fraction(0)] * len(totals)
         active = {q for q, n in enumerate(totals) if n}
         while active:
             whole = sum(weights[q] for q in active)
             rate = [Fraction(window * weights[q], whole) if q in active else Fraction(0) for q in range(len(totals))]
-            self.bends.append((at, served, rate))
+            lines = []
+            for x, r in zip(served, rate):
+                start = x - at * r
+                c = math.lcm(start.denominator, r.denominator)
+                lines.append((int(start * c), int(r * c), c))
+            self.bends.append((at, lines))
             step = min((totals[q] - served[q]) / rate[q] for q in active)
             served = [s + step * r for s, r in zip(served, rate)]
             at += step
             active = {q for q in active if served[q] < totals[q]}
         self.windows = -(-at.numerator // at.denominator)
-        self._memo: tuple[int, list[int], list[int]] | None = None
+        self._memo: tuple[int, list[int]] | None = None
 
     def served(self, queue: int, j: int) -> int:
         if j >= self.windows:
             return self.totals[queue]
-        at, served, rate = next(b for b in reversed(self.bends) if b[0] <= j)
-        x = served[queue] + (j - at) * rate[queue]
-        return x.numerator // x.denominator
+        k = len(self.bends) - 1
+        while self.bends[k][0] > j:
+            k -= 1
+        a, b, c = self.bends[k][1][queue]
+        return (a + b * j) // c
 
     def window_of(self, queue: int, place: int, hint: int = 0) -> int:
         """The window that serves the queue's token ``place``."""
@@ -96,9 +105,11 @@ class Mixture:
         """Place in the stream of the queue's first token in window j."""
         if self._memo is None or self._memo[0] != j:
             before = [self.served(q, j) for q in range(len(self.totals))]
-            after = [self.served(q, j + 1) for q in range(len(self.totals))]
-            ahead = np.cumsum([0] + [a - b for a, b in zip(after, before)], dtype=object)
-            self._memo = (j, [sum(before) + int(x) for x in ahead[:-1]], before)
+            starts, at = [], sum(before)
+            for q, n in enumerate(before):
+                starts.append(at)
+                at += self.served(q, j + 1) - n
+            self._memo = (j, starts)
         return self._memo[1][queue]
 
     def stretches(self, queue: int, place: int, n: int, hint: int) -> tuple[list[tuple[int, int]], int]:
