@@ -38,6 +38,11 @@ def entity_key(col: str | Column = "symbol") -> Column:
     return F.split_part(c, F.lit("."), F.lit(1))
 
 
+def _stored_key(df: DataFrame) -> Column:
+    """The entity key, stored with the bars or taken from the symbol."""
+    return (F.col("stock_id") if "stock_id" in df.columns else entity_key("symbol")).alias("stock_id")
+
+
 def pct_change(new: Column, base: Column) -> Column:
     """(new - base) / base * 100; a zero or NULL base gives NULL, never an error."""
     return F.try_divide(new - base, base) * 100
@@ -81,7 +86,7 @@ def annual_returns(
     df = df.filter(F.col("year_open").isNull() | (F.col("year_open") != 0))
     return df.select(
         "symbol",
-        entity_key("symbol").alias("stock_id"),
+        _stored_key(df),
         "year",
         annual_return(price).alias("annual_return"),
     )
@@ -97,11 +102,29 @@ def return_bins(annual: DataFrame, *, year: int | str, price: str = "year_close"
     return df.withColumn("bin_order", bin_order("annual_return")).withColumn("return_bin", bin_label("bin_order"))
 
 
+def _change(price: Column, prev: Column) -> Column:
+    return F.try_divide(price - prev, F.nullif(prev, F.lit(0.0))) * 100
+
+
 def weekly_price_field(price: str) -> str:
     """Anything other than ``w_high`` means ``w_close``."""
     return "w_high" if price == "w_high" else "w_close"
 
 
+def with_previous(weekly: DataFrame) -> DataFrame:
+    """Weekly bars with their entity key and the previous bar's prices
+    (``prev_close``, ``prev_high``): the one LAG over each symbol's history,
+    to be stored with the bars so that later reads need no window."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    return weekly.withColumns(
+        {
+            "stock_id": entity_key("symbol"),
+            "prev_close": F.lag("w_close").over(w),
+            "prev_high": F.lag("w_high").over(w),
+        }
+    )
+
+
 def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, until=None) -> DataFrame:
     """symbol, stock_id, date, weekly_ret: change against the previous bar.
 
@@ -111,9 +134,19 @@ def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, unt
     that date on; their lags still see the true predecessor, because each
     symbol's last bar before ``since`` is added back -- found by a ``max_by``
     that merges partially on the map side -- so the window sorts only the
-    kept range plus one bar per symbol, never the whole history.
+    kept range plus one bar per symbol, never the whole history.  Bars that
+    :func:`with_previous` has prepared need neither: the date filter is the
+    only read.
     """
     p = weekly_price_field(price)
+    stored = f"prev_{p[2:]}"
+    if stored in weekly.columns:
+        df = weekly
+        if since is not None:
+            df = df.filter(F.col("date") >= F.lit(since))
+        if until is not None:
+            df = df.filter(F.col("date") <= F.lit(until))
+        return df.select("symbol", "stock_id", "date", _change(F.col(p), F.col(stored)).alias("weekly_ret"))
     df = weekly.select("symbol", "date", F.col(p).alias("price"))
     if until is not None:
         df = df.filter(F.col("date") <= F.lit(until))
@@ -131,7 +164,7 @@ def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, unt
         "symbol",
         entity_key("symbol").alias("stock_id"),
         "date",
-        (F.try_divide(F.col("price") - F.col("_prev"), F.nullif(F.col("_prev"), F.lit(0.0))) * 100).alias("weekly_ret"),
+        _change(F.col("price"), F.col("_prev")).alias("weekly_ret"),
     )
     if since is not None:
         out = out.filter(F.col("date") >= F.lit(since))

@@ -94,22 +94,25 @@ def share_above(col, threshold: float) -> Column:
     return F.count_if(_c(col) > threshold) * 100.0 / F.count(F.lit(1))
 
 
+def _fits(c: Column) -> Column:
+    return ~F.isnan(c) & (F.abs(c) < F.lit(1e27))
+
+
 def round_half_up(col, digits: int) -> Column:
     """Round half away from zero on the decimal value (SQL ``ROUND(x::numeric, d)``).
 
     The double goes through DECIMAL(38,10) first, so float noise in the
-    eleventh digit cannot flip a tie; NaN / infinity pass through unchanged.
+    eleventh digit cannot flip a tie; NaN, infinity and values of 1e27 and
+    more, which have no decimals to round, pass through unchanged.
     """
     c = _c(col)
-    finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-    return F.when(finite, F.round(c.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(c)
+    return F.when(_fits(c), F.round(c.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(c)
 
 
 def round_half_even(col, digits: int) -> Column:
     """Banker's rounding (pandas ``round``), on the decimal value."""
     c = _c(col)
-    finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-    return F.when(finite, F.bround(c.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(c)
+    return F.when(_fits(c), F.bround(c.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(c)
 
 
 # Statistic modes of the heatmap (C5).  Unknown names fall back to the mean.

@@ -5,7 +5,7 @@ Plan: the hit table is a pre-aggregation (one row per entity) built before
 any join, so the join to the year's returns is entity-to-entity with bounded
 multiplicity.  The grouping by hit count has at most 13 groups however large
 the data: counts, sums, min / max and standard deviation merge partially on
-the map side, and the median uses the skew-safe sort operator.  The id list
+the map side, and the median uses the bucketed exact percentile.  The id list
 the reference pastes into SQL text becomes a semi join (no driver round trip).
 """
 
@@ -19,8 +19,6 @@ from growret.functions.periods import reporting_window
 from growret.functions.returns import annual_returns, pct_change
 from growret.operators.quantiles import grouped_with_quantiles
 
-MAX_HITS = 13  # at most 13 report months in any window
-
 
 def burst_hits(revenue: DataFrame, *, year, metric: str = "yoy_pct", low: float = 100, high: float = 1000) -> DataFrame:
     """stock_id, hits: months of the 12-month window with low <= growth < high."""
@@ -42,7 +40,7 @@ def burst_distribution(
     price: str = "year_close",
     half_even: bool = False,
     single_std_zero: bool = False,
-    quantiles: str = "auto",
+    quantiles: str = "exact",
 ) -> DataFrame:
     """Return distribution per hit count, 1 decimal.
 
@@ -60,7 +58,7 @@ def burst_distribution(
         F.max("ret").alias("_max"),
         F.stddev_samp("ret").alias("_std"),
     ]
-    g = grouped_with_quantiles(j, ["hits"], aggs, "ret", {"_med": 0.5}, strategy=quantiles, max_groups=MAX_HITS)
+    g = grouped_with_quantiles(j, ["hits"], aggs, "ret", {"_med": 0.5}, strategy=quantiles)
     rnd = stats.round_half_even if half_even else stats.round_half_up
     std = F.col("_std")
     if single_std_zero:
@@ -142,11 +140,12 @@ def burst_list(
     n_hits: int,
     metric: str = "yoy_pct",
     price: str = "year_close",
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Entities with exactly ``n_hits`` bursts: name, return, mean growth over
-    13 months and their distinct meaningful remarks; top ``limit`` by return,
-    NULLs last (G22, G23, J5, J6, F18, F21, O6)."""
+    13 months and their distinct meaningful remarks, by return, NULLs last;
+    the first ``limit`` of them if the caller gives one (G22, G23, J5, J6,
+    F18, F21, O6)."""
     h = hits.filter(F.col("hits") == int(n_hits))
     k = annual.filter(F.col("year") == F.lit(str(int(year)))).select(
         F.split_part(F.col("symbol"), F.lit("."), F.lit(1)).alias("stock_id"), F.col(price).alias("_p"), "year_open"
@@ -180,15 +179,14 @@ def burst_list(
 def burst_list_metrics(blist: DataFrame) -> DataFrame:
     """Mean, median, positive count and rate of the listed returns; NULL
     returns are skipped by mean and median but stay in the rate's
-    denominator (G44).  The list is at most ``limit`` rows, so the built-in
-    percentile is bounded here."""
-    return blist.agg(
+    denominator (G44)."""
+    aggs = [
         F.count(F.lit(1)).alias("listed"),
         F.avg("annual_return").alias("mean_return"),
-        F.percentile("annual_return", F.lit(0.5)).alias("median_return"),
         F.count_if(F.col("annual_return") > 0).alias("positive_count"),
-        (F.count_if(F.col("annual_return") > 0) * 100.0 / F.count(F.lit(1))).alias("positive_rate"),
-    )
+        F.try_divide(F.count_if(F.col("annual_return") > 0) * 100.0, F.count(F.lit(1))).alias("positive_rate"),
+    ]
+    return grouped_with_quantiles(blist, [], aggs, "annual_return", {"median_return": 0.5})
 
 
 def multi_year_stats(
@@ -199,26 +197,17 @@ def multi_year_stats(
     price: str = "year_close",
     back: int = 2,
     ahead: int = 1,
-    cap: int | None = None,
-    quantiles: str = "auto",
+    quantiles: str = "exact",
 ) -> DataFrame:
     """Returns of the hit entities in years y-back .. y+ahead, per hit count
-    and year: mean, median (1 decimal, half-even) and n (F6, J7, J8, G26, C3).
-
-    ``cap`` keeps only the first ``cap`` hit entities by id, as the reference
-    caps its id list to bound a pasted SQL text; the registered query runs
-    uncapped, over every hit entity.
+    and year: mean, median (1 decimal, half-even) and n, over every hit
+    entity (F6, J7, J8, G26, C3, O7).
     """
-    h = hits
-    if cap is not None:
-        h = h.orderBy("stock_id").limit(int(cap))
-    y = int(year)
-    yrs = annual_returns(annual, years=(y - back, y + ahead), price=price).select("stock_id", "year", "annual_return")
-    j = h.join(yrs, "stock_id", "inner")
+    j = _hit_years(hits, annual, year=year, price=price, back=back, ahead=ahead)
     keys = ["hits", "year"]
     g = grouped_with_quantiles(
         j, keys, [F.avg("annual_return").alias("_mean"), F.count(F.lit(1)).alias("n")], "annual_return",
-        {"_med": 0.5}, strategy=quantiles, max_groups=MAX_HITS * (back + ahead + 1),
+        {"_med": 0.5}, strategy=quantiles,
     )
     rnd = stats.round_half_even
     return g.select(
@@ -226,6 +215,20 @@ def multi_year_stats(
     )
 
 
+def _hit_years(hits: DataFrame, annual: DataFrame, *, year, price: str, back: int, ahead: int) -> DataFrame:
+    y = int(year)
+    yrs = annual_returns(annual, years=(y - back, y + ahead), price=price).select("stock_id", "year", "annual_return")
+    return hits.join(yrs, "stock_id", "inner")
+
+
+def multi_year_means(
+    hits: DataFrame, annual: DataFrame, *, year, price: str = "year_close", back: int = 2, ahead: int = 1
+) -> DataFrame:
+    """The means of :func:`multi_year_stats` alone, in one aggregation without percentiles (V2)."""
+    j = _hit_years(hits, annual, year=year, price=price, back=back, ahead=ahead)
+    return j.groupBy("hits", "year").agg(stats.round_half_even(F.avg("annual_return"), 1).alias("mean_ret"))
+
+
 def multi_year_pivot(ystats: DataFrame, *, year, value: str, back: int = 2, ahead: int = 1) -> DataFrame:
     """Hit counts x years of one statistic (V2, V3)."""
     y = int(year)

@@ -8,7 +8,7 @@ Both sides are already one row per entity (and month), so join keys carry
 bounded multiplicity whatever the data size; AQE picks broadcast or
 sort-merge from the runtime sizes.  The grouping is bin x month (at most
 22 x 12 groups): every statistic except the percentiles merges partially on
-the map side, and percentiles go through the skew-safe sort operator.
+the map side, and percentiles go through the bucketed exact operator.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 
 from growret.functions import stats
 from growret.functions.periods import reporting_window, window_months
-from growret.functions.returns import LAST_DOWN_BIN, TOP_BIN, bin_label, return_bins
+from growret.functions.returns import LAST_DOWN_BIN, bin_label, return_bins
 from growret.operators.quantiles import grouped_with_quantiles
 
 METRICS = ("yoy_pct", "mom_pct")
-MAX_CELLS = (TOP_BIN + 1) * 13
 
 
 def _metric(metric: str) -> str:
@@ -53,7 +52,7 @@ def heatmap_cells(
     metric: str = "yoy_pct",
     stat: str = "median",
     price: str = "year_close",
-    quantiles: str = "auto",
+    quantiles: str = "exact",
     ordered: bool = True,
 ) -> DataFrame:
     """One row per (bin, report month): the chosen statistic ``val``, the
@@ -69,7 +68,7 @@ def heatmap_cells(
     ]
     if stat in stats.QUANTILE_STATS:
         cells = grouped_with_quantiles(
-            j, keys, base_aggs, "m", stats.QUANTILE_STATS[stat], strategy=quantiles, max_groups=MAX_CELLS
+            j, keys, base_aggs, "m", stats.QUANTILE_STATS[stat], strategy=quantiles
         )
         val = F.col("val") if stat == "median" else F.col("_q75") - F.col("_q25")
         cells = cells.withColumn("val", val)
@@ -119,7 +118,7 @@ def bin_summary(
     year,
     metric: str = "yoy_pct",
     price: str = "year_close",
-    quantiles: str = "auto",
+    quantiles: str = "exact",
 ) -> DataFrame:
     """Twelve statistics per bin over all its entity-months."""
     j = binned_months(annual, revenue, year=year, metric=metric, price=price)
@@ -135,7 +134,7 @@ def bin_summary(
         stats.positive_share("m").alias("_pos"),
     ]
     g = grouped_with_quantiles(
-        j, keys, aggs, "m", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75}, strategy=quantiles, max_groups=TOP_BIN + 1
+        j, keys, aggs, "m", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75}, strategy=quantiles
     )
     r2 = stats.round_half_up
     return (
@@ -157,9 +156,10 @@ def bin_summary(
     )
 
 
-def bin_choices(summary: DataFrame) -> DataFrame:
-    """Bins offered for the drilldown, in reverse order."""
-    return summary.select("bin_order", "return_bin").orderBy(F.desc("bin_order"))
+def bin_choices(annual: DataFrame, revenue: DataFrame, *, year, metric: str = "yoy_pct", price: str = "year_close") -> DataFrame:
+    """Bins offered for the drilldown, in reverse order: those of the summary, without its statistics."""
+    bins = binned_months(annual, revenue, year=year, metric=metric, price=price).select("bin_order").distinct()
+    return bins.select("bin_order", bin_label("bin_order").alias("return_bin")).orderBy(F.desc("bin_order"))
 
 
 def heatmap_totals(cells: DataFrame) -> DataFrame:
@@ -265,10 +265,12 @@ def meaningful_remark(col: str = "remark"):
 def latest_remark(revenue: DataFrame, *, year) -> DataFrame:
     """Latest meaningful remark of each entity within the year's window.
 
-    ``max_by`` over the report month: a partial aggregate, no sort of the
-    entity's rows."""
+    An entity has at most twelve rows here, so they are listed by a hash
+    aggregation (a maximum over texts would sort all rows first) and the last
+    month's is taken from the list."""
     r = reporting_window(revenue, year=year).filter(meaningful_remark())
-    return r.groupBy("stock_id").agg(F.max_by("remark", "report_month").alias("remark"))
+    last = F.array_max(F.collect_list(F.struct("report_month", "remark")))
+    return r.groupBy("stock_id").agg(last.alias("_last")).select("stock_id", F.col("_last.remark").alias("remark"))
 
 
 def bin_drilldown(
@@ -279,13 +281,14 @@ def bin_drilldown(
     bin_order: int,
     price: str = "year_close",
     keyword: str = "",
-    limit: int = 50,
+    limit: int | None = None,
     resort: str | None = None,
 ) -> DataFrame:
     """Entities of one bin: rounded return, mean and std of both growth
-    metrics, latest remark; top ``limit`` by return, NULL first (G21, J2, J3,
-    F14, F17, O3).  ``resort`` re-orders the limited rows by another output
-    column, descending -- after the limit, as the reference does (O4, Q20)."""
+    metrics, latest remark, by return, NULL first; the first ``limit`` of them
+    if the caller gives one (G21, J2, J3, F14, F17, O3).  ``resort`` re-orders
+    these rows by another output column, descending -- after the limit, as
+    the reference does (O4, Q20)."""
     t = return_bins(annual, year=year, price=price).filter(F.col("bin_order") == int(bin_order))
     t = t.select("stock_id", "annual_return")
     m = reporting_window(revenue, year=year).select(
@@ -316,7 +319,10 @@ def bin_drilldown(
     )
     top = out.orderBy(
         F.desc_nulls_first("annual_return"), "stock_id", F.asc_nulls_first("stock_name"), F.asc_nulls_first("_ret")
-    ).limit(int(limit)).drop("_ret")
+    )
+    if limit is not None:
+        top = top.limit(int(limit))
+    top = top.drop("_ret")
     if resort is not None:
         if resort not in ("annual_return", "yoy_mean", "mom_mean", "yoy_std", "mom_std"):
             raise ValueError(f"cannot re-sort by {resort}")

@@ -1,31 +1,22 @@
-"""Exact group percentiles that survive hot groups.
-
-``percentile_cont`` per group.  Spark's built-in ``percentile`` keeps a
-value -> count map per group and merges it in one task, so a group with a
-third of all rows lands in one task's memory.  The ``sort`` strategy instead
-
-1. range-partitions the (group, value) pairs and sorts inside partitions --
-   the range partitioner samples keys, so a hot group is spread over many
-   tasks by value;
-2. counts rows per (partition, group): a table of at most
-   ``partitions + groups`` rows, whose running sum gives each partition's
-   rank offset inside each group;
-3. joins that small table back (broadcast when its bound is known, else
-   left to AQE's size check), computes every row's global rank, keeps only
-   the rows at the floor / ceiling ranks of each wanted percentile and
-   interpolates: ``lo + (p(n-1) - floor) * (hi - lo)``.
-
-Nothing but a handful of rows per group ever meets in one task.  ``hash`` is
-the built-in aggregate (right for groups of bounded size, e.g. per entity),
-``approx`` the mergeable sketch ``percentile_approx``.
-
-``auto`` (the default) is the size-checked choice, like a broadcast
-threshold: one count job bounds the input; when the *whole* input has at
-most ``spark.growret.quantile.hashRows`` rows (default one million), no
-group can be larger, and the built-in aggregate's per-group map is bounded
-by that, so ``hash`` runs; beyond it, ``sort``.  The check costs one
-counting pass over the input; a caller who knows the input is large passes
-``sort`` and skips it.
+"""Exact group percentiles that survive hot groups and ties.
+
+``percentile_cont`` per group.  Spark's built-in ``percentile`` merges a value
+-> count map per group in one task, so a group with a third of all rows lands
+in one task's memory.  Here, for inputs of any size:
+
+1. rows collapse to (group, value, count), combined before the shuffle and
+   spread by group and value, so a million ties are one row;
+2. each value has a bucket, a steadily rising function of the value alone:
+   about ``PER_E`` buckets for each factor e of its size.  Counts per (group,
+   bucket) are a small table, whose running sums say which buckets hold the
+   rank below and above each wanted percentile;
+3. only the values of those buckets are ranked within their group and bucket,
+   and the ranks give ``lo + (p(n-1) - floor) * (hi - lo)``.
+
+Everything rests on columns of the data: no partition or row ids, no stored
+intermediate, and no job while the plan is built.  A task meets the values of
+one bucket, 0.1 % of their size apart, never a group.  ``approx`` is the
+mergeable sketch ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -35,23 +26,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growret.session import checkpoint_dir
+STRATEGIES = ("exact", "approx")
+PER_E = 1024
+#: Values nearer to zero than this share the middle bucket.
+SMALLEST = 1e-9
 
-STRATEGIES = ("auto", "sort", "hash", "approx")
-BROADCAST_GROUP_BOUND = 100_000
-HASH_ROWS = 1_000_000
-HASH_ROWS_CONF = "spark.growret.quantile.hashRows"
 
+def _check(strategy: str) -> None:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
 
-def choose_strategy(base: DataFrame) -> str:
-    """``hash`` when the input is provably small enough, else ``sort``."""
-    limit = int(base.sparkSession.conf.get(HASH_ROWS_CONF, str(HASH_ROWS)))
-    # a plain count: every task sends one partial count, so no row moves
-    return "hash" if base.count() <= limit else "sort"
+
+def _bucket(v: Column) -> Column:
+    """Rises with v; infinities have buckets of their own, NaN is the largest value as in Spark's order."""
+    x = F.signum(v) * F.log1p(F.abs(v) / SMALLEST) * PER_E
+    inf = F.lit(float("inf"))
+    return (
+        F.when(F.isnan(v), F.lit(1 << 41))
+        .when(v == inf, F.lit(1 << 40))
+        .when(v == -inf, F.lit(-(1 << 40)))
+        .otherwise(F.floor(x))
+    )
 
 
-def _eq(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def _over(keys: list[str], *more: str):
+    names = [*keys, *more]
+    return Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
 
 
 def group_quantiles(
@@ -60,77 +60,50 @@ def group_quantiles(
     value: str | Column,
     probs: dict[str, float],
     *,
-    strategy: str = "auto",
-    max_groups: int | None = None,
-    num_partitions: int | None = None,
+    strategy: str = "exact",
     accuracy: int = 10_000,
 ) -> DataFrame:
     """keys..., one column per entry of ``probs`` (name -> percentile in [0, 1]).
 
-    NULL values are ignored; groups without any value are absent.
-    ``max_groups`` is a proven upper bound on the number of groups; under the
-    broadcast bound the rank-offset table is broadcast.
+    NULL values are ignored; groups without any value are absent (without
+    keys: one row of NULLs).
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    _check(strategy)
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if strategy == "auto":
-        strategy = choose_strategy(base)
-
-    if strategy == "hash":
-        aggs = [F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
-        return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
     if strategy == "approx":
         aggs = [F.percentile_approx("_v", F.lit(p), accuracy).alias(name) for name, p in probs.items()]
         return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (
-        base.repartitionByRange(parts, *keys, "_v")
-        .sortWithinPartitions(*keys, "_v")
-        .select(*keys, "_v", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    pairs = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
+    per_bucket = pairs.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    running = _over(keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per_bucket.select(
+        *keys, "_b", "_bc",
+        F.coalesce(F.sum("_bc").over(running), F.lit(0)).alias("_first"),
+        F.sum("_bc").over(_over(keys)).alias("_n"),
+    )
+    ranks = [edge(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs.values() for edge in (F.floor, F.ceil)]
+
+    def holds(first: Column, count: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(r >= first) & (r < first + count) for r in ranks])
+
+    wanted = placed.filter(holds(F.col("_first"), F.col("_bc"))).select(
+        *[F.col(c).alias(f"_w_{c}") for c in (*keys, "_b")], "_first", "_n"
     )
-    if checkpoint_dir(spark) is not None:
-        # Both consumers below (the per-partition counts and the rank join)
-        # must see the same partition ids and row ids.  A reliable checkpoint
-        # in the shared folder stores them as plain columns -- whatever
-        # later re-reads, coalescing or executor losses happen -- and cuts
-        # the lineage of the sorted frame.
-        ranked = ranked.checkpoint(eager=True)
-    per_part = ranked.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_pid").alias("_opid"),
-        "_first",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(by_group).alias("_n"),
-    )
-    if max_groups is not None and max_groups + parts <= BROADCAST_GROUP_BOUND:
-        offsets = F.broadcast(offsets)
-    cond = [ranked["_pid"] == offsets["_opid"]] + [ranked[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys]
-    j = ranked.join(offsets, reduce(lambda a, b: a & b, cond), "inner")
-    rank = F.col("_off") + F.col("_mid") - F.col("_first")
-    pos = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in probs.items()}
-    wanted = reduce(
-        lambda a, b: a | b,
-        [(rank == F.floor(ps)) | (rank == F.ceil(ps)) for ps in pos.values()],
-    )
-    picked = j.filter(wanted).select(*keys, "_v", "_n", rank.alias("_rank"))
-    aggs = [F.max("_n").alias("_n")]
+    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in (*keys, "_b")]
+    near = pairs.join(wanted, reduce(lambda a, b: a & b, same)).select(*keys, "_b", "_v", "_c", "_first", "_n")
+    within = _over(keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = near.withColumn("_at", F.col("_first") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    aggs, outs = [], []
     for name, p in probs.items():
-        ps = F.lit(float(p)) * (F.col("_n") - 1)
-        aggs.append(F.max(F.when(F.col("_rank") == F.floor(ps), F.col("_v"))).alias(f"_lo_{name}"))
-        aggs.append(F.max(F.when(F.col("_rank") == F.ceil(ps), F.col("_v"))).alias(f"_hi_{name}"))
-    g = picked.groupBy(*keys).agg(*aggs) if keys else picked.agg(*aggs)
-    outs = []
-    for name, p in probs.items():
-        ps = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((lo + (ps - F.floor(ps)) * (hi - lo)).alias(name))
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (rank >= F.col("_at")) & (rank < F.col("_at") + F.col("_c"))
+            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
+        lo, hi, share = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), at - F.floor(at)
+        outs.append(F.when(lo == hi, lo).otherwise(lo + share * (hi - lo)).alias(name))
+    g = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs) if keys else ranked.agg(F.max("_n").alias("_n"), *aggs)
     return g.select(*keys, *outs)
 
 
@@ -141,33 +114,22 @@ def grouped_with_quantiles(
     value: str | Column,
     probs: dict[str, float],
     *,
-    strategy: str = "auto",
-    max_groups: int | None = None,
+    strategy: str = "exact",
 ) -> DataFrame:
     """keys, ``aggs`` and the percentile columns of ``probs`` per group.
 
-    On the hash / approx path the percentiles join the other aggregates in a
-    single grouped aggregation (one pass over ``df``); on the sort path they
-    come from :func:`group_quantiles` and are joined on the keys (both sides
-    have one row per group).
+    The sketch joins the other aggregates in one aggregation; the exact
+    percentiles are joined on the keys (both sides have one row per group).
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}")
-    if strategy == "auto":
-        strategy = choose_strategy(df)
+    _check(strategy)
     v = F.col(value) if isinstance(value, str) else value
-    if strategy in ("hash", "approx"):
-        qf = (lambda p: F.percentile(v, F.lit(p))) if strategy == "hash" else (lambda p: F.percentile_approx(v, F.lit(p), 10_000))
-        allaggs = list(aggs) + [qf(p).alias(name) for name, p in probs.items()]
-        return df.groupBy(*keys).agg(*allaggs) if keys else df.agg(*allaggs)
+    if strategy == "approx":
+        both = [*aggs, *[F.percentile_approx(v, F.lit(p), 10_000).alias(name) for name, p in probs.items()]]
+        return df.groupBy(*keys).agg(*both) if keys else df.agg(*both)
     g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    q = group_quantiles(df, keys, v, probs, strategy="sort", max_groups=max_groups)
+    q = group_quantiles(df, keys, v, probs)
     if not keys:
-        return _single_row_join(g, q)
-    return g.join(q, keys, "left")
-
-
-def _single_row_join(g: DataFrame, q: DataFrame) -> DataFrame:
-    """Attach the one-row quantile frame to the one-row aggregate frame."""
-    key = F.lit(0)
-    return g.withColumn("_one", key).join(q.withColumn("_one", key), "_one", "left").drop("_one")
+        return g.withColumn("_one", F.lit(0)).join(q.withColumn("_one", F.lit(0)), "_one", "left").drop("_one")
+    named = q.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return g.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])

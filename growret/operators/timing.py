@@ -8,7 +8,7 @@ Plan:
   threshold / year / keyword filters *after* the lag (Q10);
 * weekly returns -- LAG over each symbol's bars, restricted to the dates
   any event can look at plus each symbol's one bar before them (its lag
-  input), so the window never sorts a symbol's whole history;
+  input), or with the previous prices stored beside each bar, no window;
 * event x bars -- an equi join on the entity with the date range
   ``base - 38 d .. base + 30 d`` as a residual condition: bars outside the
   range would only feed NULL to every stage mean, and an event without bars
@@ -17,7 +17,7 @@ Plan:
   runtime sizes;
 * stage statistics -- the five stage columns unpivoted to (stage, ret), so
   every statistic is one grouped aggregate over 5 groups, with percentiles
-  from the skew-safe sort operator.
+  from the bucketed exact operator.
 """
 
 from __future__ import annotations
@@ -49,7 +49,11 @@ REACH_AFTER = 30
 # The five-bucket distribution edges (-inf, -5, -1, 1, 5, inf)
 # and the +-5 tail cut-offs, the +-0.5 skew and +-2 kurtosis class limits.
 DIST_EDGES = [-5.0, -1.0, 1.0, 5.0]
-DIST_LABELS = ["big drop (<-5%)", "small drop", "flat", "small rise", "big rise (>5%)"]
+DIST_LABELS = [
+    f"below {DIST_EDGES[0]:g}%",
+    *[f"{a:g}% to {b:g}%" for a, b in zip(DIST_EDGES, DIST_EDGES[1:])],
+    f"{DIST_EDGES[-1]:g}% and above",
+]
 TAIL = 5.0
 SKEW_LIMIT = 0.5
 KURT_LIMIT = 2.0
@@ -130,12 +134,13 @@ def stage_values(study: DataFrame) -> DataFrame:
     return u.withColumn("stage_no", no)
 
 
-def stage_means(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
-    """Mean, median (2 decimals) and count per stage; zeros when a stage is empty."""
+def stage_means(study: DataFrame, *, quantiles: str = "exact") -> DataFrame:
+    """Mean, median (2 decimals) and count per stage, zeros when a stage is
+    empty, and the number of events, the same in each row (G27, F23)."""
     v = stage_values(study)
     g = grouped_with_quantiles(
-        v, ["stage_no", "stage"], [F.avg("ret").alias("_mean"), F.count("ret").alias("n")], "ret", {"_med": 0.5},
-        strategy=quantiles, max_groups=len(STAGES),
+        v, ["stage_no", "stage"], [F.avg("ret").alias("_mean"), F.count("ret").alias("n"), F.count(F.lit(1)).alias("events")], "ret", {"_med": 0.5},
+        strategy=quantiles,
     )
     r2 = stats.round_half_even
     return (
@@ -144,12 +149,13 @@ def stage_means(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
             F.coalesce(r2("_mean", 2), F.lit(0.0)).alias("mean"),
             F.coalesce(r2("_med", 2), F.lit(0.0)).alias("median"),
             "n",
+            "events",
         )
         .orderBy("stage_no")
     )
 
 
-def stage_stats(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
+def stage_stats(study: DataFrame, *, quantiles: str = "exact") -> DataFrame:
     """Advanced statistics per stage with at least two values.
 
     Skew and kurtosis are the bias-adjusted estimators; CV and tail ratio are
@@ -167,7 +173,7 @@ def stage_stats(study: DataFrame, *, quantiles: str = "auto") -> DataFrame:
     ]
     g = grouped_with_quantiles(
         v, ["stage_no", "stage"], aggs, "ret", {"_q25": 0.25, "_q50": 0.5, "_q75": 0.75},
-        strategy=quantiles, max_groups=len(STAGES),
+        strategy=quantiles,
     )
     r = stats.round_half_even
     inf = F.lit(float("inf"))
@@ -254,7 +260,7 @@ def stage_histogram(study: DataFrame, *, bins: int = 25) -> DataFrame:
     )
 
 
-def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5, quantiles: str = "auto") -> DataFrame:
+def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5, quantiles: str = "exact") -> DataFrame:
     """Events whose stage return lies strictly outside [q25 - k IQR, q75 + k IQR];
     stages with fewer than four values report none (C2)."""
     v = stage_values(study).filter(F.col("ret").isNotNull())
@@ -264,7 +270,7 @@ def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5
         v = v.filter(F.col("stage") == stage)
     q = grouped_with_quantiles(
         v, ["stage"], [F.count(F.lit(1)).alias("_n")], "ret", {"_q25": 0.25, "_q75": 0.75},
-        strategy=quantiles, max_groups=len(STAGES),
+        strategy=quantiles,
     )
     iqr = F.col("_q75") - F.col("_q25")
     fences = q.filter(F.col("_n") >= 4).select(
@@ -276,9 +282,10 @@ def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5
     )
 
 
-def report_slice(study: DataFrame, *, rows: int = 300) -> DataFrame:
-    """First rows of the event list with eight columns, as handed to a report."""
-    return study.select(
+def report_slice(study: DataFrame, *, rows: int | None = None) -> DataFrame:
+    """The event list with eight columns, as handed to a report; its first ``rows`` if given."""
+    out = study.select(
         "stock_id", "stock_name", "growth_val", "pre_month", "pre_week", "after_week_1", "after_month", "remark",
         "report_month",
-    ).orderBy(F.desc_nulls_first("pre_month"), "stock_id", "report_month").limit(rows).drop("report_month")
+    ).orderBy(F.desc_nulls_first("pre_month"), "stock_id", "report_month")
+    return (out if rows is None else out.limit(rows)).drop("report_month")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from growret.functions.periods import date_text, reporting_window, window_months
 from growret.functions.returns import return_bins
 from growret.operators import heatmap as H
-from growret.plans.params import DRILL_BIN, DRILL_LIMIT, METRIC, PRICE, YEAR
+from growret.plans.params import DOWN_BIN, DRILL_BIN, DRILL_TOP, KEYWORD, METRIC, PRICE, YEAR
 from growret.plans.registry import register
 from growret.plans.sqltext import (
     annual_cte,
@@ -54,6 +54,16 @@ def _return_bins(t):
     return return_bins(t["stock_annual_k"], year=Y, price="year_high")
 
 
+@register(
+    "return_bins_known",
+    with_fixtures(bins_cte(Y, PRICE))
+    + f"\nSELECT symbol, stock_id, year, annual_return, bin_order, {LABEL} AS return_bin FROM bins WHERE annual_return IS NOT NULL",
+    doubles=("annual_return",),
+)
+def _return_bins_known(t):
+    return return_bins(t["stock_annual_k"], year=Y, price=PRICE, null_bin="drop")
+
+
 # -- F7-F10, X13 -------------------------------------------------------------
 _RW_COLS = "stock_id, stock_name, report_month, yoy_pct, mom_pct, remark"
 
@@ -97,6 +107,7 @@ FROM {src} GROUP BY bin_order, report_month"""
 
 
 _CELL_DOUBLES = ("val", "avg_annual_return")
+_CELL_ORDER = "bin_order, report_month"
 _STAT_SQL = {
     "median": ("quantile_cont(m, 0.5)", "median", False),
     "mean": ("avg(m)", "mean", False),
@@ -114,7 +125,7 @@ def _make_cells(key_stat: str):
     stat = _STAT_NAME.get(key_stat, key_stat)
     val, label, moments = _STAT_SQL[key_stat]
 
-    @register(f"heatmap_{key_stat}", _cells_sql(val, stat, label, moments=moments), doubles=_CELL_DOUBLES)
+    @register(f"heatmap_{key_stat}", _cells_sql(val, stat, label, moments=moments), doubles=_CELL_DOUBLES, order=_CELL_ORDER)
     def _q(t):
         return H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, stat=stat, price=PRICE)
 
@@ -127,6 +138,7 @@ for _s in _STAT_SQL:
     "heatmap_high_mom",
     _cells_sql("quantile_cont(m, 0.5)", "median", "median", metric="mom_pct", price="year_high"),
     doubles=_CELL_DOUBLES,
+    order=_CELL_ORDER,
 )
 def _cells_high_mom(t):
     return H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric="mom_pct", stat="median", price="year_high")
@@ -156,6 +168,7 @@ SELECT bin_order, {LABEL} AS return_bin,
        {_PIVOT_COLS}
 FROM cells GROUP BY bin_order""",
     doubles=tuple(f"m{m}" for m in _MONTHS),
+    order="bin_order",
 )
 def _pivot(t):
     return H.heatmap_pivot(_median_cells(t), year=Y)
@@ -184,16 +197,17 @@ def _summary(t):
     return H.bin_summary(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, price=PRICE)
 
 
-register("bin_summary", _SUMMARY_SQL, doubles=_SUMMARY_DOUBLES)(_summary)
+register("bin_summary", _SUMMARY_SQL, doubles=_SUMMARY_DOUBLES, order="bin_order")(_summary)
 
 
 @register(
     "bin_list_desc",
     with_fixtures(binned_months_cte(Y, METRIC, PRICE))
     + f"\nSELECT DISTINCT bin_order, {LABEL} AS return_bin FROM j",
+    order="bin_order DESC",
 )
 def _bin_list(t):
-    return H.bin_choices(_summary(t))
+    return H.bin_choices(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric=METRIC, price=PRICE)
 
 
 # -- G37, G38, G39, G40, F25, C4 ---------------------------------------------
@@ -266,41 +280,55 @@ def _latest_remark(t):
 
 
 # -- J2, J3, G21, F14, F17, O3, O4 --------------------------------------------
-def _drill_sql(keyword: str, bin_no: int = DRILL_BIN, limit: int = DRILL_LIMIT) -> str:
+def _drill_sql(keyword: str = "", bin_no: int = DRILL_BIN, limit: int | None = None) -> str:
+    """Each entity's year is summed up first, then the bin's rows pick theirs."""
+    lim = "" if limit is None else f"\nLIMIT {limit}"
     return with_fixtures(bins_cte(Y, PRICE), _LATEST_REMARK_CTE) + f""",
-t AS (SELECT stock_id, annual_return FROM bins WHERE bin_order = {bin_no}),
-m AS (SELECT stock_id, stock_name, yoy_pct, mom_pct FROM monthly_revenue WHERE {window_in(Y)}),
-g AS (
-  SELECT m.stock_id, m.stock_name, t.annual_return AS ret, lr.remark,
-         {r_half_up('avg(m.yoy_pct)', 1)} AS yoy_mean, {r_half_up('avg(m.mom_pct)', 1)} AS mom_mean,
-         {r_half_up('stddev_samp(m.yoy_pct)', 1)} AS yoy_std, {r_half_up('stddev_samp(m.mom_pct)', 1)} AS mom_std
-  FROM m JOIN t ON m.stock_id = t.stock_id LEFT JOIN lr ON m.stock_id = lr.stock_id
-  WHERE contains(m.stock_name, '{keyword}') OR (lr.remark IS NOT NULL AND contains(lr.remark, '{keyword}'))
-  GROUP BY m.stock_id, m.stock_name, t.annual_return, lr.remark)
-SELECT stock_id, stock_name, {r_half_up('ret', 1)} AS annual_return, yoy_mean, mom_mean, yoy_std, mom_std,
-       remark AS latest_remark
-FROM g
-ORDER BY {r_half_up('ret', 1)} DESC NULLS FIRST, stock_id, stock_name NULLS FIRST, ret NULLS FIRST
-LIMIT {limit}"""
+entity_year AS (
+  SELECT stock_id, stock_name,
+         {r_half_up('avg(yoy_pct)', 1)} AS yoy_mean, {r_half_up('avg(mom_pct)', 1)} AS mom_mean,
+         {r_half_up('stddev_samp(yoy_pct)', 1)} AS yoy_std, {r_half_up('stddev_samp(mom_pct)', 1)} AS mom_std
+  FROM monthly_revenue WHERE {window_in(Y)} GROUP BY stock_id, stock_name)
+SELECT stock_id, stock_name, {r_half_up('bins.annual_return', 1)} AS annual_return,
+       yoy_mean, mom_mean, yoy_std, mom_std, lr.remark AS latest_remark
+FROM bins JOIN entity_year USING (stock_id) LEFT JOIN lr USING (stock_id)
+WHERE bin_order = {bin_no} AND (instr(stock_name, '{keyword}') > 0 OR instr(coalesce(lr.remark, ''), '{keyword}') > 0
+      OR ('{keyword}' = '' AND coalesce(stock_name, lr.remark) IS NOT NULL))
+ORDER BY {r_half_up('bins.annual_return', 1)} DESC NULLS FIRST, stock_id, stock_name NULLS FIRST, bins.annual_return NULLS FIRST{lim}"""
 
 
 _DRILL_DOUBLES = ("annual_return", "yoy_mean", "mom_mean", "yoy_std", "mom_std")
 
 
-@register("bin_drilldown", _drill_sql(""), doubles=_DRILL_DOUBLES)
+def _drilldown(t, bin_no=DRILL_BIN, **kw):
+    return H.bin_drilldown(t["stock_annual_k"], t["monthly_revenue"], year=Y, bin_order=bin_no, price=PRICE, **kw)
+
+
+@register("bin_drilldown", _drill_sql(), doubles=_DRILL_DOUBLES)
 def _drill(t):
-    return H.bin_drilldown(t["stock_annual_k"], t["monthly_revenue"], year=Y, bin_order=DRILL_BIN, price=PRICE, limit=DRILL_LIMIT)
+    return _drilldown(t)
+
 
+@register("bin_drilldown_down", _drill_sql(bin_no=DOWN_BIN), doubles=_DRILL_DOUBLES)
+def _drill_down(t):
+    return _drilldown(t, DOWN_BIN)
 
-@register("bin_drilldown_keyword", _drill_sql("bolt"), doubles=_DRILL_DOUBLES)
+
+@register("bin_drilldown_keyword", _drill_sql(KEYWORD), doubles=_DRILL_DOUBLES)
 def _drill_kw(t):
-    return H.bin_drilldown(
-        t["stock_annual_k"], t["monthly_revenue"], year=Y, bin_order=DRILL_BIN, price=PRICE, keyword="bolt", limit=DRILL_LIMIT
-    )
+    return _drilldown(t, keyword=KEYWORD)
 
 
-@register("bin_drilldown_resorted", _drill_sql("", limit=10), doubles=_DRILL_DOUBLES)
+@register(
+    "bin_drilldown_top",
+    _drill_sql(limit=DRILL_TOP),
+    doubles=_DRILL_DOUBLES,
+    order="annual_return DESC NULLS FIRST, stock_id",
+)
+def _drill_top(t):
+    return _drilldown(t, limit=DRILL_TOP)
+
+
+@register("bin_drilldown_resorted", _drill_sql(limit=DRILL_TOP), doubles=_DRILL_DOUBLES, order="yoy_std DESC NULLS LAST, stock_id")
 def _drill_resorted(t):
-    return H.bin_drilldown(
-        t["stock_annual_k"], t["monthly_revenue"], year=Y, bin_order=DRILL_BIN, price=PRICE, limit=10, resort="yoy_std"
-    )
+    return _drilldown(t, limit=DRILL_TOP, resort="yoy_std")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from growret.plans.finalize import finalize, sql_finalize
 from growret.sources.store import model_tables, shared
@@ -17,22 +18,35 @@ class Query:
     build: Callable[[dict[str, DataFrame]], DataFrame]
     sql: str | None
     doubles: tuple[str, ...]
+    order: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return finalize(self.build(model_tables(spark, sf_dir)))
+        out = finalize(self.build(model_tables(spark, sf_dir)))
+        if self.order is None:
+            return out
+        # the place of each row in the result as returned; these results are
+        # bounded by bins, months, hits or stages, so one task numbers them
+        return out.withColumn("position", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
 
     def oracle(self) -> str | None:
-        return None if self.sql is None else sql_finalize(self.sql, self.doubles)
+        if self.sql is None:
+            return None
+        body = sql_finalize(self.sql, self.doubles)
+        if self.order is None:
+            return body
+        return f"SELECT *, CAST(row_number() OVER (ORDER BY {self.order}) AS INTEGER) AS position FROM (\n{body}\n) AS ordered"
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(key: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
+def register(key: str, sql: str | None = None, doubles: tuple[str, ...] = (), order: str | None = None):
+    """``order`` is SQL for the row order the result promises; it adds a ``position`` column to both engines."""
+
     def deco(fn):
         if key in REGISTRY:
             raise KeyError(f"duplicate query key {key}")
-        REGISTRY[key] = Query(key, fn, sql, tuple(doubles))
+        REGISTRY[key] = Query(key, fn, sql, tuple(doubles), order)
         return fn
 
     return deco

@@ -13,7 +13,11 @@ from pyspark.sql import SparkSession
 
 
 def build_session(
-    master: str = "local[8]", shuffle_partitions: int = 8, app: str = "growret", event_log_dir: str | None = None
+    master: str = "local[8]",
+    shuffle_partitions: int = 8,
+    app: str = "growret",
+    event_log_dir: str | None = None,
+    driver_memory: str | None = None,
 ) -> SparkSession:
     b = SparkSession.builder
     if event_log_dir is not None:
@@ -23,6 +27,8 @@ def build_session(
             .config("spark.eventLog.rolling.enabled", "false")
             .config("spark.eventLog.compress", "false")
         )
+    if driver_memory is not None:  # else Spark's own setting
+        b = b.config("spark.driver.memory", driver_memory)
     spark = (
         b.master(master)
         .appName(app)
@@ -33,7 +39,6 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

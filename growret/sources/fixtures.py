@@ -4,98 +4,97 @@ Entity = supplier, price = unit price of a line (extended price / quantity),
 revenue = discounted line value summed per month.  The definitions equal the
 text in FIXTURES.md, which also runs in DuckDB as the oracle's CTE prefix.
 
-Plan shape: lineitem is joined to part (for the product name) and scanned
-once; one hash aggregation reduces it to (supplier, month, week) cells.  The
-three model tables are roll-ups of that small cell table, so the large
-shuffle happens once instead of three times.  Every aggregate used here
-(sum, count, max, min_by, max_by) merges partially on the map side, so a
-supplier holding a third of all lines costs no more than any other.
+Plan shape: lineitem is joined to part's name ranks and scanned once; one hash
+aggregation reduces it to (supplier, day) cells.  The model tables are
+roll-ups of that cell table, so the large shuffle happens once.  Every buffer
+of the aggregation has a fixed width -- sums, counts, a price by the smallest
+or largest line number, and for the largest part name its rank in the order
+of all names -- so Spark combines in hash maps on both sides of the shuffle
+and never sorts the lines.  A supplier holding a third of all lines costs no
+more than any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the fixture definition: six-digit zero-padded entity codes,
-# suffix '.TW' for even supplier keys and '.TWO' for odd ones, remark codes by
-# line count (1 -> '-', 2 -> '', 3 -> NULL, else the largest part name).
+# Fixed values of the fixture definition: entity codes zero-padded to six
+# digits at least, suffix '.TW' for even supplier keys and '.TWO' for odd
+# ones, remark codes by line count (1 -> '-', 2 -> '', 3 -> NULL, else the
+# largest part name).
 ID_WIDTH = 6
 EVEN_SUFFIX = ".TW"
 ODD_SUFFIX = ".TWO"
 MINGUO_OFFSET = 1911
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer tasks than the cluster has cores.
-
-    A file with a single row group is read by one task however large the
-    cluster; spreading it (no key, so no skew) lets the partial aggregation
-    after it run on every core.  Inputs already split into enough tasks --
-    any large table -- are left alone.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def read_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate",
     )
-    li = spread(li)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     return {"lineitem": li, "part": part, "supplier": supplier}
 
 
-def line_cells(star: dict[str, DataFrame]) -> DataFrame:
-    """(supplier, month, week) cells of lineitem x part: the one heavy pass."""
-    li, part = star["lineitem"], star["part"]
-    line = li.join(part, li.l_partkey == part.p_partkey, "inner")
-    key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    px = F.col("l_extendedprice") / F.col("l_quantity")
-    line = line.select(
+def name_ranks(part: DataFrame) -> DataFrame:
+    """p_partkey, p_name, name_rank: rises with the name.  To be stored before
+    use, as the ids follow the sort's partitions."""
+    return part.orderBy("p_name").withColumn("name_rank", F.monotonically_increasing_id())
+
+
+def line_cells(lineitem: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(supplier, day) cells of lineitem x part: the one heavy pass.
+
+    A day's lines are ordered by (time, order, line number, price, quantity).
+    The five are the digits of one number, whose casts fail loudly if a value
+    has more digits than its place."""
+    rank = ranks.select("p_partkey", "name_rank")
+    places = [
+        (F.hour("l_shipdate") * 3600 + F.minute("l_shipdate") * 60 + F.second("l_shipdate"), 5),
+        (F.col("l_orderkey"), 16),
+        (F.col("l_linenumber"), 4),
+        (F.round(F.col("l_extendedprice") * 100), 10),
+        (F.round(F.col("l_quantity")), 3),
+    ]
+    digits = F.concat(*[F.lpad(c.cast(f"decimal({n},0)").cast("string"), n, "0") for c, n in places])
+    rows = lineitem.join(rank, F.col("l_partkey") == F.col("p_partkey"), "inner").select(
         "l_suppkey",
         F.to_date("l_shipdate").alias("d"),
-        F.to_date(F.date_trunc("month", "l_shipdate")).alias("mon"),
-        F.to_date(F.date_trunc("week", "l_shipdate")).alias("wk"),
-        "p_name",
+        "name_rank",
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("amt"),
-        px.alias("px"),
-        key.alias("k"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
+        digits.cast("decimal(38,0)").alias("line"),
     )
-    # The first / last line of a cell is the min / max of (key, price): a tie
-    # on the whole key means equal price and quantity, hence an equal price,
-    # so this equals min_by / max_by over the key with half the aggregates.
-    line = line.withColumn("kp", F.struct("k", "px"))
-    return line.groupBy("l_suppkey", "mon", "wk").agg(
+    return rows.groupBy("l_suppkey", "d").agg(
         F.sum("amt").alias("amt"),
         F.count(F.lit(1)).alias("n"),
-        F.max("p_name").alias("nm"),
-        F.min("kp").alias("first"),
-        F.max("kp").alias("last"),
+        F.max("name_rank").alias("name_rank"),
+        F.min_by("px", "line").alias("px_first"),
+        F.max_by("px", "line").alias("px_last"),
         F.max("px").alias("px_high"),
-        F.max("d").alias("d_last"),
     )
 
 
-def _stock_id(suppkey: F.Column) -> F.Column:
-    return F.lpad(suppkey.cast("string"), ID_WIDTH, "0")
+def _stock_id(suppkey: Column) -> Column:
+    text = suppkey.cast("string")
+    return F.when(F.length(text) < ID_WIDTH, F.lpad(text, ID_WIDTH, "0")).otherwise(text)
 
 
-def _symbol(suppkey: F.Column) -> F.Column:
+def _symbol(suppkey: Column) -> Column:
     return F.concat(
         _stock_id(suppkey),
         F.when(suppkey % 2 == 0, F.lit(EVEN_SUFFIX)).otherwise(F.lit(ODD_SUFFIX)),
     )
 
 
-def monthly_revenue(cells: DataFrame, supplier: DataFrame) -> DataFrame:
-    rev = cells.groupBy("l_suppkey", "mon").agg(
+def monthly_revenue(cells: DataFrame, supplier: DataFrame, ranks: DataFrame) -> DataFrame:
+    rev = cells.groupBy("l_suppkey", F.to_date(F.date_trunc("month", "d")).alias("mon")).agg(
         F.sum("amt").cast("double").alias("revenue"),
         F.sum("n").alias("n"),
-        F.max("nm").alias("nm"),
+        F.max("name_rank").alias("name_rank"),
     )
     # Revenue exactly one and twelve months earlier (NULL when that month is
     # missing): a range frame over a month index selects precisely that row,
@@ -108,6 +107,7 @@ def monthly_revenue(cells: DataFrame, supplier: DataFrame) -> DataFrame:
         F.max("revenue").over(by_supp.rangeBetween(-1, -1)).alias("rev_prev"),
         F.max("revenue").over(by_supp.rangeBetween(-12, -12)).alias("rev_year_ago"),
     ).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "inner")
+    r = r.join(ranks.select("name_rank", "p_name"), "name_rank", "inner")
     report_month = F.concat(
         F.lpad((F.year("mon") - MINGUO_OFFSET).cast("string"), 3, "0"),
         F.lit("_"),
@@ -117,7 +117,7 @@ def monthly_revenue(cells: DataFrame, supplier: DataFrame) -> DataFrame:
         F.when(F.col("n") == 1, F.lit("-"))
         .when(F.col("n") == 2, F.lit(""))
         .when(F.col("n") == 3, F.lit(None).cast("string"))
-        .otherwise(F.col("nm"))
+        .otherwise(F.col("p_name"))
     )
     return r.select(
         _stock_id(F.col("l_suppkey")).alias("stock_id"),
@@ -130,10 +130,10 @@ def monthly_revenue(cells: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 def stock_annual_k(cells: DataFrame) -> DataFrame:
-    a = cells.groupBy("l_suppkey", F.year("mon").alias("yr")).agg(
-        F.min("first").px.alias("year_open"),
+    a = cells.groupBy("l_suppkey", F.year("d").alias("yr")).agg(
+        F.min_by("px_first", "d").alias("year_open"),
         F.max("px_high").alias("year_high"),
-        F.max("last").px.alias("year_close"),
+        F.max_by("px_last", "d").alias("year_close"),
     )
     return a.select(
         _symbol(F.col("l_suppkey")).alias("symbol"),
@@ -143,25 +143,22 @@ def stock_annual_k(cells: DataFrame) -> DataFrame:
 
 
 def stock_weekly_k(cells: DataFrame) -> DataFrame:
-    w = cells.groupBy("l_suppkey", "wk").agg(
-        F.max("last").px.alias("w_close"),
+    w = cells.groupBy("l_suppkey", F.to_date(F.date_trunc("week", "d")).alias("wk")).agg(
+        F.max_by("px_last", "d").alias("w_close"),
         F.max("px_high").alias("w_high"),
     )
     return w.select(_symbol(F.col("l_suppkey")).alias("symbol"), F.col("wk").alias("date"), "w_close", "w_high")
 
 
 def stock_prices(cells: DataFrame) -> DataFrame:
-    """Distinct price dates; only MAX(date) of this table is ever read."""
-    return cells.select(F.col("d_last").alias("date")).distinct()
+    """The date of every line, from the cells' counts."""
+    return cells.select(F.explode(F.array_repeat("d", F.col("n").cast("int"))).alias("date"))
 
 
-def derive_model_tables(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> dict[str, DataFrame]:
-    star = read_star(spark, sf_dir)
-    if cells is None:
-        cells = line_cells(star)
+def derive_model_tables(cells: DataFrame, supplier: DataFrame, ranks: DataFrame) -> dict[str, DataFrame]:
     return {
         "stock_annual_k": stock_annual_k(cells),
-        "monthly_revenue": monthly_revenue(cells, star["supplier"]),
+        "monthly_revenue": monthly_revenue(cells, supplier, ranks),
         "stock_weekly_k": stock_weekly_k(cells),
         "stock_prices": stock_prices(cells),
     }

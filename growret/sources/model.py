@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from growret.functions.periods import report_month_text
+
 MODEL_SCHEMAS: dict[str, T.StructType] = {
     "stock_annual_k": T.StructType(
         [
@@ -51,14 +53,45 @@ MODEL_SCHEMAS: dict[str, T.StructType] = {
 
 MODEL_TABLES = tuple(MODEL_SCHEMAS)
 
+#: Columns a stored table may hold beside the declared ones (``store.store_model_tables`` adds them).
+PREPARED: dict[str, dict[str, str]] = {
+    "stock_annual_k": {"stock_id": "string"},
+    "stock_weekly_k": {"stock_id": "string", "prev_close": "double", "prev_high": "double"},
+}
+
 
 def check_schema(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast the declared columns of ``name``; fail on missing ones."""
+    """Select and cast the declared columns of ``name`` and those prepared ones
+    it has; fail on missing ones."""
     schema = MODEL_SCHEMAS[name]
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"table {name} lacks columns {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    prepared = {c: t for c, t in PREPARED.get(name, {}).items() if c in df.columns}
+    return df.select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields],
+        *[F.col(c).cast(t).alias(c) for c, t in prepared.items()],
+    )
+
+
+def jdbc_predicates(name: str, years: range) -> list[str]:
+    """Disjoint conditions that cover every row of a table, one per year or
+    report month of ``years`` and one for all other rows (NULL keys too).
+
+    The keys of the two largest tables are texts, which numeric bounds cannot
+    split; each condition becomes one task with a connection of its own."""
+    if name == "stock_annual_k":
+        column, values = "year", [str(y) for y in years]
+    elif name == "monthly_revenue":
+        column, values = "report_month", [report_month_text(y, m) for y in years for m in range(1, 13)]
+    else:
+        spans = [(f"{y}-01-01", f"{y + 1}-01-01") for y in years]
+        inside = [f"date >= DATE '{a}' AND date < DATE '{b}'" for a, b in spans]
+        return [*inside, f"date < DATE '{spans[0][0]}' OR date >= DATE '{spans[-1][1]}' OR date IS NULL"] if spans else ["1 = 1"]
+    if not values:
+        return ["1 = 1"]
+    listed = ", ".join(f"'{v}'" for v in values)
+    return [*[f"{column} = '{v}'" for v in values], f"{column} NOT IN ({listed}) OR {column} IS NULL"]
 
 
 def load_model_tables(
@@ -68,17 +101,20 @@ def load_model_tables(
     jdbc_url: str | None = None,
     jdbc_properties: dict | None = None,
     jdbc_partitions: dict | None = None,
+    jdbc_years: range = range(2010, 2031),
 ) -> dict[str, DataFrame]:
     """Load the model tables from ``{path}/{name}`` parquet folders, or over JDBC.
 
-    ``jdbc_partitions`` maps a table name to ``dict(column=, lowerBound=,
-    upperBound=, numPartitions=)`` so large tables are read by parallel range
-    queries instead of one connection.
+    Over JDBC each table is read by parallel queries: one per year or report
+    month of ``jdbc_years`` and one for the rest (:func:`jdbc_predicates`).
+    ``jdbc_partitions`` maps a table name to other options of
+    ``spark.read.jdbc``, such as ``dict(predicates=[...])`` or ``dict(column=,
+    lowerBound=, upperBound=, numPartitions=)``.
     """
     out: dict[str, DataFrame] = {}
     for name in MODEL_TABLES:
         if jdbc_url is not None:
-            opts = dict(jdbc_partitions.get(name, {})) if jdbc_partitions else {}
+            opts = (jdbc_partitions or {}).get(name) or {"predicates": jdbc_predicates(name, jdbc_years)}
             df = spark.read.jdbc(jdbc_url, name, properties=jdbc_properties or {}, **opts)
         elif path is not None:
             df = spark.read.parquet(f"{path}/{name}")

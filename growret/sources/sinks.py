@@ -12,26 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False, mode: str = "overwrite") -> str:
+    """Any result frame -- heatmap matrix (K1), burst list (K2), event rows (K3) -- as a CSV folder."""
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
     return path
 
 
-def write_heatmap_csv(pivot: DataFrame, path: str, **kw) -> str:
-    """Heatmap matrix with its bin key columns (K1)."""
-    return write_csv(pivot, path, **kw)
-
-
-def write_burst_list_csv(blist: DataFrame, path: str, **kw) -> str:
-    """Burst list, no index column (K2)."""
-    return write_csv(blist, path, **kw)
-
-
-def write_event_csv(study: DataFrame, path: str, **kw) -> str:
-    """Event-study rows (K3)."""
-    return write_csv(study, path, **kw)
-
-
 def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     """Expose the model tables to ``spark.sql(text, args={...})`` with bound
     parameters instead of text pasted into the statement."""

@@ -1,36 +1,34 @@
-"""Shared, materialized model tables per (application, data folder).
+"""Shared, stored model tables per (application, data folder).
 
 The reference caches each query result for an hour.  Here the shared inputs
 -- the model tables, and intermediate results several queries start from,
-such as the event study the stage statistics read -- are materialized once
-and every query reads them:
-
-* if the session names a shared ``spark.checkpoint.dir``, the tables are
-  written there as parquet (annual bars partitioned by ``year``, monthly rows
-  by ``report_month``, weekly bars clustered by date) and read back, which
-  cuts lineage -- a lost executor re-reads files instead of recomputing the
-  lineitem aggregation -- and lets the year / month filters prune whole
-  folders and the date filter skip row groups;
-* otherwise they are persisted (memory, then disk); lineage stays and lost
-  blocks are recomputed.
+such as the event study the stage statistics read -- are written once as
+parquet to the session's shared checkpoint folder, and every query reads
+them.  That cuts lineage (a lost executor re-reads files instead of redoing
+the lineitem aggregation) and gives one layout to all: annual bars by
+``year``, monthly rows by ``report_month``, weekly bars clustered by date,
+with the columns that every reader would compute again (entity key, previous
+prices).  Stored tables expire after ``spark.growret.cacheSeconds`` (3600, the
+reference's hour); :func:`refresh` drops them at once.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 import threading
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.session import checkpoint_dir
-from growret.sources.model import MODEL_SCHEMAS
-from growret.sources.fixtures import derive_model_tables, line_cells, read_star
+from growret.functions.returns import entity_key, with_previous
+from growret.session import ensure_checkpoint_dir
+from growret.sources.fixtures import derive_model_tables, line_cells, name_ranks, read_star
 
 _LOCK = threading.Lock()
-_CACHE: dict[tuple, dict[str, DataFrame]] = {}
+_CACHE: dict[tuple, "ModelTables"] = {}
+CACHE_SECONDS_CONF = "spark.growret.cacheSeconds"
+CACHE_SECONDS = 3600
 
 # Stored layout: folder columns, then the columns rows are range-clustered by.
 # Range partitioning on (folder column, entity) before the write gives each
@@ -43,49 +41,64 @@ _LAYOUT = {
     "monthly_revenue": (["report_month"], ["stock_id"]),
     "stock_weekly_k": ([], ["date", "symbol"]),
 }
+#: Columns stored beside the declared ones, computed once instead of at each read.
+_PREPARE: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "stock_annual_k": lambda df: df.withColumn("stock_id", entity_key("symbol")),
+    "stock_weekly_k": with_previous,
+}
 
 
 class ModelTables(dict):
     """The model tables by name, plus shared intermediates built from them.
 
-    ``shared(name, build)`` materializes ``build(self)`` once, the same way
-    as the tables: parquet under the checkpoint folder when the session
-    names one, else persisted.
+    ``shared(name, build)`` stores ``build(self)`` once, the same way as the
+    tables.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], root: str | None):
+    def __init__(self, tables: dict[str, DataFrame], root: str):
         super().__init__(tables)
         self.root = root
+        self.stored_at = time.time()
+        self.seconds: dict[str, float] = {}
         self._shared: dict[str, DataFrame] = {}
         self._lock = threading.Lock()
 
     def shared(self, name: str, build: Callable[["ModelTables"], DataFrame]) -> DataFrame:
         with self._lock:
-            df = self._shared.get(name)
-            if df is None:
-                df = _store(build(self), None if self.root is None else f"{self.root}/shared/{name}")
-                self._shared[name] = df
-            return df
-
-    def release(self) -> None:
-        for df in [*self.values(), *self._shared.values()]:
-            df.unpersist()
-        self._shared.clear()
+            if name not in self._shared:
+                began = time.perf_counter()
+                self._shared[name] = _store(build(self), f"{self.root}/shared/{name}")
+                self.seconds[f"shared {name}"] = time.perf_counter() - began
+            return self._shared[name]
 
 
 def shared(tables: dict[str, DataFrame], name: str, build: Callable[[dict], DataFrame]) -> DataFrame:
-    """``tables.shared(name, build)`` for materialized tables; plain dicts
+    """``tables.shared(name, build)`` for stored tables; plain dicts
     (tables a caller loaded itself) just build."""
     if isinstance(tables, ModelTables):
         return tables.shared(name, build)
     return build(tables)
 
 
-def _store(df: DataFrame, path: str | None) -> DataFrame:
-    if path is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _store(df: DataFrame, path: str, folders: list[str] = [], cluster: list[str] = []) -> DataFrame:  # noqa: B006
+    if folders or cluster:
+        # no explicit count: AQE sizes the write tasks from the data
+        df = df.repartitionByRange(*folders, *cluster)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*folders) if folders else w).parquet(path)
+    # explicit schema: partition folders must not be re-typed by inference
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def store_model_tables(tables: dict[str, DataFrame], path: str, seconds: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """Write model tables to ``{path}/{name}`` in the stored layout and read them back."""
+    out = {}
+    for name, df in tables.items():
+        began = time.perf_counter()
+        out[name] = _store(_PREPARE.get(name, lambda x: x)(df), f"{path}/{name}", *_LAYOUT.get(name, ([], [])))
+        if seconds is not None:
+            seconds[name] = time.perf_counter() - began
+    return out
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple:
@@ -93,55 +106,47 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def model_tables(spark: SparkSession, sf_dir: str) -> ModelTables:
-    """Derived model tables for ``sf_dir``, materialized once per application."""
+    """Derived model tables for ``sf_dir``, stored once per application until they expire."""
     key = _key(spark, sf_dir)
+    age = float(spark.conf.get(CACHE_SECONDS_CONF, str(CACHE_SECONDS)))
     with _LOCK:
         hit = _CACHE.get(key)
-        if hit is not None:
-            return hit
-        tables = _materialize(spark, sf_dir)
-        _CACHE[key] = tables
-        return tables
+        if hit is None or time.time() - hit.stored_at > age:
+            hit = _CACHE[key] = _materialize(spark, sf_dir)
+        return hit
 
 
 def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
-    ckpt = checkpoint_dir(spark)
+    # a folder of its own: neither another application nor a reader of expired tables is overwritten
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/growret-model-{uuid.uuid4().hex}"
+    seconds: dict[str, float] = {}
+
+    def timed(name: str, df: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        out = _store(df, f"{root}/{name}")
+        seconds[name] = time.perf_counter() - began
+        return out
+
     star = read_star(spark, sf_dir)
-    cells = line_cells(star)
-    if ckpt is None:
-        cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
-        derived = derive_model_tables(spark, sf_dir, cells)
-        return ModelTables({name: df.persist(StorageLevel.MEMORY_AND_DISK) for name, df in derived.items()}, None)
-
-    tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    # one folder per application: two applications sharing the checkpoint
-    # folder never overwrite each other's tables
-    app = re.sub(r"[^A-Za-z0-9_-]", "_", spark.sparkContext.applicationId)
-    root = f"{ckpt.rstrip('/')}/growret-model-{app}-{tag}"
-    cells_path = f"{root}/cells"
-    cells.write.mode("overwrite").parquet(cells_path)
-    cells = spark.read.parquet(cells_path)
-    out: dict[str, DataFrame] = {}
-    for name, df in derive_model_tables(spark, sf_dir, cells).items():
-        path = f"{root}/{name}"
-        folders, cluster = _LAYOUT.get(name, ([], []))
-        if folders or cluster:
-            # no explicit count: AQE sizes the write tasks from the data
-            df = df.repartitionByRange(*folders, *cluster)
-        w = df.write.mode("overwrite")
-        if folders:
-            w = w.partitionBy(*folders)
-        w.parquet(path)
-        # explicit schema: partition folders must not be re-typed by inference
-        back = spark.read.schema(MODEL_SCHEMAS[name]).parquet(path)
-        out[name] = back.select(*df.columns)
-    return ModelTables(out, root)
+    ranks = timed("name_ranks", name_ranks(star["part"]))
+    cells = timed("cells", line_cells(star["lineitem"], ranks))
+    derived = derive_model_tables(cells, star["supplier"], ranks)
+    prices = derived.pop("stock_prices")  # as large as lineitem and read for one maximum: a view of the cells
+    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices}, root)
+    tables.seconds = seconds
+    return tables
+
+
+def refresh(spark: SparkSession, sf_dir: str) -> ModelTables:
+    """Store the model tables of ``sf_dir`` anew, whatever their age."""
+    with _LOCK:
+        _CACHE.pop(_key(spark, sf_dir), None)
+    return model_tables(spark, sf_dir)
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoized tables (all, or those of one session)."""
+    """Drop remembered tables (all, or those of one session)."""
     with _LOCK:
         for k in list(_CACHE):
             if spark is None or k[0] == spark.sparkContext.applicationId:
-                _CACHE[k].release()
                 del _CACHE[k]

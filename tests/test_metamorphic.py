@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from growret.operators import bursts as B
 from growret.operators import heatmap as H
 from growret.operators import timing as T
-from growret.sources.sinks import write_heatmap_csv
+from growret.sources.sinks import write_csv
 from growret.sources.store import model_tables
 from tests.conftest import SF_MID
 
@@ -23,12 +23,13 @@ def test_heatmap_points_sum_to_joined_rows(spark):
     assert cells.agg(F.sum("data_points")).collect()[0][0] == joined.count()
 
 
-def test_quantile_strategies_agree(spark):
+def test_exact_percentiles_agree_with_the_built_in_aggregate(spark):
     t = _t(spark)
+    j = H.binned_months(t["stock_annual_k"], t["monthly_revenue"], year=Y, metric="yoy_pct")
     a = {(r.bin_order, r.report_month): r.val for r in
-         H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, stat="iqr", quantiles="sort").collect()}
-    b = {(r.bin_order, r.report_month): r.val for r in
-         H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, stat="iqr", quantiles="hash").collect()}
+         H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, stat="iqr").collect()}
+    iqr = F.percentile("m", F.lit(0.75)) - F.percentile("m", F.lit(0.25))
+    b = {(r.bin_order, r.report_month): r.v for r in j.groupBy("bin_order", "report_month").agg(iqr.alias("v")).collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
@@ -65,6 +66,6 @@ def test_csv_sink_round_trip(spark, tmp_path):
     t = _t(spark)
     cells = H.heatmap_cells(t["stock_annual_k"], t["monthly_revenue"], year=Y, stat="median")
     piv = H.heatmap_pivot(cells, year=Y)
-    path = write_heatmap_csv(piv, str(tmp_path / "heat"), single_file=True)
+    path = write_csv(piv, str(tmp_path / "heat"), single_file=True)
     back = spark.read.option("header", True).option("inferSchema", True).csv(path)
     assert back.columns == piv.columns and back.count() == piv.count()

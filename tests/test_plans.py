@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from growret.plans.registry import load_all
+from growret.sources.fixtures import line_cells, name_ranks, read_star
+from growret.sources.store import model_tables
 from tests.conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -20,7 +22,7 @@ def _scan_lines(plan: str) -> list[str]:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {k: _plan(q(spark, SF_SMALL)) for k, q in E.queries().items()}
+    return {k: _plan(q.run(spark, SF_SMALL)) for k, q in load_all().items()}
 
 
 def test_no_python_in_any_plan(plans):
@@ -32,10 +34,11 @@ def test_heatmap_prunes_folders_and_columns(plans):
     scans = _scan_lines(plans["heatmap_median"])
     annual = [ln for ln in scans if "PartitionFilters: [isnotnull(year" in ln]
     monthly = [ln for ln in scans if "PartitionFilters: [report_month" in ln]
-    assert len(scans) == 2 and len(annual) == 1 and len(monthly) == 1
-    assert "ReadSchema: struct<symbol:string,year_open:double,year_close:double>" in annual[0]
-    assert "ReadSchema: struct<stock_id:string,yoy_pct:double>" in monthly[0]
-    assert "PushedFilters: [IsNotNull(yoy_pct)" in monthly[0]
+    assert scans and len(annual) + len(monthly) == len(scans)
+    assert {"struct<symbol:string,year_open:double,year_close:double,stock_id:string>",
+            "struct<year_open:double,year_close:double,stock_id:string>"} >= {ln.split("ReadSchema: ")[1].split(">")[0] + ">" for ln in annual}
+    assert all("ReadSchema: struct<stock_id:string,yoy_pct:double>" in ln for ln in monthly)
+    assert all("PushedFilters: [IsNotNull(yoy_pct)" in ln for ln in monthly)
 
 
 def test_findings_reads_the_join_once(plans):
@@ -48,9 +51,21 @@ def test_stage_keys_read_the_stored_study(plans):
         assert scans and all("pre_week" in ln and "w_close" not in ln and "w_high" not in ln for ln in scans), k
 
 
-def test_event_window_pushed_to_weekly_scan(plans):
+def test_event_study_reads_the_event_dates_once(plans):
     weekly = [ln for ln in _scan_lines(plans["event_study"]) if "w_close" in ln]
-    assert any("GreaterThanOrEqual(date" in ln for ln in weekly)
+    assert len(weekly) == 1 and "GreaterThanOrEqual(date" in weekly[0] and "LessThanOrEqual(date" in weekly[0]
+    assert "lag(w_close" not in plans["event_study"]
+
+
+def test_lines_are_reduced_by_hashing(spark):
+    star = read_star(spark, SF_SMALL)
+    plan = _plan(line_cells(star["lineitem"], name_ranks(star["part"])))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan and "RoundRobin" not in plan
+
+
+def test_text_is_never_a_sorted_aggregate(spark, plans):
+    assert "SortAggregate" not in plans["latest_remark"]
+    assert model_tables(spark, SF_SMALL).root
 
 
 def test_drilldown_shuffles_only_the_bin_rows_once(plans):

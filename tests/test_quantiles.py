@@ -1,4 +1,4 @@
-"""The skew-safe exact percentile against the built-in and numpy."""
+"""The bucketed exact percentile against the built-in and numpy."""
 
 import numpy as np
 import pandas as pd
@@ -22,10 +22,10 @@ def _frame(spark, seed=3, n=5000):
     return df, pdf
 
 
-def test_sort_equals_hash_and_numpy(spark):
+def test_equals_built_in_and_numpy(spark):
     df, pdf = _frame(spark)
-    a = {r.g: r for r in group_quantiles(df, ["g"], "v", PROBS, strategy="sort", num_partitions=16).collect()}
-    b = {r.g: r for r in group_quantiles(df, ["g"], "v", PROBS, strategy="hash").collect()}
+    a = {r.g: r for r in group_quantiles(df, ["g"], "v", PROBS).collect()}
+    b = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in PROBS.items()]).collect()}
     assert set(a) == set(b)
     for g, ra in a.items():
         vals = pdf.loc[pdf.g == g, "v"].dropna().to_numpy()
@@ -34,6 +34,36 @@ def test_sort_equals_hash_and_numpy(spark):
             assert ra[name] == pytest.approx(np.percentile(vals, p * 100), abs=1e-9)
 
 
+def test_values_of_all_sizes(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(0, 1, 300) * 10.0 ** rng.integers(-14, 15, 300), [0.0, -0.0, 1e308, -1e308, 1e-320]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = group_quantiles(df, [], "v", PROBS).collect()[0]
+    for name, p in PROBS.items():
+        assert got[name] == pytest.approx(np.percentile(v, p * 100), rel=1e-12)
+    inf = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),), (float("nan"),)], "v double")
+    got = group_quantiles(inf, [], "v", {"a": 0.0, "b": 1 / 3, "c": 2 / 3, "d": 1.0}).collect()[0]
+    assert got.a == float("-inf") and got.b == 1.0 and got.c == float("inf") and np.isnan(got.d)
+
+
+def test_ties_do_not_pile_up(spark):
+    """A third of one group's rows are equal; after the collapse no task gets over twice the mean."""
+    n = 60_000
+    df = spark.range(n, numPartitions=8).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.rand(3) * 100).alias("v"))
+    pairs = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")).repartition(16, "g", "v")
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = group_quantiles(df, ["g"], "v", {"q": 0.2, "m": 0.5}).collect()[0]
+    vals = np.sort([r.v for r in df.collect()])
+    assert got.q == 0.0 and got.m == pytest.approx(np.percentile(vals, 50), abs=1e-9)
+
+
+def test_plan_rests_on_data_columns_only(spark):
+    df, _ = _frame(spark)
+    plan = group_quantiles(df, ["g"], "v", PROBS)._jdf.queryExecution().toString().lower()
+    assert "monotonically" not in plan and "spark_partition_id" not in plan and "percentile" not in plan
+
+
 def test_global_and_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "g string, v double")
     got = {r.g: r.med for r in group_quantiles(df, ["g"], "v", {"med": 0.5}).collect()}

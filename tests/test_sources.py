@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from growret.sources.model import MODEL_SCHEMAS, check_schema, load_model_tables
-from growret.sources.sinks import register_views, write_burst_list_csv, write_event_csv
+from growret.sources.sinks import register_views, write_csv
 from growret.sources.store import model_tables
 from tests.conftest import SF_SMALL
 
@@ -15,7 +15,8 @@ def test_parquet_loader_round_trip(spark, tmp_path):
         df.write.mode("overwrite").parquet(str(tmp_path / name))
     loaded = load_model_tables(spark, str(tmp_path))
     for name, df in loaded.items():
-        assert df.schema.fieldNames() == MODEL_SCHEMAS[name].fieldNames()
+        assert df.schema.fieldNames()[: len(MODEL_SCHEMAS[name])] == MODEL_SCHEMAS[name].fieldNames()
+        assert sorted(df.columns) == sorted(derived[name].columns)
         assert df.count() == derived[name].count()
 
 
@@ -41,15 +42,16 @@ def test_sql_views_with_bound_parameters(spark):
 
 def test_csv_sinks(spark, tmp_path):
     df = spark.createDataFrame([("000001", "acme", 2, 12.5, None)], "stock_id string, stock_name string, hits int, annual_return double, remarks string")
-    p1 = write_burst_list_csv(df, str(tmp_path / "bl"))
-    p2 = write_event_csv(df, str(tmp_path / "ev"), single_file=True)
+    p1 = write_csv(df, str(tmp_path / "bl"))
+    p2 = write_csv(df, str(tmp_path / "ev"), single_file=True)
     for p in (p1, p2):
         back = spark.read.option("header", True).csv(p)
         assert back.columns == df.columns and back.count() == 1
 
 
 def _rows(df):
-    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    rows = [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()]
+    return sorted(rows, key=lambda r: [(x is None, x) for x in r])
 
 
 def test_shared_study_stored_once_and_equal_to_fresh(spark):
@@ -63,31 +65,69 @@ def test_shared_study_stored_once_and_equal_to_fresh(spark):
     assert _rows(a) == _rows(QT._study(t))
 
 
-def test_shared_persist_path_without_checkpoint_folder(spark):
-    from growret.sources.store import ModelTables
+def test_tables_expire_and_refresh(spark, tmp_path):
+    import pyarrow.parquet as pq
 
-    t = model_tables(spark, SF_SMALL)
-    plain = ModelTables(dict(t), None)
-    built = []
+    from growret.sources.store import CACHE_SECONDS_CONF, refresh
+
+    for name in ("lineitem", "part", "supplier"):
+        pq.write_table(pq.read_table(f"{SF_SMALL}/{name}.parquet"), tmp_path / f"{name}.parquet")
+    d = str(tmp_path)
+    first = model_tables(spark, d)
+    before = first["monthly_revenue"].count()
+    assert model_tables(spark, d) is first
+    half = pq.read_table(f"{SF_SMALL}/lineitem.parquet").slice(0, 500)
+    pq.write_table(half, tmp_path / "lineitem.parquet")
+    assert refresh(spark, d)["monthly_revenue"].count() < before
+    assert first["monthly_revenue"].count() == before  # a reader of the old tables keeps them
+    spark.conf.set(CACHE_SECONDS_CONF, "0")
+    try:
+        second = model_tables(spark, d)
+        assert model_tables(spark, d) is not second
+    finally:
+        spark.conf.unset(CACHE_SECONDS_CONF)
 
-    def build(tt):
-        built.append(1)
-        return tt["stock_annual_k"].filter(F.col("year") == "1998")
 
-    a = plain.shared("annual_1998", build)
-    b = plain.shared("annual_1998", build)
-    assert a is b and built == [1] and a.is_cached
-    assert a.count() == t["stock_annual_k"].filter(F.col("year") == "1998").count()
-    plain.release()
-    assert not a.is_cached
+def test_jdbc_predicates_cover_each_row_once(spark):
+    from growret.sources.model import jdbc_predicates
+
+    t = model_tables(spark, SF_SMALL)
+    odd = spark.createDataFrame([("x", None), ("y", "abc")], "symbol string, year string")
+    frames = {
+        "stock_annual_k": t["stock_annual_k"].select("symbol", "year").union(odd),
+        "monthly_revenue": t["monthly_revenue"],
+        "stock_weekly_k": t["stock_weekly_k"],
+        "stock_prices": t["stock_prices"],
+    }
+    for name, df in frames.items():
+        predicates = jdbc_predicates(name, range(1994, 1997))
+        assert len(predicates) > 3
+        hits = df.select(sum(F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in predicates).alias("n"))
+        assert [r.n for r in hits.distinct().collect()] == [1], name
+        assert jdbc_predicates(name, range(0)) == ["1 = 1"]
+
+
+def test_prepared_bars_give_the_same_weekly_returns(spark):
+    import datetime as dt
+
+    from growret.functions.returns import weekly_returns, with_previous
+
+    # a gap before the range, a symbol that starts inside it, a zero and a missing price
+    rows = [("1.TW", "1997-11-03", 10.0), ("1.TW", "1998-01-05", 11.0), ("1.TW", "1998-01-19", 0.0), ("1.TW", "1998-02-02", 5.0),
+            ("2.TW", "1998-01-12", 7.0), ("2.TW", "1998-01-26", None), ("2.TW", "1998-02-09", 8.0), ("2.TW", "1998-03-09", 9.0)]
+    bars = spark.createDataFrame([(s, dt.date.fromisoformat(d), p, p) for s, d, p in rows], "symbol string, date date, w_close double, w_high double")
+    lo, hi = dt.date(1998, 1, 1), dt.date(1998, 2, 28)
+    for price in ("w_close", "w_high"):
+        plain = weekly_returns(bars, price=price, since=lo, until=hi)
+        stored = weekly_returns(with_previous(bars), price=price, since=lo, until=hi)
+        assert _rows(stored) == _rows(plain) and stored.count() == 6
+        assert "Window" not in weekly_returns(with_previous(bars).limit(10).select("*"), price=price, since=lo)._jdf.queryExecution().analyzed().toString().split("Limit")[0]
 
 
 def test_heatmap_csv_keeps_bin_key_and_month_columns(spark, tmp_path):
     import __spark_entry__ as E
-    from growret.sources.sinks import write_heatmap_csv
-
     pivot = E.queries()["heatmap_pivot"](spark, SF_SMALL)
-    p = write_heatmap_csv(pivot, str(tmp_path / "hm"), single_file=True)
+    p = write_csv(pivot, str(tmp_path / "hm"), single_file=True)
     back = spark.read.option("header", True).csv(p)
     assert back.columns == pivot.columns
     assert {"bin_order", "return_bin"} <= set(back.columns)
