@@ -26,6 +26,7 @@ has the name of a result is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,7 +131,7 @@ class Sample:
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability with the best F1: half way between the last taken and the first left out."""
+    """The probability with the best F1: half way, in logits, between the last taken and the first left out."""
     if not len(y) or y.min() == y.max():
         return 1.1
     order = np.argsort(-p, kind="stable")
@@ -138,7 +139,7 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][p[order][1:] == p[order][:-1]] = -1
     k = int(np.argmax(f1))
-    return float((p[order[k]] + (p[order[k + 1]] if k + 1 < len(y) else 0.0)) / 2)
+    return float(_sigmoid((_logit(p[order[k]]) + _logit(p[order[k + 1]] if k + 1 < len(y) else 0.0)) / 2))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> dict[str, Linear]:
@@ -168,7 +169,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     blobs = got["f"].to_pylist()
     sizes = np.array([len(b) // 4 for b in blobs], np.int64)
     data = Sample(np.repeat(np.arange(n), sizes), np.frombuffer(b"".join(blobs), "<u4").astype(np.uint32), n)
-    fold = np.array([hash((d or 0) * 2654435761) // 7 % FOLDS for d in got["doc_id"].to_pylist()], np.int64)
+    fold = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in got["doc_id"].to_pylist()], np.int64)
     earlier, chain = np.zeros((n, 0)), {}
     for c in names:
         y = got[f"y_{c}"].to_numpy().astype(float)
