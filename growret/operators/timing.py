@@ -239,25 +239,28 @@ def stage_histogram(study: DataFrame, *, bins: int = 25) -> DataFrame:
     ).withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
 
     def edge(i):
-        return F.col("_hi") if i == bins else F.lit(float(i)) * F.col("_step") + F.col("_lo")
+        return i.cast("double") * F.col("_step") + F.col("_lo")
 
     # one row per stage: a broadcast of at most five rows
     vb = v.join(F.broadcast(b), "stage", "inner")
-    idx = sum((F.when(F.col("ret") >= edge(i), 1).otherwise(0) for i in range(1, bins)), F.lit(0))
-    counts = vb.groupBy("stage", idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = b.select("stage", "_lo", "_hi", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    lo_e = F.col("bin").cast("double") * F.col("_step") + F.col("_lo")
-    hi_e = F.when(F.col("bin") == bins - 1, F.col("_hi")).otherwise((F.col("bin") + 1).cast("double") * F.col("_step") + F.col("_lo"))
-    no = F.element_at(F.create_map(*[x for i, s in enumerate(STAGE_NAMES) for x in (F.lit(s), F.lit(i))]), F.col("stage"))
-    return (
-        grid.join(counts, ["stage", "bin"], "left")
-        .select(
-            no.alias("stage_no"), "stage", "bin",
-            lo_e.alias("bin_lo"), hi_e.alias("bin_hi"), (0.5 * (lo_e + hi_e)).alias("center"),
-            F.coalesce(F.col("count"), F.lit(0)).alias("count"),
-        )
-        .orderBy("stage_no", "bin")
+    # the bin by division, then set right against its own two edges, which decide ties
+    near = F.least(F.greatest(F.floor((F.col("ret") - F.col("_lo")) / F.col("_step")), F.lit(0)), F.lit(bins - 1)).cast("int")
+    vb = vb.withColumn("bin", near)
+    k = F.col("bin")
+    right = F.when((k > 0) & (F.col("ret") < edge(k)), k - 1).when((k < bins - 1) & (F.col("ret") >= edge(k + 1)), k + 1).otherwise(k)
+    counts = vb.withColumn("bin", right).groupBy("stage", "_lo", "_hi", "_step", "bin").agg(F.count(F.lit(1)).alias("count"))
+    per_stage = counts.groupBy("stage", "_lo", "_hi", "_step").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_counts")  # at most `bins` entries
     )
+    grid = per_stage.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    lo_e = edge(F.col("bin"))
+    hi_e = F.when(F.col("bin") == bins - 1, F.col("_hi")).otherwise(edge(F.col("bin") + 1))
+    no = F.element_at(F.create_map(*[x for i, s in enumerate(STAGE_NAMES) for x in (F.lit(s), F.lit(i))]), F.col("stage"))
+    return grid.select(
+        no.alias("stage_no"), "stage", "bin",
+        lo_e.alias("bin_lo"), hi_e.alias("bin_hi"), (0.5 * (lo_e + hi_e)).alias("center"),
+        F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0)).alias("count"),
+    ).orderBy("stage_no", "bin")
 
 
 def stage_outliers(study: DataFrame, *, stage: str | None = None, k: float = 1.5, quantiles: str = "exact") -> DataFrame:
