@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PIVOTS = 128
-PREFIX = 64
-CANDIDATES = 0.2
+PREFIX = 32
+CANDIDATES = 0.25
 ALIKE = 0.7
 BLOCK = 4096
 QUERIES = 1024
@@ -82,7 +82,7 @@ class InvertedFiles:
         n, self.prefix = orders.shape
         flat = orders.reshape(-1)
         by_pivot = np.argsort(flat, kind="stable")
-        self.vector, self.rank = by_pivot // self.prefix, by_pivot % self.prefix
+        self.vector, self.rank = (by_pivot // self.prefix).astype(np.int32), (by_pivot % self.prefix).astype(np.int32)
         self.begin = np.searchsorted(flat[by_pivot], np.arange(n_pivots + 1))
         self.n = n
         rank = np.arange(self.prefix)
