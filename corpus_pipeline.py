@@ -11,8 +11,8 @@ costs at most one stage.  All stages but the last return the input's columns.
 5. packing: sequences of token pieces, mixed by source.
 
 Rows with nulls pass the filters unless a stage's rule names them; a repeated
-row is a copy, and stage 2 leaves one.  Rows without doc_id name no group and
-stay, except that equal rows of them become one.
+row is a copy, and stage 2 leaves one.  Rows without doc_id name no group; of
+a group that has no other rows the texts of one shingle set stay.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id", "text_id").distinct()
+    kept = kept.withColumnsRenamed({"doc_id": "_kept_id", "text_id": "_kept_text"})
+    text_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (text_id == F.col("_kept_text"))
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 

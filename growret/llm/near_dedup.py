@@ -22,7 +22,8 @@ Defined results: a null or empty text (or one without words) has an empty set
 and is linked with nothing; fewer words than a shingle make one shingle of all
 of them; repeated rows are exact copies; a row without doc_id takes part in
 the links but never names a component (``component_id`` is null if no member
-has an id, and such rows are kept); an empty table gives an empty result.
+has an id, and the rows of one of its sets are kept); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -118,27 +119,36 @@ def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_id, text``: the id names a row, or where there is none its text's hash does."""
+    text_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id.cast("long").alias("text_id"), "text")
+
+
 def scan(docs: DataFrame, width: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), width))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("doc_id"),
+                    batch.column("text_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_digest(s) for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_id", "sig"],
+                ["doc_id", "text_id", "n_shingles", "set_id", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, set_id long, sig binary")
+    kind = "doc_id long, text_id long, n_shingles long, set_id long, sig binary"
+    return named(docs).mapInArrow(rows, kind)
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int) -> DataFrame:
     """``v, s``: the packed shingle set of each class in ``used(v)``, from the text of its first document."""
-    wanted = classes.select("label", "set_id", "n_shingles", "v").join(used, "v")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("label")))
+    wanted = classes.select("label", F.col("text_id").alias("label_text"), "set_id", "n_shingles", "v").join(used, "v")
+    same = F.col("doc_id").eqNullSafe(F.col("label")) & (F.col("text_id") == F.col("label_text"))
+    texts = named(docs).join(wanted, same)
 
     def sets(batches):
         for batch in batches:
@@ -173,7 +183,7 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """A row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """A row per input row: ``doc_id, text_id, n_shingles, component_id, kept`` (text_id: see ``named``).
 
     ``width`` is the words of a shingle, ``percent`` the least similarity.
     """
@@ -182,7 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = stored(
         rows.filter("n_shingles > 0")
         .groupBy("set_id", "n_shingles")
-        .agg(F.min("doc_id").alias("label"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("label"), F.max("text_id").alias("any_text"), F.first("sig").alias("sig"))
+        .withColumn("text_id", F.when(F.col("label").isNull(), F.col("any_text")).otherwise(F.lit(0)))
+        .drop("any_text")
         .withColumn("v", F.coalesce("label", F.lit(NO_ID) + F.shiftrightunsigned("set_id", 2)))
     )
 
@@ -217,13 +229,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if more.limit(1).count():
         comps = components(links.union(more))
     found = classes.join(comps, "v", "left").select(
-        F.col("set_id"), F.col("n_shingles"), F.coalesce("comp", "v").alias("comp")
+        F.col("set_id"), F.col("n_shingles"), F.coalesce("comp", "v").alias("comp"), "v"
     )
-    out = rows.select("doc_id", "n_shingles", "set_id").join(stored(found), ["set_id", "n_shingles"], "left")
+    out = rows.select("doc_id", "text_id", "n_shingles", "set_id").join(stored(found), ["set_id", "n_shingles"], "left")
     own = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") < NO_ID, F.col("comp"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    first = F.col("component_id").isNull() & F.coalesce(F.col("v") == F.col("comp"), F.lit(True))
+    kept = F.when(F.col("doc_id").isNull(), first).otherwise(F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("component_id", own).select("doc_id", "text_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def across(
@@ -296,7 +308,8 @@ def across(
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
+    return found.drop("text_id")
 
 
 ORACLE = """
