@@ -95,8 +95,7 @@ class CountedText:
         n = len(pieces)
         ends = np.concatenate([[0], np.cumsum(pieces, dtype=np.int64)])
         cuts = np.append(np.arange(0, n, LEAF), n) if parts is None else np.linspace(0, n, parts + 1).astype(int)
-        at = ends[cuts].tolist()
-        tokens = [len(self.encode(text[a:b])) if b > a else 0 for a, b in zip(at, at[1:])]
+        tokens = self.encode.counts(text, ends[cuts].tolist())
         self.encoded += len(text)
         return np.stack([np.diff(ends[cuts]), np.array(tokens, np.int64), np.diff(cuts)], axis=1).astype(np.int64)
 

@@ -26,30 +26,49 @@ def default_files() -> tuple[str, str]:
 
 
 def _load(files: tuple[str, str] | None) -> tuple:
+    """Per process: a function that gives the ``tokenizers`` tokenizer, read when first needed, the
+    ``tiktoken`` encoding, and the pre-token pattern."""
     files = tuple(files or default_files())
     if files not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(files[1], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[files] = Tokenizer.from_file(files[0]), fast, regex.compile(public_tokenizers.PATTERN)
+        exact: list = []
+
+        def tokenizer():
+            if not exact:
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                from tokenizers import Tokenizer
+
+                exact.append(Tokenizer.from_file(files[0]))
+            return exact[0]
+
+        _LOADED[files] = tokenizer, fast, regex.compile(public_tokenizers.PATTERN)
     return _LOADED[files]
 
 
 def encoder(files: tuple[str, str] | None = None):
-    """A function from a text to its ids (unsigned 32-bit); loaded once per process."""
+    """A function from a text to its ids (unsigned 32-bit); loaded once per process.
+
+    Its attribute ``counts(text, cuts)`` gives the number of ids between
+    consecutive cuts, which must be pre-token bounds."""
     exact, fast, _ = _load(files)
 
     def encode(text: str) -> np.ndarray:
         if _PLAIN.search(text):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
+    def counts(text: str, cuts: list[int]) -> list[int]:
+        if _PLAIN.search(text):
+            return [len(encode(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return [len(fast.encode_ordinary(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+    encode.counts = counts
     return encode
 
 
@@ -63,7 +82,7 @@ def splitter(files: tuple[str, str] | None = None):
             return [len(x) for x in pattern.findall(text)]
         if "<|endoftext|>" in text:
             return [len(text)]
-        ends = [b for _, (_, b) in exact.pre_tokenizer.pre_tokenize_str(text)]
+        ends = [b for _, (_, b) in exact().pre_tokenizer.pre_tokenize_str(text)]
         return [b - a for a, b in zip([0, *ends], ends)]
 
     return split
