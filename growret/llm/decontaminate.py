@@ -32,7 +32,7 @@ from growret.llm.arrays import U64, Words, slices
 
 SEED = 3
 STRIDE = 2
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MATCHES = T.ArrayType(
     T.StructType(
