@@ -53,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``max_bytes`` of text each (one longer text goes alone)."""
     n = len(texts)
     if not n:

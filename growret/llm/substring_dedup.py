@@ -107,7 +107,7 @@ def subtree_of(codes: np.ndarray, first: np.ndarray, parts: np.ndarray) -> np.nd
 
 
 def substring_dedup(
-    docs: DataFrame, width: int = WIDTH, group_bytes: int = 16 << 20, leaves: int = 2 << 20, least: int = 64
+    docs: DataFrame, width: int = WIDTH, group_bytes: int = 8 << 20, leaves: int = 1 << 20, least: int = 64
 ) -> DataFrame:
     """Remove every word covered by a ``width``-word window that also starts elsewhere.
 
@@ -168,10 +168,11 @@ def substring_dedup(
             part = column.slice(lo, hi - lo)
             words = Words(part)
             own, at = path_codes(words, width)
-            hit = at[np.isin(own, repeated)]
+            near = np.minimum(np.searchsorted(repeated, own), max(len(repeated) - 1, 0))
+            hit = at[repeated[near] == own] if len(repeated) else at[:0]
             step = np.zeros(len(words) + 1, np.int32)
-            np.add.at(step, hit, 1)
-            np.add.at(step, hit + width, -1)
+            step[hit] += 1
+            step[hit + width] -= 1
             gone = np.cumsum(step[:-1]) > 0
             for k, text in enumerate(part.to_pylist()):
                 a, b = words.off[k], words.off[k + 1]
