@@ -14,7 +14,10 @@ import re
 
 import numpy as np
 
-_PLAIN = re.compile("[^\u0000-ɏ‐-‟…€]|<\\|")
+#: Anything but letters and signs whose classes Python's ``re`` and the vocabulary's pattern share.
+_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f\u2010-\u201f\u2026\u20ac]|<\\|")
+#: The vocabulary's pre-token pattern for plain texts: its letters and numbers in terms of ``re``.
+_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _LOADED: dict[tuple[str, str], tuple] = {}
 
 
@@ -26,12 +29,11 @@ def default_files() -> tuple[str, str]:
 
 
 def _load(files: tuple[str, str] | None) -> tuple:
-    """Per process: a function that gives the ``tokenizers`` tokenizer, read when first needed, the
-    ``tiktoken`` encoding, and the pre-token pattern."""
+    """Per process: a function that gives the ``tokenizers`` tokenizer, read when first needed, and the
+    ``tiktoken`` encoding."""
     files = tuple(files or default_files())
     if files not in _LOADED:
         import public_tokenizers
-        import regex
         import tiktoken
 
         with open(files[1], "rb") as f:
@@ -47,7 +49,7 @@ def _load(files: tuple[str, str] | None) -> tuple:
                 exact.append(Tokenizer.from_file(files[0]))
             return exact[0]
 
-        _LOADED[files] = tokenizer, fast, regex.compile(public_tokenizers.PATTERN)
+        _LOADED[files] = tokenizer, fast
     return _LOADED[files]
 
 
@@ -56,7 +58,7 @@ def encoder(files: tuple[str, str] | None = None):
 
     Its attribute ``counts(text, cuts)`` gives the number of ids between
     consecutive cuts, which must be pre-token bounds."""
-    exact, fast, _ = _load(files)
+    exact, fast = _load(files)
 
     def encode(text: str) -> np.ndarray:
         if _PLAIN.search(text):
@@ -75,11 +77,11 @@ def encoder(files: tuple[str, str] | None = None):
 def splitter(files: tuple[str, str] | None = None):
     """A function from a text to the lengths of its pre-tokens, whose ids don't depend on one another.
     A text that spells a special token counts as one pre-token."""
-    exact, _, pattern = _load(files)
+    exact, _ = _load(files)
 
     def split(text: str) -> list[int]:
         if not _PLAIN.search(text):
-            return [len(x) for x in pattern.findall(text)]
+            return [len(x) for x in _PIECE.findall(text)]
         if "<|endoftext|>" in text:
             return [len(text)]
         ends = [b for _, (_, b) in exact().pre_tokenizer.pre_tokenize_str(text)]
