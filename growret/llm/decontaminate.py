@@ -7,7 +7,10 @@ an item has one however common its words are, and a passage leaked a million
 times still has seeds.  A second scan joins texts to items on the seeds: hits
 on neighbouring diagonals make one region of the text, and the region is
 aligned with the item by Smith-Waterman over words (match 2, mismatch -1,
-gap -1).  The score is the alignment's share of the item's perfect score.
+gap -1).  The score is the alignment's share of the item's perfect score.  A
+share alone says little about a short item, so an alignment is also worth
+``LEAST_WORDS`` matching words at least; an item with fewer words is found whole
+only.
 
 The benchmark is dealt into blocks of about ``block_words`` words by hash; a
 block is what a task holds, and blocks pass over the texts one after another,
@@ -33,6 +36,7 @@ from growret.llm.arrays import U64, Words, slices
 SEED = 3
 STRIDE = 2
 LEAST_SCORE = 0.4
+LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 MATCHES = T.ArrayType(
     T.StructType(
@@ -128,6 +132,7 @@ class Block:
         out: dict[tuple[int, int], tuple] = {}
         for k in np.unique(found[:, 1]):
             own, need = found[found[:, 1] == k], MATCH * self.size[k]
+            enough = max(least * need, min(need, MATCH * LEAST_WORDS))
             slack = int(self.size[k]) // 2 + 1
             for a in range(0, len(own), 256):
                 part = own[a : a + 256]
@@ -136,7 +141,7 @@ class Block:
                 cols = lo[:, None] + np.arange(int((hi - lo).max()))
                 regions = np.where(cols < hi[:, None], words.hash[np.minimum(cols, len(words) - 1)], U64(0))
                 score, end = align(self.items[k], regions)
-                good = np.flatnonzero(score >= least * need)
+                good = np.flatnonzero(score >= enough)
                 if not len(good):
                     continue
                 flipped = np.where(np.arange(regions.shape[1]) < end[good, None], regions[good], U64(0))[:, ::-1]

@@ -56,6 +56,19 @@ def test_finds_exact_and_edited_copies_and_leaves_the_rest(spark):
     assert got[3] == got[4] == got[5] == got[6] == []
 
 
+def test_short_items_need_more_than_common_words(spark):
+    items = [(1, "Which river in Europe is the longest?"), (2, "Name the author of the book that is one of the")]
+    texts = [
+        "The Nile is the longest river of Africa",
+        "We saw a place that is one of the best",
+        "Quiz: which river in EUROPE is the longest? The Volga",
+        "Name the author of this book that is one of the three",
+    ]
+    got = matches(spark, [(k, t, None, None, None) for k, t in enumerate(texts)], items)
+    assert got[0] == got[1] == []
+    assert got[2] == [(1, 1.0, 1, 8)] and [m[0] for m in got[3]] == [2]
+
+
 def test_common_passages_keep_seeds(spark):
     item = sentence(50, 30, 3000)
     rows = [(k, sentence(k, 20, 3000) + " " + item, None, None, None) for k in range(60)]
