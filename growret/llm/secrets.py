@@ -3,8 +3,11 @@
 Base findings are fixed patterns: assignments to a password-like name, cloud
 access keys, and long runs of lower-case hex.  The method adds further spans:
 every run of ``TOKEN`` characters with a letter and a digit is a candidate.
-Its encoding is inferred (hex, base32, base36 or base64 alphabet), and three
-tests ask whether it could be uniform noise over that alphabet:
+A run that mixes the signs of both base64 alphabets fits neither; it is split
+at ``/`` and ``+``, and again at ``_`` and ``-``, and each part of ``LENGTHS[0]``
+characters or more is a candidate instead.  A candidate's encoding is inferred
+(hex, base32, base36 or base64 alphabet), and three tests ask whether it could
+be uniform noise over that alphabet:
 
 * chi-squared over the alphabet cut into equal cells (Wilson-Hilferty);
 * Wald-Wolfowitz runs above and below the middle of the alphabet;
@@ -14,7 +17,7 @@ The token's p-value is three times the least of the three (Bonferroni).  A
 discovery is "not noise"; false discoveries, random keys taken for text, are
 held to ``RATE`` by Benjamini-Hochberg within each length class, since short
 tokens carry little evidence and must not borrow it from long ones.  Tokens
-that survive are reported as ``random``.  The p-values of all candidates are
+that survive are reported as ``random``, overlapping ones as one span.  The p-values of all candidates are
 counted in classes of 1/``STEPS`` of a power of ten, so the control covers the
 whole table with a few hundred counts and no sort.
 
@@ -53,6 +56,9 @@ LENGTHS = (20, 28, 40, 64)
 RATE = 0.05
 STEPS = 8
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Signs that belong to one of the base64 alphabets only.
+SIGNS = ("[+/]", "[_-]")
+PARTS = "array<struct<start:int,token:string>>"
 
 
 def spans_of(text: Column, pattern: str, kind: int, found: Column, good: Column) -> Column:
@@ -119,6 +125,24 @@ def candidates(text: Column) -> Column:
     )
 
 
+def parts(run: Column) -> Column:
+    """``start, token`` of what is tested of a run: itself if an alphabet holds it, else its long parts."""
+
+    def split(sign: str) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(PARTS).alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            part = F.struct(state["at"].alias("start"), x.alias("token"))
+            out = F.when(F.length(x) >= LENGTHS[0], F.concat(state["out"], F.array(part))).otherwise(state["out"])
+            return F.struct((state["at"] + F.length(x) + 1).alias("at"), out.alias("out"))
+
+        return F.aggregate(F.split(run, sign, -1), begin, step, lambda s: s["out"])
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), run.alias("token"))).cast(PARTS)
+    mixed = run.rlike(SIGNS[0]) & run.rlike(SIGNS[1])
+    return F.when(mixed, F.concat(*[split(sign) for sign in SIGNS])).otherwise(whole)
+
+
 def is_candidate(token: Column) -> Column:
     return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
 
@@ -137,7 +161,8 @@ def p_class(p: Column) -> Column:
 
 def cutoffs(docs: DataFrame) -> dict[int, int]:
     """Per length class, the first p-value class that counts as "not noise" (absent: none does)."""
-    tokens = docs.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("token")).filter(is_candidate(F.col("token")))
+    runs = docs.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("run"))
+    tokens = runs.select(F.explode(parts(F.col("run"))).alias("part")).select("part.token").filter(is_candidate(F.col("token")))
     counted = (
         tokens.select(length_class(F.col("token")).alias("len"), p_class(p_value(F.col("token"))).alias("p"))
         .groupBy("len", "p")
@@ -177,20 +202,42 @@ def scan(docs: DataFrame, cut: dict[int, int] | None = None) -> DataFrame:
         }
     )
     limit = lambda c: F.coalesce(*[F.when(length_class(c) == k, F.lit(p)) for k, p in cut.items()], F.lit(1 << 30))
-    noise = F.transform("_token", lambda c: F.when(is_candidate(c), p_class(p_value(c)) < limit(c)).otherwise(False))
-    d = d.withColumn("_noise", noise)
+    noise = lambda c: F.when(is_candidate(c), p_class(p_value(c)) < limit(c)).otherwise(False)
+    d = d.withColumn("_noise", F.transform("_token", lambda c: joined(F.filter(parts(c), lambda x: noise(x["token"])))))
     always = lambda c: F.transform(c, lambda _: F.lit(True))
     base = F.concat(
         spans_of(t, ASSIGN, 0, F.col("_assign"), F.transform("_value", lambda v: F.length(v) >= 12)),
         spans_of(t, ACCESS, 1, F.col("_access"), always("_access")),
         spans_of(t, HEX, 2, F.col("_hex"), always("_hex")),
     )
-    d = d.withColumn("_base", base).withColumn("_more", spans_of(t, TOKEN, 3, F.col("_token"), F.col("_noise")))
+    runs = spans_of(t, TOKEN, 3, F.col("_token"), always("_token"))
+    both = F.arrays_zip(runs.alias("r"), F.col("_noise").alias("n"))
+    spans = F.flatten(F.transform(both, lambda x: F.transform(x["n"], lambda s: span_in(x["r"], s))))
+    d = d.withColumn("_base", base).withColumn("_more", spans)
     inside = lambda x: F.exists("_base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
     added = F.filter("_more", lambda x: ~inside(x))
     return d.select(*kept, F.array_sort(F.concat("_base", added)).alias("findings"))
 
 
+def joined(found: Column) -> Column:
+    """``start, end`` of the parts found in a run, overlapping ones as one."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(out: Column, x: Column) -> Column:
+        end = x["start"] + F.length(x["token"])
+        last = F.try_element_at(out, F.lit(-1))
+        whole = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))
+        alone = F.struct(x["start"].alias("start"), end.alias("end"))
+        return F.when(x["start"] < last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(whole))).otherwise(F.concat(out, F.array(alone)))
+
+    return F.aggregate(F.array_sort(found), F.array().cast(kind), step)
+
+
+def span_in(run: Column, part: Column) -> Column:
+    """The run's span cut to a part of it."""
+    return F.struct((run["start"] + part["start"]).alias("start"), run["kind"].alias("kind"), (run["start"] + part["end"]).alias("end"))
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
     kind = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)
