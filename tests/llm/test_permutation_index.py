@@ -77,3 +77,12 @@ def test_footrule_matches_its_definition():
         for order, got in zip(orders, files.footrule(q)):
             place = lambda o, p: list(o).index(p) if p in o else 5
             assert got == sum(abs(place(q, p) - place(order, p)) for p in set(q) | set(order))
+
+
+def test_default_search_finds_nearly_all_neighbours(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(4000, 64)))]
+    queries = rows[::40]
+    got, want = found(search(table(spark, rows), table(spark, queries))), exact(rows, queries, 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.94 * 20 * len(want)
