@@ -6,9 +6,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from growret.llm import packing
 from growret.llm.packing import Mixture, pack, sequences
 from growret.llm.tokens import encoder
-from tests.llm.cases import frame, messy_docs, sentence
+from tests.llm.cases import collected, frame, messy_docs, sentence
 
 
 def exact_ids(text):
@@ -67,6 +68,17 @@ def test_windows_hold_the_target_shares(spark):
         assert abs(shares[w]["a"] - 64) <= 3 and abs(shares[w]["b"] - 128) <= 3 and abs(shares[w]["c"] - 64) <= 3
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 2, "é7": 3, "none": 9}])
+def test_many_sources_are_packed_as_few_are(spark, monkeypatch, weights):
+    rows = [(k, sentence(k, 5 + k * 7 % 60), None, ["a", "b", f"é{k % 23}", None][k * 5 % 4], None) for k in range(200)] + messy_docs()
+    monkeypatch.setattr(packing, "RUN", 3, raising=False)
+    placed = lambda: collected(pack(docs, weights, length=64, window=256), "sequence_id", "offset", "length", "ids_crc32", "doc_id")
+    docs = frame(spark, rows)
+    few = placed()
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    assert placed() == few
+
+
 def test_mixture_serves_each_token_once():
     m = Mixture([100, 7, 0, 55], [1, 3, 1, 2], 20)
     taken = set()
