@@ -9,9 +9,12 @@ article).  The undecided lines are settled by differencing: the page is paired
 with the page of nearest URL on its host, their lines are aligned by longest
 common subsequence, and undecided lines of the alignment are deleted.  An
 article's own paragraphs are not up for deletion, as quotations and licence
-lines repeat between neighbours; and a page that shares more than half of its
-lines with another is its copy, from which nothing can be learned, so the next
-nearest is taken.
+lines repeat between neighbours; and a page that leaves another no line of
+its own, or shares more than half of what is not template, is its copy, from
+which nothing can be learned, so the next nearest is taken.  Template are as
+many lines as are shared even with the least like of the neighbours; where
+those are more than half of the page, also of ``DRAWN`` pages drawn from the
+whole host by hash, as all neighbours may be copies.
 
 Nearest is the longest common path (in segments), then the least distance in
 the order by host, path and row hash.  A distributed sort gives that order;
@@ -41,6 +44,7 @@ from growret.llm.stored import stored
 
 CELL = 512
 NEAR = 8
+DRAWN = 8
 KEPT, UNDECIDED = 1, 0
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
@@ -182,6 +186,11 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(lo), *reversed(middle), *range(len(a) - end, len(a))]
 
 
+def is_copy(lines: int, common: int, template: int) -> bool:
+    """Is the page that shares ``common`` of a page's lines its copy, if ``template`` of them are its host's?"""
+    return common == lines or 2 * (common - template) > lines - template
+
+
 def _shared_path(a: list[str], b: list[str]) -> int:
     n = 0
     for x, y in zip(a, b):
@@ -242,24 +251,35 @@ def deletions(pages: DataFrame) -> DataFrame:
     dealt = ranked.withColumn("home", cell).withColumn("cell", F.explode(cells))
 
     def difference(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["rank"])
+        rows = sorted(table.to_pylist(), key=lambda r: (r["rank"] is None, r["rank"]))
         out, gone = [], []
+        drawn: dict[str, list[list[int]]] = {}
+        while rows and rows[-1]["rank"] is None:
+            r = rows.pop()
+            drawn.setdefault(r["host"], []).append(r["lines"])
         paths = [r["path"].split("/") for r in rows]
         for k, r in enumerate(rows):
             if r["home"] != r["cell"] or not r["undecided"]:
                 continue
             near = [j for j in range(max(0, k - NEAR), min(len(rows), k + NEAR + 1)) if j != k and rows[j]["host"] == r["host"]]
             near.sort(key=lambda j: (-_shared_path(paths[k], paths[j]), abs(j - k), j))
-            for j in near:
-                common = common_lines(r["lines"], rows[j]["lines"])
-                if 2 * len(common) > len(r["lines"]):
+            common = [common_lines(r["lines"], rows[j]["lines"]) for j in near]
+            least = min([len(c) for c in common], default=0)
+            if 2 * least > len(r["lines"]):  # a large template, or copies all around
+                least = min([least, *(len(common_lines(r["lines"], other)) for other in drawn.get(r["host"], ()))])
+            for c in common:
+                if is_copy(len(r["lines"]), len(c), least):
                     continue
-                if deleted := sorted(set(common) & set(r["undecided"])):
+                if deleted := sorted(set(c) & set(r["undecided"])):
                     out.append(r["row"])
                     gone.append(deleted)
                 break
         return pa.table({"row": pa.array(out, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32()))})
 
+    hosts = dealt.select("host", "cell").distinct()
+    picked = F.pmod(F.col("row"), F.lit(DRAWN))
+    drawn = ranked.groupBy("host", picked.alias("pick")).agg(F.min(F.struct(F.xxhash64("row").alias("h"), "lines"))["lines"].alias("lines"))
+    dealt = dealt.unionByName(drawn.select("host", "lines").join(hosts, "host"), allowMissingColumns=True)
     found = dealt.groupBy("cell").applyInArrow(difference, "row long, gone array<int>")
     return found.groupBy("row").agg(F.min("gone").alias("gone"))
 

@@ -46,6 +46,23 @@ def test_a_copy_teaches_nothing_and_articles_keep_shared_paragraphs(spark):
     assert texts(spark, rows)[2] == "Licence line\nText 2\nMore 2\nEven more 2"
 
 
+def test_a_template_longer_than_the_article_is_deleted(spark):
+    frame = "<div>Menu</div><div>Topics</div>{}<div>We use</div><div>Foot</div>"
+    own = lambda k: "".join(f"<p>Line {i} of {k}</p>" for i in range(3))
+    rows = [(k, f"http://h/{k}", frame.format(own(k))) for k in range(8)]
+    rows += [(k, f"http://short/{k}", frame.format(f"<p>Only {k}</p>")) for k in range(8)]
+    got = texts(spark, [(i + 100 * u.count("short"), u, h) for i, u, h in rows])
+    assert all(got[k] == f"Line 0 of {k}\nLine 1 of {k}\nLine 2 of {k}" and got[100 + k] == f"Only {k}" for k in range(8))
+
+
+def test_near_copies_keep_what_they_share(spark):
+    body = "".join(f"<p>Shared {i}</p>" for i in range(12))
+    rows = [(k, f"http://h/a/{k:03}", f"<div>Menu</div>{body}<p>Seen {k} times</p>") for k in range(40)]
+    rows += [(100 + k, f"http://h/b/{k:03}", f"<div>Menu</div><p>Own {k}</p><p>Other {k}</p>") for k in range(60)]
+    got = texts(spark, rows)
+    assert all("Shared 5" in got[k] for k in range(40)) and all(got[100 + k] == f"Own {k}\nOther {k}" for k in range(60))
+
+
 def test_cells_are_dealt_without_a_seam(spark, monkeypatch):
     from growret.llm import html_extract
 
