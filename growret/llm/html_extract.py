@@ -14,10 +14,13 @@ its own, or shares more than half of what is not template, is its copy, from
 which nothing can be learned, so the next nearest is taken.  Template are as
 many lines as are shared even with the least like of the neighbours; where
 those are more than half of the page, also of ``DRAWN`` pages drawn from the
-whole host by hash, as all neighbours may be copies.
+whole host by hash, as all neighbours may be copies.  A page whose neighbours
+are all copies is paired with the likest of those drawn pages; if they are
+copies too, with pages ever further away, until the host has none left.
 
 Nearest is the longest common path (in segments), then the least distance in
 the order by host, path and row hash.  A distributed sort gives that order;
+pages of equal lines on a host take one place;
 cells of ``CELL`` consecutive pages, with ``NEAR`` neighbours on either side,
 hold line hashes only, so a host of any size is dealt evenly.  A second scan
 joins the deletions (a short list per page) to the pages and writes the texts.
@@ -237,9 +240,16 @@ def deletions(pages: DataFrame) -> DataFrame:
             )
             seen += n
 
-    kind = "host string, path string, row long, lines array<long>, undecided array<int>"
-    outlines = pages.select("host", "path", "row", "html").mapInArrow(outline, kind)
-    ordered = outlines.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
+    outlines = pages.select("host", "path", "row", "html").mapInArrow(
+        outline, "host string, path string, row long, lines array<long>, undecided array<int>"
+    )
+    outlines = stored(outlines.withColumn("list", F.xxhash64("host", "lines")))
+    # pages of equal lines on a host have equal partners, so one stands for all
+    lead, unsure = F.min(F.struct("path", "row")).alias("lead"), F.max(F.size("undecided") > 0).alias("unsure")
+    distinct = outlines.groupBy("host", "list").agg(lead, F.first("lines").alias("lines"), unsure)
+    distinct = distinct.select("host", "lead.path", "lead.row", "list", "lines", "unsure")
+    kind = "host string, path string, row long, list long, lines array<long>, unsure boolean"
+    ordered = distinct.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
     ordered = stored(ordered.mapInArrow(number, kind + ", part long, place long"))
     offsets, total = {}, 0
     for r in sorted(ordered.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row per partition
@@ -252,38 +262,80 @@ def deletions(pages: DataFrame) -> DataFrame:
 
     def difference(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["rank"] is None, r["rank"]))
-        out, gone = [], []
-        drawn: dict[str, list[list[int]]] = {}
+        lists, shared, leasts = [], [], []
+        drawn: dict[str, list[dict]] = {}
         while rows and rows[-1]["rank"] is None:
             r = rows.pop()
-            drawn.setdefault(r["host"], []).append(r["lines"])
+            drawn.setdefault(r["host"], []).append(r)
         paths = [r["path"].split("/") for r in rows]
         for k, r in enumerate(rows):
-            if r["home"] != r["cell"] or not r["undecided"]:
+            if r["home"] != r["cell"] or not r["unsure"]:
                 continue
             near = [j for j in range(max(0, k - NEAR), min(len(rows), k + NEAR + 1)) if j != k and rows[j]["host"] == r["host"]]
             near.sort(key=lambda j: (-_shared_path(paths[k], paths[j]), abs(j - k), j))
             common = [common_lines(r["lines"], rows[j]["lines"]) for j in near]
-            least = min([len(c) for c in common], default=0)
-            if 2 * least > len(r["lines"]):  # a large template, or copies all around
-                least = min([least, *(len(common_lines(r["lines"], other)) for other in drawn.get(r["host"], ()))])
-            for c in common:
-                if is_copy(len(r["lines"]), len(c), least):
-                    continue
-                if deleted := sorted(set(c) & set(r["undecided"])):
-                    out.append(r["row"])
-                    gone.append(deleted)
-                break
-        return pa.table({"row": pa.array(out, pa.int64()), "gone": pa.array(gone, pa.list_(pa.int32()))})
+            n, least = len(r["lines"]), min([len(c) for c in common], default=len(r["lines"]))
+            if 2 * least > n:  # a large template, or copies all around
+                others = sorted(drawn.get(r["host"], ()), key=lambda d: (-_shared_path(paths[k], d["path"].split("/")), d["path"], d["list"]))
+                common += [common_lines(r["lines"], d["lines"]) for d in others]
+                least = min([len(c) for c in common], default=n)
+            lists.append(r["list"])
+            shared.append(next((c for c in common if not is_copy(n, len(c), least)), None))
+            leasts.append(least)
+        return pa.table({"list": pa.array(lists, pa.int64()), "common": pa.array(shared, pa.list_(pa.int32())), "least": pa.array(leasts, pa.int32())})
 
     hosts = dealt.select("host", "cell").distinct()
     picked = F.pmod(F.col("row"), F.lit(DRAWN))
-    drawn = ranked.groupBy("host", picked.alias("pick")).agg(F.min(F.struct(F.xxhash64("row").alias("h"), "lines"))["lines"].alias("lines"))
-    dealt = dealt.unionByName(drawn.select("host", "lines").join(hosts, "host"), allowMissingColumns=True)
-    found = dealt.groupBy("cell").applyInArrow(difference, "row long, gone array<int>")
+    drawn = ranked.groupBy("host", picked.alias("pick")).agg(F.min(F.struct(F.xxhash64("row").alias("h"), "path", "list", "lines")).alias("page"))
+    dealt = dealt.unionByName(drawn.select("host", "page.path", "page.list", "page.lines").join(hosts, "host"), allowMissingColumns=True)
+    found = stored(dealt.groupBy("cell").applyInArrow(difference, "list long, common array<int>, least int"))
+    settled = found.filter("common IS NOT NULL").select("list", "common")
+    settled = settled.unionByName(_further(found.filter("common IS NULL").select("list", "least"), ranked))
+    own = F.array_sort(F.array_intersect("common", "undecided"))
+    found = outlines.join(settled, "list").select("row", own.alias("gone")).filter(F.size("gone") > 0)
     return found.groupBy("row").agg(F.min("gone").alias("gone"))
 
 
+def _further(left: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``list, common`` for pages whose near and drawn pages are all copies, from ever further pages of the host."""
+    ends = ranked.groupBy("host").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    left = left.join(ranked.select("host", "path", "list", "lines", "rank"), "list").join(ends, "host")
+    other = ranked.select(F.col("rank").alias("other"), F.col("path").alias("other_path"), F.col("lines").alias("other_lines"))
+    kind = "list long, n int, least int, common array<int>, nearness array<long>"
+    out, reach = left.sparkSession.createDataFrame([], "list long, common array<int>"), NEAR
+
+    def compare(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                common = common_lines(r["lines"], r["other_lines"])
+                if len(common) < len(r["lines"]):
+                    alike = _shared_path(r["path"].split("/"), r["other_path"].split("/"))
+                    rows.append((r["list"], len(r["lines"]), min(r["least"], len(common)), common, [-alike, abs(r["other"] - r["rank"]), r["other"]]))
+            if rows:
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                names = [c.split()[0] for c in kind.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    while True:
+        left = stored(left.filter((F.col("rank") - reach > F.col("low")) | (F.col("rank") + reach < F.col("high"))))
+        if left.isEmpty():
+            return out
+        far, rank = 4 * reach, F.col("rank")
+        span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+        ranks = F.concat(span(F.greatest("low", rank - far), rank - reach - 1), span(rank + reach + 1, F.least("high", rank + far)))
+        pairs = left.withColumn("other", F.explode(ranks)).join(other, "other")
+        met = stored(pairs.mapInArrow(compare, kind))
+        least = met.groupBy("list").agg(F.min("least").alias("template"))
+        size, template = F.size("common"), F.col("template")
+        partners = met.join(least, "list").filter(2 * (size - template) <= F.col("n") - template)
+        best = stored(partners.groupBy("list").agg(F.min(F.struct("nearness", "common"))["common"].alias("common")))
+        out = out.unionByName(best)
+        left = left.join(best, "list", "left_anti").join(least, "list", "left")
+        left = left.withColumn("least", F.least("least", "template")).drop("template")
+        reach = far
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``."""
     pages = _located(pages)

@@ -63,6 +63,19 @@ def test_near_copies_keep_what_they_share(spark):
     assert all("Shared 5" in got[k] for k in range(40)) and all(got[100 + k] == f"Own {k}\nOther {k}" for k in range(60))
 
 
+def test_copies_in_a_row_hide_no_partner(spark):
+    copy = "<div>Menu</div><p>Alpha</p><p>Beta</p><div>Foot</div>"
+    rows = [(k, f"http://h/a/list?page={k}", copy) for k in range(60)]
+    rows += [(100 + k, f"http://h/b/{k}", f"<div>Menu</div><p>One {k}</p><p>Two {k}</p><div>Foot</div>") for k in range(2)]
+    # each page of the second host holds all lines of /m, but for the last ones
+    rows += [(200, "http://g/m", "<div>Menu</div><p>Gamma</p>")]
+    rows += [(300 + k, f"http://g/n/{k:03}", f"<div>Menu</div><p>Gamma</p><p>More {k}</p>") for k in range(150)]
+    rows += [(500, "http://g/z", "<div>Menu</div><p>Delta</p><p>Epsilon</p>")]
+    got = texts(spark, rows)
+    assert {got[k] for k in range(60)} == {"Alpha\nBeta"} and got[101] == "One 1\nTwo 1"
+    assert got[200] == "Gamma"
+
+
 def test_cells_are_dealt_without_a_seam(spark, monkeypatch):
     from growret.llm import html_extract
 
