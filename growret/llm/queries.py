@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import decontaminate, html_extract, language_id, near_dedup, packing, permutation_index, secrets, substring_dedup, token_counts, toxicity
+from growret.llm import decontaminate, html_extract, language_id, near_dedup, packing, periodic_runs, permutation_index, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_secrets": secrets.op10_secrets,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator on whole tables.
