@@ -26,6 +26,8 @@ _PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _BYTE = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _FOLD = _BYTE.copy()
 _FOLD[0x41:0x5B] = _BYTE[0x61:0x7B]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -76,6 +78,28 @@ def byte_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a time through ``mix``.
+
+    A chain of bijections, not a polynomial: ranges that differ by a pattern
+    (Thue-Morse words, for which every polynomial modulo 2**64 is equal) part
+    at the first eight bytes that differ and meet again by chance only.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    length = (end - start).astype(U64)
+    out = mix(length ^ U64(WORD_BASE))
+    rest, done = np.flatnonzero(length), 0
+    while len(rest):
+        left = length[rest] - U64(done)
+        part = eight[start[rest] + done].astype(U64)
+        spare = (U64(8) - np.minimum(left, U64(8))) << U64(3)  # bits that belong to the next word
+        part = (part << spare) >> spare
+        out[rest] = mix((out[rest] ^ part) * U64(BYTE_BASE) + U64(WORD_BASE))
+        rest, done = rest[left > U64(8)], done + 8
+    return out
+
+
 class Words:
     """Words of a batch: byte ``start``/``end``, 64-bit ``hash``, and ``off``, where rows' words begin."""
 
@@ -93,17 +117,21 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.off = np.searchsorted(self.start, rows)
-        self.total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((_FOLD if fold_case else _BYTE)[data] * _powers(BYTE_BASE, n), out=self.total[1:])
-        self.hash = self.spans(self.start, self.end)
+        self._values = _FOLD if fold_case else _BYTE
+        self._total = None
+        self.hash = word_hashes(_LOWER[data] if fold_case else data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges."""
+        """Hashes of byte ranges from one running polynomial: for features, not where equality must be sure."""
+        if self._total is None:
+            n = len(self.data)
+            self._total = np.zeros(n + 1, dtype=U64)
+            np.cumsum(self._values[self.data] * _powers(BYTE_BASE, n), out=self._total[1:])
         back = _powers(_inverse(BYTE_BASE), len(self.data) + 1)
-        return mix((self.total[end] - self.total[start]) * back[start])
+        return mix((self._total[end] - self._total[start]) * back[start])
 
     def count(self) -> np.ndarray:
         return np.diff(self.off)
