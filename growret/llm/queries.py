@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growret.llm import conversation_repair, decontaminate, html_extract, language_id, near_dedup, packing, periodic_runs, permutation_index, secrets, substring_dedup, token_counts, toxicity
+from growret.llm import conversation_repair, decontaminate, html_extract, language_id, near_dedup, ngram_join, packing, periodic_runs, permutation_index, secrets, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secrets.op10_secrets,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the operator on whole tables.
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
     "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_ngram_join": ngram_join.ORACLE,
 }
