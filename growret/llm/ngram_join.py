@@ -18,10 +18,15 @@
    of its remaining n-grams can't reach the overlap that its smallest set needs,
    or when the sizes rule it out.
 5. These links give components.  Lists that still hold several are joined in
-   full, but only across components, in cells of two blocks of ``BLOCK`` rows, by
-   the same tries; a subtree of the walking set's own component is skipped.  A
-   pair inside one component needs no link, so no link between components is
-   lost and no group is expanded into all pairs.
+   full, but only across components.  Components that meet in lists form
+   clusters; a cluster of one block is a cell, to which each set comes once.  A
+   larger one is joined list by list, in cells of two blocks of ``BLOCK`` rows.
+   Such a cell first sees prefixes: an n-gram of one prefix that comes before the
+   end of the other in the global order, but is not in it, is missing in the
+   other set; only sets that keep a possible partner come to the cell.  The sets
+   of a cell walk its trie; a subtree of the walking set's own component is
+   skipped.  A pair inside one component needs no link, so no link between
+   components is lost and no group is expanded into all pairs.
 
 Defined results: a null or empty text (or one without words) has an empty set
 and is linked with nothing; fewer words than an n-gram make one n-gram of all of
@@ -47,16 +52,18 @@ from growret.llm.stored import stored
 
 WIDTH, PERCENT = 5, 80
 #: Part of the hash range whose n-grams are counted: more than a prefix takes at 80 %.
-LOW = 0.3
+LOW = 0.25
 #: A block of a cell has about so many sets at most, and n-grams.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
-#: Classes that no doc_id can name alone are numbered from here on.
+#: Classes without any doc_id are numbered from here on.
 NO_ID = 1 << 62
 #: Bytes of low n-grams in a group of classes, and groups and parts of the count at least.
 GROUP_BYTES, LEAST = 4 << 20, 64
 #: Steps of the counts' logarithm that order n-grams.
 SCALE = 8
 GIVEN = np.dtype("<u8")
+#: Kinds of cells: majors with minors, minors with minors, a whole cluster.
+MAJORS, MINORS, WHOLE = 0, 1, 2
 
 
 def ngram_sets(texts: pa.Array, width: int):
@@ -218,27 +225,29 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """``v, set_id, n, head, one``: a row per distinct non-empty set, ``one`` a row (doc_id, t) that has it.
+    """``v, n, u, one``: a row per distinct non-empty set ``v``.
 
-    ``v`` is the smallest doc_id; sets that share it (texts of one id) or have
-    none are numbered from ``NO_ID`` on.
+    ``u``, its vertex, is the smallest doc_id (sets that share it are texts of
+    one id, so they share the vertex), or a number from ``NO_ID`` on where there
+    is none; ``one`` is a row (doc_id, t) that has the set.
     """
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
-    grouped = rows.filter("n > 0").groupBy("set_id", "n").agg(F.first("head").alias("head"), one)
-    numbered = stored(grouped.withColumn("number", F.monotonically_increasing_id()))
-    twice = numbered.groupBy("one.doc_id").agg(F.count("*").alias("sets")).filter("sets > 1 AND doc_id IS NOT NULL")
-    taken = twice.select(F.col("doc_id").alias("_twice"))
-    joined = numbered.join(taken, F.col("one.doc_id") == F.col("_twice"), "left")
-    v = F.when(F.col("_twice").isNull(), F.col("one.doc_id"))
-    return stored(joined.select(F.coalesce(v, F.lit(NO_ID) + F.col("number")).alias("v"), "set_id", "n", "head", "one"))
-
-
-def prefixes(classes: DataFrame, percent: int, limit: np.uint64) -> DataFrame:
-    """``gram, v, n``: the prefix of each class in the global order, without low n-grams that no other class has."""
-    size = classes.agg(F.sum(F.length("head")).alias("bytes")).first()["bytes"] or 0
+    grouped = rows.filter("n > 0").groupBy(F.col("set_id").alias("v"), "n").agg(one)
+    unnamed = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("v"), 2)
+    return stored(grouped.select("v", "n", F.coalesce("one.doc_id", unnamed).alias("u"), "one"))
+
+
+def prefixes(rows: DataFrame, percent: int, limit: np.uint64) -> DataFrame:
+    """``v, n, most, grams, steps``: the prefix of each class in the global order, without n-grams that it alone has.
+
+    ``most`` is the greatest overlap with another class that these leave;
+    ``steps`` has the scale of counts, a byte per n-gram.
+    """
+    size = rows.agg(F.sum(F.length("head")).alias("bytes")).first()["bytes"] or 0
     groups = max(LEAST, -(-size // GROUP_BYTES))
     parts = groups  # a part meets as many n-grams as a group sends
-    dealt = classes.select("v", "n", "head").withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
+    classes = rows.filter("n > 0").groupBy(F.col("set_id").alias("v"), "n").agg(F.first("head").alias("head"))
+    dealt = classes.withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
 
     def part_of(grams: np.ndarray) -> np.ndarray:
         return ((mix(grams) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
@@ -287,24 +296,30 @@ def prefixes(classes: DataFrame, percent: int, limit: np.uint64) -> DataFrame:
         got = dict(zip(answers["part"].to_pylist(), answers["steps"].to_pylist()))
         for t, a, b in zip(found, begin, begin[1:]):
             step[order[a:b]] = np.frombuffer(got[t], np.uint8)
-        gram, v, n = [], [], []
-        for name, size, blob, mine in zip(sets["v"].to_pylist(), sets["n"].to_pylist(), sets["head"], lows):
+        most, kept, steps = [], [], []
+        for size, blob, mine in zip(sets["n"].to_pylist(), sets["head"], lows):
             p = prefix_size(size, percent)
             own = step[np.searchsorted(grams, mine)]
             first = np.argsort(own, kind="stable")[:p]  # the n-grams are sorted, so ties go by hash
-            taken = mine[first[own[first] > 0]]
-            if len(first) < p:
-                rest = unpack_sorted(blob.as_py())[len(mine) :]
-                taken = np.concatenate([taken, rest[: p - len(first)]])
-            gram.append(taken)
-            v += [name] * len(taken)
-            n += [size] * len(taken)
-        grams = np.concatenate(gram).astype(U64).view(np.int64) if gram else np.zeros(0, np.int64)
-        return pa.table({"gram": pa.array(grams), "v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
+            alone = np.count_nonzero(own[first] == 0)
+            first = first[alone:]
+            rest = unpack_sorted(blob.as_py())[len(mine) : len(mine) + p - alone - len(first)]
+            most.append(size - alone)
+            kept.append(np.concatenate([mine[first], rest]).view(np.int64))
+            steps.append(np.concatenate([own[first], np.zeros(len(rest), np.int64)]).astype(np.uint8).tobytes())
+        return pa.table(
+            {
+                "v": sets["v"],
+                "n": sets["n"],
+                "most": pa.array(most, pa.int64()),
+                "grams": pa.array(kept, pa.list_(pa.int64())),
+                "steps": pa.array(steps, pa.binary()),
+            }
+        )
 
     sent = dealt.groupBy("g").applyInArrow(send, "part long, g int, grams binary, more binary")
     answers = sent.groupBy("part").applyInArrow(meet, "g int, part long, steps binary")
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(post, "gram long, v long, n long")
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(post, "v binary, n long, most long, grams array<long>, steps binary")
 
 
 def _more(count: np.ndarray) -> bytes:
@@ -319,8 +334,16 @@ def _counts(blob: bytes, size: int) -> np.ndarray:
     return out
 
 
+def keys(grams: np.ndarray, steps: bytes, limit: np.uint64) -> np.ndarray:
+    """Numbers that rise with the global order, cut to 62 bits: compare by < only."""
+    grams = grams.astype(np.int64).view(U64)
+    step = np.where(grams >= limit, 256, np.frombuffer(steps, np.uint8).astype(np.int64)).astype(U64)
+    return (step << U64(53)) | (grams >> U64(11))
+
+
 def posting_lists(posted: DataFrame) -> DataFrame:
-    """``gram, v, n, least``: the members of each list of two classes or more; lists of equal members once."""
+    """``gram, v, n, most, least``: the members of each list of two classes or more, lists with equal members once."""
+    posted = posted.select("v", "n", "most", F.explode("grams").alias("gram"))
     lists = posted.groupBy("gram").agg(
         F.count("*").alias("size"),
         F.min("v").alias("least"),
@@ -333,24 +356,54 @@ def posting_lists(posted: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, classes: DataFrame, used: DataFrame, width: int) -> DataFrame:
     """``v, s``: the packed set of each class in ``used(v)``, from the text of one of its rows."""
-    wanted = classes.join(used, "v").select("v", "set_id", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
+    wanted = classes.join(used, "v").select("v", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
     texts = named(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
 
     def sets(batches):
         for batch in batches:
             ids, blobs = [], []
-            names = zip(batch.column("v").to_pylist(), batch.column("set_id").to_pylist())
-            for (v, name), s in zip(names, ngram_sets(batch.column("text"), width)):
-                if set_digest(s) == name:  # another text may share the id and the text's hash
+            for v, s in zip(batch.column("v").to_pylist(), ngram_sets(batch.column("text"), width)):
+                if set_digest(s) == v:  # another text may share the id and the text's hash
                     ids.append(v)
                     blobs.append(pack_sorted(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["v", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], ["v", "s"])
+
+    return texts.select("v", "text").mapInArrow(sets, "v binary, s binary").dropDuplicates(["v"])
 
-    return texts.select("v", "set_id", "text").mapInArrow(sets, "v long, s binary").dropDuplicates(["v"])
+
+def _cells(df: DataFrame, keys: list[str], make, schema: str) -> DataFrame:
+    """``make(key, columns of the cell by name)`` yields rows of ``schema`` for each cell; cells of a task follow one another."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+    columns = [c for c in df.columns if c not in keys]
+
+    def read(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *columns))):
+                if row[: len(keys)] != key:
+                    if held:
+                        yield key, dict(zip(columns, zip(*held)))
+                    key, held = row[: len(keys)], []
+                held.append(row[len(keys) :])
+        if held:
+            yield key, dict(zip(columns, zip(*held)))
+
+    def run(batches):
+        out = []
+        for key, cell in read(batches):
+            out += make(key, cell)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _unpacked(column) -> list[np.ndarray]:
-    return [unpack_sorted(x.as_py()) for x in column]
+    return [unpack_sorted(x) for x in column]
 
 
 def _blocks(rows: Column, grams: Column) -> Column:
@@ -359,39 +412,36 @@ def _blocks(rows: Column, grams: Column) -> Column:
 
 
 def links_to_least(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between the smallest class of each list and its members, by tries of up to about BLOCK members."""
-    own = lists.filter("v = least").select("gram", F.col("n").alias("n_least"))
-    stars = stored(
-        lists.filter("v > least")
-        .join(own, "gram")
-        .filter(f"100 * least(n, n_least) >= {percent} * greatest(n, n_least)")
-        .select(F.col("least").alias("a"), F.col("v").alias("b"), "n")
-        .distinct()
-    )
-    parts = stars.groupBy("a").agg(_blocks(F.count("*"), F.sum("n")).alias("parts"))
-    dealt = stars.join(parts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = dealt.select("a", "block", F.col("b").alias("v"))
-    walkers = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("a").alias("v"))
-    cells = members.union(walkers).join(sets, "v")
-
-    def walk(table: pa.Table) -> pa.Table:
-        v, a = table["v"].to_numpy(), table["a"][0].as_py()
-        full = _unpacked(table["s"])
-        left, right = np.flatnonzero(v != a), np.flatnonzero(v == a)
-        found = trie_links([full[k] for k in left], v[left], [full[k] for k in right], v[right], percent)
-        b = [int(v[left[k]]) for k, _ in found]
-        return pa.table({"a": pa.array([a] * len(b), pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cells.groupBy("a", "block").applyInArrow(walk, "a long, b long")
-
-
-def links_across(lists: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` between different components that meet in a list, in cells of two blocks.
-
-    The rows of a list's largest component are its majors, all others its
-    minors; majors meet minors, and minors each other.
+    """Links ``a, b`` (vertices) between the smallest class of each list and its members, by tries of about BLOCK members."""
+    own = lists.filter("v = least").select("gram", F.col("n").alias("n_least"), F.col("most").alias("most_least"))
+    possible = f"least(most, most_least) * {100 + percent} >= {percent} * (n + n_least)"  # so the sizes fit as well
+    stars = stored(lists.filter("v > least").join(own, "gram").filter(possible).select("least", "v", "n").distinct())
+    parts = stored(stars.groupBy("least").agg(_blocks(F.count("*"), F.sum("n")).alias("parts")))
+    dealt = stars.join(parts, "least").withColumn("block", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    members = dealt.select("least", "block", "v")
+    walkers = parts.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("least").alias("v"))
+    cells = members.union(walkers).join(sets, "v").select("least", "block", "v", "u", "s")
+
+    def walk(key, cell):
+        full, u = _unpacked(cell["s"]), cell["u"]
+        left, right = [k for k, v in enumerate(cell["v"]) if v != key[0]], cell["v"].index(key[0])
+        # by number, as sets of one vertex may meet
+        found = trie_links([full[k] for k in left], np.arange(len(left)), [full[right]], np.array([-1]), percent)
+        return [(u[right], u[left[k]]) for k, _ in found]
+
+    return _cells(cells, ["least", "block"], walk, "a long, b long")
+
+
+def links_across(
+    lists: DataFrame, posted: DataFrame, sets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, limit: np.uint64
+) -> DataFrame:
+    """Links ``a, b`` (vertices) between different components that meet in a list.
+
+    In a large cluster the rows of a list's largest component are its majors,
+    all others its minors; majors meet minors, and minors each other.
     """
-    mine = lists.join(comps, "v", "left").select("gram", "v", "n", F.coalesce("comp", "v").alias("comp"))
+    of = classes.select("v", "u").join(comps.withColumnRenamed("v", "u"), "u", "left").select("v", F.coalesce("comp", "u").alias("comp"))
+    mine = lists.select("gram", "v", "n").join(of, "v")
     per = mine.groupBy("gram", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     split = stored(
         per.groupBy("gram")
@@ -407,26 +457,70 @@ def links_across(lists: DataFrame, sets: DataFrame, comps: DataFrame, percent: i
             _blocks(F.col("rows") - F.col("top.rows"), F.col("grams") - F.col("top.grams")).alias("bq"),
         )
     )
-    rows = mine.join(split, "gram").withColumn("is_major", F.expr("comp = major"))
+    mixed = stored(mine.join(split, "gram"))
+    meet = mixed.filter("comp <> major").select(F.col("major").alias("a"), F.col("comp").alias("b")).distinct()
+    clusters = stored(components(meet).select(F.col("v").alias("comp"), F.col("comp").alias("cluster")))
+    classed = stored(mixed.select("v", "comp", "n").distinct().join(clusters, "comp"))
+    sizes = stored(classed.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")))
+    place = [F.lit(x).cast("int").alias(c) for c, x in (("kind", WHOLE), ("i", 0), ("j", 0), ("side", 0))]
+    small = classed.join(sizes.filter("blocks = 1"), "cluster").select(F.col("cluster").alias("gram"), *place, "comp", "v")
+    large = clusters.join(sizes.filter("blocks > 1"), "cluster").select("comp")
+    rows = mixed.join(large, "comp").withColumn("is_major", F.expr("comp = major"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.when(F.col("is_major"), F.col("bm")).otherwise(F.col("bq"))).cast("int"))
     cell = "struct<kind:int,i:int,j:int,side:int>"
-    majors = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct(0, own, x, 0) as {cell}))")
-    minors = F.expr(f"transform(sequence(0, bm - 1), x -> cast(struct(0, x, own, 1) as {cell}))")
-    others = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct(1, least(own, x), greatest(own, x), int(own > x)) as {cell}))")
-    dealt = rows.withColumn("c", F.explode(F.when(F.col("is_major"), majors).otherwise(F.concat(minors, others)))).select("gram", "c.*", "v", "comp")
-    cells = dealt.join(sets, "v")
-
-    def walk(table: pa.Table) -> pa.Table:
-        alone = table["kind"][0].as_py() == 1 and table["i"][0].as_py() == table["j"][0].as_py()
-        v, comp, side = (table[c].to_numpy() for c in ("v", "comp", "side"))
-        full = _unpacked(table["s"])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
-        found = trie_links([full[k] for k in left], comp[left], [full[k] for k in right], comp[right], percent)
-        pairs = [(int(v[left[k]]), int(v[right[r]])) for k, r in found]
-        a, b = zip(*pairs) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cells.groupBy("gram", "kind", "i", "j").applyInArrow(walk, "a long, b long")
+    majors = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct({MAJORS}, own, x, 0) as {cell}))")
+    minors = F.expr(f"transform(sequence(0, bm - 1), x -> cast(struct({MAJORS}, x, own, 1) as {cell}))")
+    others = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct({MINORS}, least(own, x), greatest(own, x), int(own > x)) as {cell}))")
+    dealt = rows.withColumn("c", F.explode(F.when(F.col("is_major"), majors).otherwise(F.concat(minors, others))))
+    cells = dealt.select("gram", "c.*", "v", "comp").join(posted, "v")
+    by = ["gram", "kind", "i", "j"]
+
+    def sides(key, cell) -> tuple[list[int], list[int]]:
+        alone = key[1] != MAJORS and key[2] == key[3]
+        return [k for k, x in enumerate(cell["side"]) if x == 0], [k for k, x in enumerate(cell["side"]) if x == (0 if alone else 1)]
+
+    def possible(key, cell):
+        """The rows of a cell that have a partner of another component whose prefix leaves a link possible."""
+        left, right = sides(key, cell)
+        n, most, comp = (np.array(cell[c]) for c in ("n", "most", "comp"))
+        need = needed(n[left], n[right][:, None], percent)
+        open_ = (np.minimum(most[left], most[right][:, None]) >= need) & (comp[left] != comp[right][:, None])
+        used = np.flatnonzero(open_.any(axis=0))
+        if not len(used):
+            return []
+        left, need, open_ = [left[k] for k in used], need[:, used], open_[:, used]
+        grams = {k: np.array(cell["grams"][k], np.int64) for k in {*left, *(right[r] for r in np.flatnonzero(open_.any(axis=1)))}}
+        order = {k: keys(g, cell["steps"][k], limit) for k, g in grams.items()}
+        all_grams, all_keys = (np.concatenate([x[k] for k in left]) for x in (grams, order))
+        holder = np.repeat(np.arange(len(left)), [len(grams[k]) for k in left])
+        sort = np.argsort(all_grams, kind="stable")
+        sorted_grams, sorted_holder = all_grams[sort], holder[sort]
+        last = np.array([order[k][-1] for k in left])
+        alive = set()
+        for r in np.flatnonzero(open_.any(axis=1)):
+            k = right[r]
+            lo, hi = np.searchsorted(sorted_grams, grams[k]), np.searchsorted(sorted_grams, grams[k], side="right")
+            at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(sorted_holder[at], minlength=len(left))
+            before = np.searchsorted(order[k], last)  # of the right prefix, before the left one's end
+            after = np.bincount(holder[all_keys < order[k][-1]], minlength=len(left))
+            reach = np.minimum(most[k] - np.maximum(before - both, 0), most[left] - np.maximum(after - both, 0))
+            fits = np.flatnonzero(open_[r] & (reach >= need[r]))
+            if len(fits):
+                alive.add(k)
+                alive.update(left[x] for x in fits)
+        return [(*key, cell["side"][k], cell["comp"][k], cell["v"][k]) for k in alive]
+
+    near = _cells(cells, by, possible, "gram long, kind int, i int, j int, side int, comp long, v binary")
+    full = stored(small.unionByName(near)).join(sets, "v")
+
+    def walk(key, cell):
+        left, right = sides(key, cell)
+        sets, u, comp = _unpacked(cell["s"]), cell["u"], np.array(cell["comp"])
+        found = trie_links([sets[k] for k in left], comp[left], [sets[k] for k in right], comp[right], percent)
+        return [(u[left[k]], u[right[r]]) for k, r in found]
+
+    return _cells(full, by, walk, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -437,19 +531,21 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     limit = low_limit(LOW)
     docs = docs.select("doc_id", "text")
     rows = stored(scan(docs, width, percent, limit))
+    posted = stored(prefixes(rows, percent, limit))
+    lists = posting_lists(posted)
     classes = classes_of(rows)
-    lists = posting_lists(stored(prefixes(classes, percent, limit)))
-    sets = stored(full_sets(docs, classes, lists.select("v").distinct(), width))
-    of_row = rows.select("doc_id", "n", "set_id").join(classes.select("set_id", "n", "v"), ["set_id", "n"])
-    # an id whose texts differ is a vertex of its own, linked with all of them
-    several = of_row.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a < b OR b >= %d" % NO_ID)
-    own = of_row.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("v").alias("b")).distinct()
+    sets = stored(full_sets(docs, classes, lists.select("v").distinct(), width).join(classes.select("v", "u"), "v"))
+    vertices = classes.select(F.col("v").alias("set_id"), "n", "u")
+    # an id whose texts differ is linked with the vertices of all of them
+    of_row = rows.filter("doc_id IS NOT NULL").select("doc_id", "n", "set_id").join(vertices, ["set_id", "n"])
+    own = of_row.groupBy("doc_id").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a < b").select("doc_id")
+    own = of_row.join(own, "doc_id").select(F.col("doc_id").alias("a"), F.col("u").alias("b")).distinct()
     links = stored(links_to_least(lists, sets, percent).union(own))
     comps = components(links)
-    more = stored(links_across(lists, sets, comps, percent))
+    more = stored(links_across(lists, posted, sets, classes, comps, percent, limit))
     if more.limit(1).count():
         comps = components(links.union(more))
-    found = stored(classes.join(comps, "v", "left").select("set_id", "n", F.coalesce("comp", "v").alias("comp")))
+    found = stored(vertices.join(comps.withColumnRenamed("v", "u"), "u", "left").select("set_id", "n", F.coalesce("comp", "u").alias("comp")))
     out = rows.select("doc_id", "n", "set_id").join(found, ["set_id", "n"], "left")
     own_id = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") < NO_ID, F.col("comp"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))
