@@ -18,12 +18,13 @@
    of its remaining n-grams can't reach the overlap that its smallest set needs,
    or when the sizes rule it out.
 5. These links give components.  Lists that still hold several are joined in
-   full, but only across components.  Components that meet in lists form
-   clusters; a cluster of one block is a cell, to which each set comes once.  A
-   larger one is joined list by list, in cells of two blocks of ``BLOCK`` rows.
-   Such a cell first sees prefixes: an n-gram of one prefix that comes before the
+   full, but only across components.  Components that meet the smallest one of a
+   list in ``OFTEN`` lists form clusters; a cluster of one block is a cell, to
+   which each set comes once.  Lists that no such cluster covers are joined one
+   by one, in cells of two blocks of ``BLOCK`` rows.  A cell first sees prefixes: an n-gram of one prefix that comes before the
    end of the other in the global order, but is not in it, is missing in the
-   other set; only sets that keep a possible partner come to the cell.  The sets
+   other set; only sets that keep a possible partner, not in their own whole
+   cluster, come to the cell.  The sets
    of a cell walk its trie; a subtree of the walking set's own component is
    skipped.  A pair inside one component needs no link, so no link between
    components is lost and no group is expanded into all pairs.
@@ -54,7 +55,9 @@ WIDTH, PERCENT = 5, 80
 #: Part of the hash range whose n-grams are counted: more than a prefix takes at 80 %.
 LOW = 0.25
 #: A block of a cell has about so many sets at most, and n-grams.
-BLOCK, BLOCK_GRAMS = 512, 1 << 20
+BLOCK, BLOCK_GRAMS = 512, 1 << 22
+#: Components that meet in so many lists are one cluster.
+OFTEN = 8
 #: Classes without any doc_id are numbered from here on.
 NO_ID = 1 << 62
 #: Bytes of low n-grams in a group of classes, and groups and parts of the count at least.
@@ -183,18 +186,21 @@ class Trie:
         return [int(group[lo]) if change[lo] == change[hi - 1] else None for lo, hi, *_ in self.nodes]
 
 
-def trie_links(left: list[np.ndarray], left_group: np.ndarray, right: list[np.ndarray], right_group: np.ndarray, percent: int):
-    """(number in left, number in right) of links between different groups: each right row's, one to each group."""
+def trie_links(
+    left: list[np.ndarray], left_group: np.ndarray, right: list[np.ndarray], right_group: np.ndarray, percent: int, label=None
+):
+    """(number in left, number in right) of links between different groups: each right row's, one to each label (or group)."""
     if not left or not right:
         return
     trie = Trie(left)
+    label = left_group if label is None else label
     group = np.asarray(left_group)[trie.order]
     alike = trie.alike(group)
     for r, s in enumerate(right):
         met = set()
         for k in trie.linked(s, percent, group, right_group[r], alike):
-            if left_group[k] not in met:
-                met.add(left_group[k])
+            if label[k] not in met:
+                met.add(label[k])
                 yield k, r
 
 
@@ -448,31 +454,37 @@ def links_across(
         .agg(
             F.max(F.struct("rows", "comp", "grams")).alias("top"),
             F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("comps"),
+            F.min("comp").alias("lowest"),
         )
         .filter("comps > 1")
         .select(
             "gram",
             F.col("top.comp").alias("major"),
+            "lowest",
             _blocks(F.col("top.rows"), F.col("top.grams")).alias("bm"),
             _blocks(F.col("rows") - F.col("top.rows"), F.col("grams") - F.col("top.grams")).alias("bq"),
         )
     )
     mixed = stored(mine.join(split, "gram"))
-    meet = mixed.filter("comp <> major").select(F.col("major").alias("a"), F.col("comp").alias("b")).distinct()
+    met = mixed.filter("comp <> lowest").select("gram", F.col("lowest").alias("a"), F.col("comp").alias("b")).distinct()
+    meet = met.groupBy("a", "b").agg(F.count("*").alias("lists")).filter(F.col("lists") >= OFTEN).select("a", "b")
     clusters = stored(components(meet).select(F.col("v").alias("comp"), F.col("comp").alias("cluster")))
     classed = stored(mixed.select("v", "comp", "n").distinct().join(clusters, "comp"))
     sizes = stored(classed.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")))
     place = [F.lit(x).cast("int").alias(c) for c, x in (("kind", WHOLE), ("i", 0), ("j", 0), ("side", 0))]
-    small = classed.join(sizes.filter("blocks = 1"), "cluster").select(F.col("cluster").alias("gram"), *place, "comp", "v")
-    large = clusters.join(sizes.filter("blocks > 1"), "cluster").select("comp")
-    rows = mixed.join(large, "comp").withColumn("is_major", F.expr("comp = major"))
+    whole = sizes.filter("blocks = 1").select("cluster")
+    small = classed.join(whole, "cluster").select(F.col("cluster").alias("gram"), *place, F.col("comp").alias("grp"), "comp", "v")
+    # what met in its whole cluster need not meet again
+    placed = stored(mixed.join(clusters.join(whole, "cluster"), "comp", "left").withColumn("grp", F.coalesce("cluster", "comp")))
+    open_lists = placed.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("gram")
+    rows = placed.join(open_lists, "gram").withColumn("is_major", F.expr("comp = major"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.when(F.col("is_major"), F.col("bm")).otherwise(F.col("bq"))).cast("int"))
     cell = "struct<kind:int,i:int,j:int,side:int>"
     majors = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct({MAJORS}, own, x, 0) as {cell}))")
     minors = F.expr(f"transform(sequence(0, bm - 1), x -> cast(struct({MAJORS}, x, own, 1) as {cell}))")
     others = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct({MINORS}, least(own, x), greatest(own, x), int(own > x)) as {cell}))")
     dealt = rows.withColumn("c", F.explode(F.when(F.col("is_major"), majors).otherwise(F.concat(minors, others))))
-    cells = dealt.select("gram", "c.*", "v", "comp").join(posted, "v")
+    cells = dealt.select("gram", "c.*", "v", "grp", "comp").join(posted, "v")
     by = ["gram", "kind", "i", "j"]
 
     def sides(key, cell) -> tuple[list[int], list[int]]:
@@ -482,9 +494,9 @@ def links_across(
     def possible(key, cell):
         """The rows of a cell that have a partner of another component whose prefix leaves a link possible."""
         left, right = sides(key, cell)
-        n, most, comp = (np.array(cell[c]) for c in ("n", "most", "comp"))
+        n, most, grp = (np.array(cell[c]) for c in ("n", "most", "grp"))
         need = needed(n[left], n[right][:, None], percent)
-        open_ = (np.minimum(most[left], most[right][:, None]) >= need) & (comp[left] != comp[right][:, None])
+        open_ = (np.minimum(most[left], most[right][:, None]) >= need) & (grp[left] != grp[right][:, None])
         used = np.flatnonzero(open_.any(axis=0))
         if not len(used):
             return []
@@ -509,15 +521,15 @@ def links_across(
             if len(fits):
                 alive.add(k)
                 alive.update(left[x] for x in fits)
-        return [(*key, cell["side"][k], cell["comp"][k], cell["v"][k]) for k in alive]
+        return [(*key, cell["side"][k], cell["grp"][k], cell["comp"][k], cell["v"][k]) for k in alive]
 
-    near = _cells(cells, by, possible, "gram long, kind int, i int, j int, side int, comp long, v binary")
+    near = _cells(cells, by, possible, "gram long, kind int, i int, j int, side int, grp long, comp long, v binary")
     full = stored(small.unionByName(near)).join(sets, "v")
 
     def walk(key, cell):
         left, right = sides(key, cell)
-        sets, u, comp = _unpacked(cell["s"]), cell["u"], np.array(cell["comp"])
-        found = trie_links([sets[k] for k in left], comp[left], [sets[k] for k in right], comp[right], percent)
+        sets, u, grp, comp = _unpacked(cell["s"]), cell["u"], np.array(cell["grp"]), np.array(cell["comp"])
+        found = trie_links([sets[k] for k in left], grp[left], [sets[k] for k in right], grp[right], percent, comp[left])
         return [(u[left[k]], u[right[r]]) for k, r in found]
 
     return _cells(full, by, walk, "a long, b long").distinct()

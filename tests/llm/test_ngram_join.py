@@ -67,6 +67,7 @@ def test_trie_finds_the_links_of_sets(percent):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_join_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)  # several blocks and cells for the one large group
+    monkeypatch.setattr(ngram_join, "OFTEN", 1 + 7 * seed)
     rows = near_copies(seed)
     assert run(spark, rows) == expected(rows)
 
