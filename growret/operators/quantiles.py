@@ -4,18 +4,21 @@
 -> count map per group in one task, so a group with a third of all rows lands
 in one task's memory.  Here, for inputs of any size:
 
-1. rows collapse to (group, value, count), combined before the shuffle and
-   spread by group and value, so a million ties are one row;
-2. each value has a bucket, a steadily rising function of the value alone:
+1. each value has a bucket, a steadily rising function of the value alone:
    about ``PER_E`` buckets for each factor e of its size.  Counts per (group,
-   bucket) are a small table, whose running sums say which buckets hold the
-   rank below and above each wanted percentile;
-3. only the values of those buckets are ranked within their group and bucket,
-   and the ranks give ``lo + (p(n-1) - floor) * (hi - lo)``.
+   bucket), combined before the shuffle, are a small table whose running sums
+   say which buckets hold the rank below and above each wanted percentile;
+2. a bucket adapts: one with more than ``SIZE`` values is split again into
+   ``PARTS`` equal parts between its own least and greatest value, ``LEVELS``
+   times, and only the parts that hold a wanted rank go on.  A bucket of step 1
+   has 2**42 doubles at most, so each level leaves 2**14 times fewer of them,
+   however the values crowd;
+3. only those values are counted and ranked, and the ranks give
+   ``lo + (p(n-1) - floor) * (hi - lo)``.  A million ties are one row.
 
 Everything rests on columns of the data: no partition or row ids, no stored
-intermediate, and no job while the plan is built.  A task meets the values of
-one bucket, 0.1 % of their size apart, never a group.  ``approx`` is the
+intermediate, and no job while the plan is built.  What is shuffled are counts
+per bucket and the few values ranked, never all values.  ``approx`` is the
 mergeable sketch ``percentile_approx``.
 """
 
@@ -30,6 +33,7 @@ STRATEGIES = ("exact", "approx")
 PER_E = 1024
 #: Values nearer to zero than this share the middle bucket.
 SMALLEST = 1e-9
+SIZE, PARTS, LEVELS = 4096, 1 << 14, 1
 
 
 def _check(strategy: str) -> None:
@@ -54,6 +58,49 @@ def _over(keys: list[str], *more: str):
     return Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
 
 
+def _same(names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in names])
+
+
+def narrowed(base: DataFrame, keys: list[str], probs: list[float], size: int | None = None) -> DataFrame:
+    """The rows ``keys, _v`` whose buckets hold a rank that ``probs`` need.
+
+    With them their bucket of each level ``_b0``, ``_b1``..., ``_first``, the
+    values of the group before the last bucket, and ``_n``, all its values.
+    """
+    size = SIZE if size is None else size
+
+    def holds(first: Column, count: Column) -> Column:
+        ranks = [edge(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs for edge in (F.floor, F.ceil)]
+        return reduce(lambda a, b: a | b, [(r >= first) & (r < first + count) for r in ranks])
+
+    placed_rows = base.withColumn("_b0", _bucket(F.col("_v")))
+    rows, by = placed_rows.withColumns({"_first": F.lit(0).cast("long"), "_n": F.lit(None).cast("long")}), []
+    for level in range(LEVELS + 1):
+        bounds = [f"_{x}{k}" for k in range(level) for x in ("lo", "hi", "c")]  # of the levels before
+        name = f"_b{level}"
+        per = rows.groupBy(*keys, *by, name).agg(
+            F.count(F.lit(1)).alias(f"_c{level}"), F.min("_v").alias(f"_lo{level}"), F.max("_v").alias(f"_hi{level}"),
+            *[F.max(c).alias(c) for c in (*bounds, "_first", "_n")],
+        )
+        count = F.col(f"_c{level}")
+        running = _over(keys, *by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        placed = per.withColumn("_first", F.col("_first") + F.coalesce(F.sum(count).over(running), F.lit(0)))
+        placed = placed.withColumn("_n", F.coalesce("_n", F.sum(count).over(_over(keys, *by))))
+        by = [*by, name]
+        wanted = placed.filter(holds(F.col("_first"), count)).withColumnsRenamed({c: f"_w_{c}" for c in (*keys, *by)})
+        # the rows again, each bucket found from the bounds that its own bucket before had
+        rows = placed_rows.join(wanted, _same([*keys, "_b0"]))
+        for k in range(level + 1):
+            share = (F.col("_v") - F.col(f"_lo{k}")) / (F.col(f"_hi{k}") - F.col(f"_lo{k}"))
+            split = (F.col(f"_c{k}") > size) & (F.col(f"_hi{k}") > F.col(f"_lo{k}"))
+            rows = rows.withColumn(f"_b{k + 1}", F.when(split, F.floor(share * PARTS)).otherwise(F.lit(0).cast("long")))
+            if k < level:
+                rows = rows.filter(F.col(f"_b{k + 1}") == F.col(f"_w__b{k + 1}"))
+        rows = rows.drop(*[f"_w_{c}" for c in (*keys, *by)])
+    return rows.select(*keys, *by, "_v", "_first", "_n")
+
+
 def group_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -75,26 +122,13 @@ def group_quantiles(
         aggs = [F.percentile_approx("_v", F.lit(p), accuracy).alias(name) for name, p in probs.items()]
         return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
-    pairs = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
-    per_bucket = pairs.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    running = _over(keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per_bucket.select(
-        *keys, "_b", "_bc",
-        F.coalesce(F.sum("_bc").over(running), F.lit(0)).alias("_first"),
-        F.sum("_bc").over(_over(keys)).alias("_n"),
-    )
-    ranks = [edge(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs.values() for edge in (F.floor, F.ceil)]
-
-    def holds(first: Column, count: Column) -> Column:
-        return reduce(lambda a, b: a | b, [(r >= first) & (r < first + count) for r in ranks])
-
-    wanted = placed.filter(holds(F.col("_first"), F.col("_bc"))).select(
-        *[F.col(c).alias(f"_w_{c}") for c in (*keys, "_b")], "_first", "_n"
+    near = narrowed(base, keys, list(probs.values()))
+    buckets = [c for c in near.columns if c.startswith("_b")]
+    counted = near.groupBy(*keys, *buckets, "_v").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_first").alias("_first"), F.max("_n").alias("_n")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in (*keys, "_b")]
-    near = pairs.join(wanted, reduce(lambda a, b: a & b, same)).select(*keys, "_b", "_v", "_c", "_first", "_n")
-    within = _over(keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = near.withColumn("_at", F.col("_first") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    within = _over(keys, *buckets).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("_at", F.col("_first") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
     aggs, outs = [], []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_n") - 1)

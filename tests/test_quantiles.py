@@ -76,3 +76,20 @@ def test_all_null_group_absent(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
     got = {r.g for r in group_quantiles(df, ["g"], "v", {"med": 0.5}).collect()}
     assert got == {"b"}
+
+
+def test_crowded_values_are_split_further(spark, monkeypatch):
+    """A million different values within one part in 2500, half of them crowded at one end."""
+    from growret.operators import quantiles
+    from growret.operators.quantiles import SIZE, narrowed
+
+    ids = spark.range(1_000_000)
+    for v, levels in ((1 + F.col("id") / 2.5e9, 1), (F.when(F.col("id") % 2 == 0, 1 + F.col("id") * 1e-15).otherwise(1 + F.col("id") / 2.5e9), 2)):
+        monkeypatch.setattr(quantiles, "LEVELS", levels)
+        df = ids.select(F.lit(0).alias("g"), v.alias("_v"))
+        near = narrowed(df, ["g"], [0.25, 0.5, 0.75])
+        parts = near.groupBy("g", *[f"_b{k}" for k in range(levels + 1)]).agg(F.countDistinct("_v").alias("n")).collect()
+        assert 3 <= len(parts) <= 6 and max(r["n"] for r in parts) <= SIZE  # of 244 * SIZE
+        got = group_quantiles(df, ["g"], "_v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
+        want = df.select(F.percentile("_v", [0.25, 0.5, 0.75]).alias("p")).first()["p"]
+        assert all(abs(x - y) < 1e-15 for x, y in zip(list(got)[1:], want))
