@@ -111,18 +111,33 @@ def weekly_price_field(price: str) -> str:
     return "w_high" if price == "w_high" else "w_close"
 
 
+def previous_bar(bars: DataFrame, values: list[str]) -> DataFrame:
+    """``bars`` with ``_prev``, a struct of ``values`` of the symbol's bar before (NULL for its first one).
+
+    A symbol's history is cut into months, so no task sorts more of it than one
+    month, however long or hot it is; the last bar of each month, found by a
+    ``max_by`` that merges before the shuffle, is carried to the symbol's next
+    month that has bars.
+    """
+    block = F.trunc("date", "month")
+    month = Window.partitionBy("symbol", "_block").orderBy("date")
+    near = bars.withColumn("_block", block).withColumn("_near", F.lag(F.struct(*values)).over(month))
+    last = bars.groupBy(F.col("symbol").alias("_symbol"), block.alias("_month")).agg(F.max_by(F.struct(*values), "date").alias("_last"))
+    months = Window.partitionBy("_symbol").orderBy("_month")  # a row per month
+    carried = last.select("_symbol", "_month", F.lag("_last").over(months).alias("_carried"))
+    same = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("_block").eqNullSafe(F.col("_month"))
+    out = near.join(carried, same, "left")
+    return out.select(*bars.columns, F.coalesce("_near", "_carried").alias("_prev"))
+
+
 def with_previous(weekly: DataFrame) -> DataFrame:
     """Weekly bars with their entity key and the previous bar's prices
-    (``prev_close``, ``prev_high``): the one LAG over each symbol's history,
-    to be stored with the bars so that later reads need no window."""
-    w = Window.partitionBy("symbol").orderBy("date")
-    return weekly.withColumns(
-        {
-            "stock_id": entity_key("symbol"),
-            "prev_close": F.lag("w_close").over(w),
-            "prev_high": F.lag("w_high").over(w),
-        }
-    )
+    (``prev_close``, ``prev_high``), to be stored with the bars so that later
+    reads need no window."""
+    out = previous_bar(weekly, ["w_close", "w_high"])
+    return out.withColumns(
+        {"stock_id": entity_key("symbol"), "prev_close": F.col("_prev.w_close"), "prev_high": F.col("_prev.w_high")}
+    ).drop("_prev")
 
 
 def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, until=None) -> DataFrame:
@@ -133,8 +148,8 @@ def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, unt
     back, so they never change earlier returns.  ``since`` keeps bars from
     that date on; their lags still see the true predecessor, because each
     symbol's last bar before ``since`` is added back -- found by a ``max_by``
-    that merges partially on the map side -- so the window sorts only the
-    kept range plus one bar per symbol, never the whole history.  Bars that
+    that merges partially on the map side -- so only the kept range plus one bar
+    per symbol is sorted, a month at a time (:func:`previous_bar`).  Bars that
     :func:`with_previous` has prepared need neither: the date filter is the
     only read.
     """
@@ -159,12 +174,11 @@ def weekly_returns(weekly: DataFrame, *, price: str = "w_close", since=None, unt
             .select("symbol", F.col("_b.date").alias("date"), F.col("_b.price").alias("price"))
         )
         df = recent.unionByName(last_before)
-    prev = F.lag("price").over(Window.partitionBy("symbol").orderBy("date"))
-    out = df.select("symbol", "date", "price", prev.alias("_prev")).select(
+    out = previous_bar(df, ["price"]).select(
         "symbol",
         entity_key("symbol").alias("stock_id"),
         "date",
-        _change(F.col("price"), F.col("_prev")).alias("weekly_ret"),
+        _change(F.col("price"), F.col("_prev.price")).alias("weekly_ret"),
     )
     if since is not None:
         out = out.filter(F.col("date") >= F.lit(since))
