@@ -29,7 +29,8 @@ LABEL = label_case("bin_order")
     with_fixtures() + "\nSELECT strftime(max(date), '%Y-%m-%d') AS latest_date FROM stock_prices",
 )
 def _latest_date(t):
-    return t["stock_prices"].agg(date_text(F.max("date")).alias("latest_date"))
+    days = t["price_days"] if "price_days" in t else t["stock_prices"]
+    return days.agg(date_text(F.max("date")).alias("latest_date"))
 
 
 # -- F1-F5, Q3 ---------------------------------------------------------------

@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from growret.functions.returns import entity_key, with_previous
 from growret.session import ensure_checkpoint_dir
@@ -132,7 +133,8 @@ def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
     cells = timed("cells", line_cells(star["lineitem"], ranks))
     derived = derive_model_tables(cells, star["supplier"], ranks)
     prices = derived.pop("stock_prices")  # as large as lineitem and read for one maximum: a view of the cells
-    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices}, root)
+    days = cells.select(F.col("d").alias("date"))  # a row per entity and day has the same latest date
+    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices, "price_days": days}, root)
     tables.seconds = seconds
     return tables
 
