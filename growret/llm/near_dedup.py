@@ -20,7 +20,8 @@
 
 Defined results: a null or empty text (or one without words) has an empty set
 and is linked with nothing; fewer words than a shingle make one shingle of all
-of them; repeated rows are exact copies; a row without doc_id takes part in
+of them; repeated rows are exact copies; the texts of one doc_id are linked by it,
+whatever they say; a row without doc_id takes part in
 the links but never names a component (``component_id`` is null if no member
 has an id, and the rows of one of its sets are kept); an empty table gives an
 empty result.
@@ -43,7 +44,7 @@ BANDS, ROWS = 24, 4
 BATCH = 32
 MISS = 1e-6
 BLOCK = 512
-#: Classes without any doc_id are numbered from here on.
+#: Sets that no doc_id can name, or one that has several sets, are numbered from here on.
 NO_ID = 1 << 62
 
 _draw = np.random.default_rng(977)
@@ -189,13 +190,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     need = least_matches(percent / 100, MISS)
     rows = stored(scan(docs, width))
+    sets_of = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(
+        F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.min("n_shingles").alias("na"), F.max("n_shingles").alias("nb")
+    )
+    several = sets_of.filter("a < b OR na < nb").select(F.col("doc_id").alias("_several"))  # ids whose texts differ
+    named_by_id = F.col("label").isNotNull() & F.col("_several").isNull()
     classes = stored(
         rows.filter("n_shingles > 0")
         .groupBy("set_id", "n_shingles")
         .agg(F.min("doc_id").alias("label"), F.max("text_id").alias("any_text"), F.first("sig").alias("sig"))
         .withColumn("text_id", F.when(F.col("label").isNull(), F.col("any_text")).otherwise(F.lit(0)))
-        .drop("any_text")
-        .withColumn("v", F.coalesce("label", F.lit(NO_ID) + F.shiftrightunsigned("set_id", 2)))
+        .join(several, F.col("label") == F.col("_several"), "left")
+        .withColumn("v", F.when(named_by_id, F.col("label")).otherwise(F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_id", "n_shingles"), 2)))
+        .drop("any_text", "_several")
     )
 
     def buckets_of(batches):
@@ -223,7 +230,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     likely = compared.select("a", "b", "ga", "gb").mapInArrow(prune, "a long, b long")
     sets = stored(full_sets(docs, classes, members.select("v").distinct(), width))
-    links = stored(exact_links(likely, sets, percent))
+    # such an id is a vertex of its own, linked with each of its sets
+    mine = rows.join(several, F.col("doc_id") == F.col("_several")).join(classes.select("set_id", "n_shingles", "v"), ["set_id", "n_shingles"])
+    own = mine.select(F.col("doc_id").alias("a"), F.col("v").alias("b")).distinct()
+    links = stored(exact_links(likely, sets, percent).union(own))
     comps = components(links)
     more = stored(across(members, sig, sets, comps, need, percent))
     if more.limit(1).count():

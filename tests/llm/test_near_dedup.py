@@ -75,6 +75,13 @@ def test_messy_rows(spark):
     assert by[1] == [(1, True)] and by[2] == [(2, True)] and by[3] == [(3, True)]
 
 
+def test_texts_of_one_id_link_together(spark):
+    a, b = sentence(70, 80, 5000), sentence(71, 80, 5000)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, sentence(72, 80, 5000)), (1, ""), (9, b)]
+    got = sorted((i, c) for i, n, c, _ in run(spark, rows) if n)
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (9, 1)]
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
