@@ -11,12 +11,15 @@ costs at most one stage.  All stages but the last return the input's columns.
 5. packing: sequences of token pieces, mixed by source.
 
 Rows with nulls pass the filters unless a stage's rule names them; a repeated
-row is a copy, and stage 2 leaves one.  Rows without doc_id name no group; of
+row is a copy, and stage 2 leaves one (of rows with equal id and text that
+differ elsewhere, the one whose other columns have the smallest hash).  Further
+columns, whatever their names, pass through the first four stages untouched.  Rows without doc_id name no group; of
 a group that has no other rows the texts of one shingle set stay.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = kept.withColumnsRenamed({"doc_id": "_kept_id", "text_id": "_kept_text"})
     text_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (text_id == F.col("_kept_text"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    left = docs.join(kept, same, "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not others:
+        return left.distinct()
+    one = left.groupBy("doc_id", "text").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row"))
+    return one.select("doc_id", "text", "_row.*").select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +60,26 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
+USED = ("doc_id", "text", "source")
+
+
+def _others_aside(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """``stage`` with all columns that it doesn't use under names that clash with none of its own."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: f"_other_{k}" for k, c in enumerate(docs.columns) if c not in USED}
+        out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxicity_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontaminate", decontaminate_stage),
-    ("secrets", secrets_stage),
+    ("toxicity", _others_aside(toxicity_stage)),
+    ("near_dedup", _others_aside(near_dedup_stage)),
+    ("decontaminate", _others_aside(decontaminate_stage)),
+    ("secrets", _others_aside(secrets_stage)),
     ("packing", packing_stage),
 ]
 
