@@ -60,14 +60,14 @@ def test_messy_and_empty_tables(spark, tmp_path):
 
 def test_every_dealt_query_is_registered():
     runs, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert queries.QUERIES.keys() <= runs.keys() and queries.ORACLES.keys() <= sql.keys() and "pipeline" in runs
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
@@ -90,3 +90,28 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").filter("held_out").join(docs.filter("lang is not null"), "doc_id")
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+CLASHES = ("_t", "findings", "_base", "_clean", "p_toxic", "is_toxic", "matches", "_kept_id", "_row", "component_id", "_other_0")
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_return_the_columns_they_got(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = frame(spark, extra=CLASHES)
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns, name
+    rows = got.collect()
+    assert rows and all(r[c] == "theirs" for r in rows for c in CLASHES)
+    none = stage(spark, docs.limit(0), SF)
+    assert none.columns == docs.columns and none.count() == 0
+    if name != "secrets":
+        assert {r["text"] for r in rows} <= {r["text"] for r in docs.collect()}
+
+
+def test_near_dedup_keeps_the_same_row_whatever_the_order(spark):
+    text = sentence(90, 60)
+    rows = [(1, text, "en", s, n) for s, n in (("a", 1), ("b", 2), ("c", 3), (None, None))]
+    stage = corpus_pipeline.STAGES[1][1]
+    kept = [stage(spark, frame(spark, rows[::o]).repartition(p), SF).collect() for o, p in ((1, 1), (-1, 3))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
