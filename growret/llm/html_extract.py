@@ -2,7 +2,9 @@
 
 A page becomes lines, one per block of text, each with what its markup says:
 left out (scripts, styles, menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, known by element, role, or a word of class or id),
+forms, reader comments, known by element or role, or doubted by a word of class
+or id where the page has a part that fewer such words surround: a wrapper named
+``has-sidebar`` or an article named ``comments-open`` loses nothing),
 kept (a paragraph, heading, list item, quotation or cell of the page's
 article) or undecided (any other block; everything, where a page marks no
 article).  The undecided lines are settled by differencing: the page is paired
@@ -27,7 +29,7 @@ joins the deletions (a short list per page) to the pages and writes the texts.
 
 Defined results: a null or empty page has no text; a null URL, or one without
 a host, makes pages of host ''; a page alone on its host keeps its undecided
-lines; equal rows get the same result; other columns are ignored; an empty
+lines; a tag that no > ends is text, and broken pages take linear time; equal rows get the same result; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -37,6 +39,8 @@ import bisect
 import hashlib
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -70,55 +74,84 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
+_TO_THE_END = re.compile(r"<!--|<!\[CDATA\[")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PART = re.compile(r"[^a-z]+")
 
 
-def left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Does the element's name, role, class or id say that it is not main text?"""
+def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Do the element's name or role say that it is not main text, and does its class or id make one doubt it?"""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
     if _HIDDEN.search(attributes):
-        return True
+        return True, False
+    doubted = False
     for name, *value in _ATTRIBUTE.findall(attributes):
         words = _PART.split("".join(value).lower())
         name = name.lower()
         if name == "role" and not ROLES.isdisjoint(words):
-            return True
+            return True, False
         if name in ("class", "id") and tag not in BODY | {"main"} and not NAMES.isdisjoint(words):
-            return True
-    return False
+            doubted = True
+    return False, doubted
+
+
+class Element(NamedTuple):
+    """An open element: what holds for the text in it."""
+
+    tag: str
+    out: bool
+    article: bool
+    doubts: int  # elements around it, itself included, whose class or id is listed
+    block: str  # the nearest element that isn't inline
+
+
+OUTSIDE = Element("", False, False, 0, "")
+
+
+def _end_open_tags(page: str) -> str:
+    """``page`` with each < behind its last > as text, as no tag can end there; comments and CDATA run to the end."""
+    last = page.rfind(">") + 1
+    m = _TO_THE_END.search(page, last)
+    cut = m.start() if m else len(page)
+    return page[:last] + page[last:cut].replace("<", "&lt;") + page[cut:]
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
     """Lines of a page that are not left out, each kept or undecided."""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, is it left out, is it inside an article
+    lines: list[tuple[str, int, bool, int]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()  # how often each element is on the stack
     pieces: list[str] = []
-    out = article = False
-    marked = False
+    here = OUTSIDE
+    articles: list[int] = []  # their doubts
 
     def flush() -> None:
         text = "".join(pieces)
         pieces.clear()
         if text := " ".join((html.unescape(text) if "&" in text else text).split()):
-            block = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-            lines.append((text, KEPT if article and block in BODY else UNDECIDED, article))
+            lines.append((text, KEPT if here.article and here.block in BODY else UNDECIDED, here.article, here.doubts))
+
+    def close(k: int) -> Element:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+        return stack[-1] if stack else OUTSIDE
 
+    page = _end_open_tags(page)
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
-        if not out:
+        if not here.out:
             pieces.append(page[at : m.start() if m else n])
         if m is None:
             break
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not out:
+            if m[0].startswith("<![CDATA[") and not here.out:
                 pieces.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag, attributes = tag.lower(), m[3] if m[2] else m[6]
@@ -128,13 +161,13 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if tag not in INLINE:
             flush()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    out, article = stack[-1][1:] if stack else (False, False)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end never closes a block
+            if opened[tag] > 0:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag == tag:
+                        here = close(k)
+                        break
+                    if tag in INLINE and stack[k].tag not in INLINE:
+                        break  # an inline end never closes a block
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
@@ -145,19 +178,26 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if tag not in INLINE:  # a new block ends an open paragraph; an item ends the item before it
             closes = ("p", tag) if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else ("p",)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    out, article = stack[-1][1:] if stack else (False, False)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        out = out or left_out(tag, attributes, article)
+            if any(opened[t] > 0 for t in closes):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in closes:
+                        here = close(k)
+                        break
+                    if stack[k].tag not in INLINE:
+                        break
+        left, doubted = left_out(tag, attributes, here.article)
+        out, doubts, article = here.out or left, here.doubts + doubted, here.article
         if tag in ("article", "main") and not out:
-            article = marked = True
-        stack.append((tag, out, article))
+            article = True
+            articles.append(doubts)
+        here = Element(tag, out, article, doubts, here.block if tag in INLINE else tag)
+        stack.append(here)
+        opened[tag] += 1
     flush()
-    return [(text, state) for text, state, inside in lines if inside or not marked]
+    if articles:
+        lines = [x for x in lines if x[2]]
+    least = min(articles or [doubts for *_, doubts in lines], default=0)
+    return [(text, state) for text, state, _, doubts in lines if doubts <= least]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

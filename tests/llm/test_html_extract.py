@@ -109,3 +109,28 @@ def test_alignment_is_a_longest_common_subsequence():
         got = common_lines(a, b)
         it = iter(b)
         assert len(got) == best[-1][-1] and got == sorted(set(got)) and all(a[k] in it for k in got)
+
+
+def test_listed_words_around_or_on_the_only_article_lose_nothing():
+    body = "<p>One.</p><p>Two.</p>"
+    for page in (
+        f'<div class="layout has-sidebar"><article>{body}</article></div>',
+        f'<article class="post comments-open">{body}</article>',
+        f'<div id="page" class="no-sidebar">{body}</div>',
+        f'<article class="post category-related">{body}</article>',
+        f'<div class="no-sidebar"><article>{body}<div class="share">Share</div></article>'
+        '<section class="comments"><article class="comment"><p>Me too!</p></article></section></div>',
+    ):
+        assert [t for t, _ in page_lines(page)] == ["One.", "Two."]
+    assert [t for t, _ in page_lines('<p>Text</p><div class="newsletter"><p>Sign up</p></div>')] == ["Text"]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<a ", "<!", "</", "<a '", "<b>", "<div></x>", "<b><div></div>t"):
+        page = "<p>x</p>" + piece * (1_000_000 // len(piece))
+        began = time.perf_counter()
+        lines = page_lines(page)
+        assert time.perf_counter() - began < 20 and lines[0] == ("x", UNDECIDED)  # a quadratic scan takes many minutes
+    assert page_lines("<p>x</p> 1 <a 2") == [("x", UNDECIDED), ("1 <a 2", UNDECIDED)]
