@@ -19,7 +19,7 @@ with the smallest hash of doc_id.  Scoring covers every whole text.
 Defined results: a null or empty text has no features and gets the base rate;
 rows without doc_id are scored like others but cannot be labelled; labels that
 are null count as unlabelled, repeated labels of a document as one (its
-largest); with no labelled rows, or one class only, the probability is the
+largest), and of rows that share an id one is learned from (the largest text); with no labelled rows, or one class only, the probability is the
 base rate (0 without rows) and nothing is rejected; a column of the input that
 has the name of a result is replaced; an empty table gives an empty result.
 """
@@ -148,7 +148,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     rows = labels.select("doc_id", *[categories[c].cast("int").alias(f"y_{c}") for c in names]).dropna()
     rows = rows.groupBy("doc_id").agg(*[F.max(f"y_{c}").alias(f"y_{c}") for c in names])
     drawn = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most `sample` rows
+    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most `sample` ids
+    picked = picked.groupBy("doc_id", *[f"y_{c}" for c in names]).agg(F.max("text").alias("text"))  # and a row an id
 
     def features(batches):
         for batch in batches:

@@ -70,3 +70,11 @@ def test_cut_has_the_best_f1():
     p, y = np.array([0.9, 0.8, 0.7, 0.3, 0.2]), np.array([1, 1, 0, 1, 0])
     assert 0.2 < best_cut(p, y) <= 0.3
     assert best_cut(p, np.zeros(5)) > 1 and best_cut(np.zeros(0), np.zeros(0)) > 1
+
+
+def test_copies_of_a_labelled_row_are_learned_from_once(spark):
+    rows, labels = corpus(300)
+    table = spark.createDataFrame(labels, LABELS)
+    once = corpus_chain(frame(spark, rows), table)
+    copies = corpus_chain(frame(spark, rows + [rows[6]] * 500 + [(6, None, None, None, None)]), table)
+    assert all(np.array_equal(once[c].weights, copies[c].weights) and once[c].cut == copies[c].cut for c in once)
