@@ -2,12 +2,13 @@
 
 Each language has an interpolated Kneser-Ney model over the characters of its
 words (letters, lower-cased; a word is predicted from its start to its end
-mark, each symbol from the ``ORDER - 1`` before it).  All texts of the training
-rows are counted, in one aggregation over n-gram keys.  The models are stored
-as sorted arrays: per order the n-gram hashes of all languages together, the
-log-probability in every language beside each, and the backing-off weights of
-the contexts likewise; scoring is a binary search.  A word's cross-entropy
-depends on the word alone, so a batch scores its distinct words once.
+mark, each symbol from the ``ORDER - 1`` before it).  A character is its own
+symbol, whatever its code point.  All texts of the training rows are counted in
+one aggregation, and continuation counts, discounts, probabilities and
+backing-off weights are Spark joins and aggregations over n-grams, so the model
+is a stored table that grows with the corpus.  Scoring looks n-grams up in
+sorted hash arrays; a word's cross-entropy depends on the word alone, so a batch
+scores its distinct words once.
 
 A text gets the language of the lowest cross-entropy per symbol.  Rejection is
 calibrated on rows kept out of the counts: the evidence ``s`` is the margin to
@@ -17,10 +18,11 @@ cross-entropy that ``QUANTILE`` of its own rows stay under.  ``accepted`` is
 false where the probability is under ``LEAST`` or the cross-entropy is above
 that, ``lang_pred`` is the best language in any case.
 
-An n-gram key holds ``ORDER`` character classes.  The models go to every
-executor, so their size is bounded: up to ``MODEL_ROWS`` n-grams a character is
-its own class, beyond it characters share ``FOLDED`` classes, of which no more
-than ``FOLDED**ORDER`` n-grams exist.
+A model table of at most ``MODEL_CELLS`` values goes to every executor whole.  A
+larger one stays a table: texts are dealt to chunks of ``CHUNK`` bytes, each
+chunk asks for the n-grams it has by a join, and is scored with the part of the
+model that came back.  Both ways give the same rows (tested).  A language costs
+a column in memory, so ``lang`` is taken to have at most some thousand values.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 rows without doc_id or lang are predicted but not learned from; repeated rows
@@ -30,7 +32,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growret.llm.arrays import U64, mix, slices
+from growret.llm.stored import stored
 
 ORDER = 4
-CLASS_BITS = 12
-START, END = 0, 1  # classes of the marks; characters follow
-MODEL_ROWS = 2_000_000
-FOLDED = 36
+BITS = 21  # of a symbol: any code point after the two marks
+START, END = 0, 1
+CONTEXT = -1  # in the place of a symbol: the row holds its context's backing-off weight
+MODEL_CELLS = 8_000_000
+CHUNK = 8 << 20
+HELD = 2_000_000  # n-grams a task holds before it sends them
 QUANTILE = 0.999
 LEAST = 0.5
 BINS = 96
@@ -69,7 +76,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 class LetterWords:
     """Distinct words of a batch (``symbols`` with marks, ``begin``) and, per occurrence, row and word."""
 
-    def __init__(self, texts: pa.Array, classes: int) -> None:
+    def __init__(self, texts: pa.Array) -> None:
         letter, low = _letters()
         strings = pc.fill_null(texts, "").to_pylist()
         code = np.frombuffer(" ".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -91,56 +98,83 @@ class LetterWords:
         self.begin = np.cumsum(width) - width
         self.symbols = np.full(int(width.sum()), START, np.int64)
         inside = np.repeat(self.begin + ORDER - 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        self.symbols[inside] = 2 + code[at].astype(np.int64) % classes
+        self.symbols[inside] = 2 + code[at].astype(np.int64)
         self.symbols[self.begin + width - 1] = END
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The n-gram key that ends at each predicted symbol, and the word it belongs to."""
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each predicted symbol: the symbols before it (``ORDER - 1``, packed), itself, and its word."""
         word = np.repeat(np.arange(len(self.length)), self.length)
         last = np.arange(self.length.sum()) - np.repeat(np.cumsum(self.length) - self.length, self.length)
         last += np.repeat(self.begin, self.length) + ORDER - 1
-        key = np.zeros(len(last), np.int64)
-        for k in range(ORDER):
-            key = key << CLASS_BITS | self.symbols[last - (ORDER - 1 - k)]
-        return key, word
+        context = np.zeros(len(last), np.int64)
+        for k in range(1, ORDER):
+            context = context << BITS | self.symbols[last - (ORDER - k)]
+        return context, self.symbols[last], word
+
+
+def ending(k: int) -> int:
+    """Mask of the last ``k`` symbols of a packed context."""
+    return (1 << BITS * k) - 1
+
+
+def slot(k: int | np.ndarray, context: np.ndarray, symbol: int | np.ndarray) -> np.ndarray:
+    """64-bit hash of an n-gram of order ``k`` (or, for CONTEXT, of the context of such)."""
+    last = (np.atleast_1d(symbol).astype(np.int64) + 2).astype(U64) * U64(8) + np.asarray(k, np.int64).astype(U64)
+    return mix(mix(context.astype(U64)) + mix(last))
 
 
 @dataclass
 class Models:
-    """Sorted arrays of all languages: per order the n-grams with log-probabilities and the contexts' weights."""
+    """A sorted array of n-gram and context hashes, and each one's value in every language (nan: not seen there)."""
 
     langs: list[str]
-    classes: int
-    grams: list[np.ndarray] = field(default_factory=list)  # of order 1, 2, ...
-    logp: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    weight: list[np.ndarray] = field(default_factory=list)
-    floor: float = 0.0
-    score_of: np.ndarray | None = None
-    limit: np.ndarray | None = None
+    floor: float
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, langs: list[str], floor: float, rows: pa.Table) -> "Models":
+        """From model rows ``k, ctx, sym, lang, value``."""
+        column = {x: k for k, x in enumerate(langs)}
+        lang = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else None
+        k, ctx, sym = (rows[c].to_numpy().astype(np.int64) for c in ("k", "ctx", "sym"))
+        keys, at = np.unique(slot(k, ctx, sym), return_inverse=True)
+        values = np.full((len(keys), len(langs)), np.nan, np.float32)
+        if lang is not None:
+            of_code = np.array([column[x] for x in lang.dictionary.to_pylist()])
+            values[at, of_code[lang.indices.to_numpy()]] = rows["value"].to_numpy()
+        return cls(langs, floor, keys, values)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full((len(keys), len(self.langs)), np.nan, np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.values[at[hit]]
+        return out
 
-    def log_probability(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(key), len(self.langs)), np.float32)
-        left = np.arange(len(key))
-        for k in reversed(range(ORDER)):
-            gram = key[left] & ((1 << CLASS_BITS * (k + 1)) - 1)
-            at = np.minimum(np.searchsorted(self.grams[k], gram), len(self.grams[k]) - 1)
-            hit = self.grams[k][at] == gram
-            out[left[hit]] += self.logp[k][at[hit]]
-            left, context = left[~hit], gram[~hit] >> CLASS_BITS
-            at = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-            known = self.contexts[k][at] == context
-            out[left[known]] += self.weight[k][at[known]]
+    def log_probability(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(context), len(self.langs)), np.float32)
+        left = np.ones(out.shape, bool)
+        for k in range(ORDER, 0, -1):
+            before = context & ending(k - 1)
+            found = self._find(slot(k, before, symbol))
+            hit = left & ~np.isnan(found)
+            out[hit] += found[hit]
+            left &= ~hit
+            if left.any():
+                weight = self._find(slot(k, before, CONTEXT))
+                out += np.where(left & ~np.isnan(weight), weight, 0)
         out[left] += self.floor
         return out
 
     def cross_entropy(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text: cross-entropy per symbol in each language, and symbols."""
-        words = LetterWords(texts, self.classes)
+        words = LetterWords(texts)
         n = np.bincount(words.row, weights=words.length[words.word], minlength=len(texts))
-        key, word = words.keys()
-        distinct, at = np.unique(key, return_inverse=True)
-        logp = self.log_probability(distinct)
+        context, symbol, word = words.grams()
+        _, first, at = np.unique(slot(ORDER, context, symbol), return_index=True, return_inverse=True)
+        logp = self.log_probability(context[first], symbol[first])
         out = np.zeros((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
             of_word = np.bincount(word, weights=logp[at, k], minlength=len(words.length))
@@ -148,43 +182,13 @@ class Models:
         return out, n
 
 
-def kneser_ney(langs: list[str], classes: int, keys: np.ndarray, counts: np.ndarray) -> Models:
-    """Interpolated Kneser-Ney over sorted distinct ``keys``; ``counts`` has a column per language."""
-    by_order = [(keys, counts.astype(float))]
-    for k in range(ORDER - 1, 0, -1):
-        longer, c = by_order[0]
-        shorter, at = np.unique(longer & ((1 << CLASS_BITS * k) - 1), return_inverse=True)
-        cont = np.zeros((len(shorter), len(langs)))
-        # a gram that opens with a start mark has one predecessor only, so its own count is taken
-        opens = (longer >> CLASS_BITS * (k - 1) & ((1 << CLASS_BITS) - 1)) == START
-        np.add.at(cont, at, np.where(opens[:, None], c, c > 0))
-        by_order.insert(0, (shorter, cont))
-    m = Models(langs, classes)
-    seen = (by_order[0][1] > 0).any(axis=1).sum()
-    m.floor = float(-np.log(seen + 1))
-    lower = None
-    for k, (gram, c) in enumerate(by_order):
-        context, at = np.unique(gram >> CLASS_BITS, return_inverse=True)
-        total, kinds = np.zeros((2, len(context), len(langs)))
-        np.add.at(total, at, c)
-        np.add.at(kinds, at, c > 0)
-        ones, twos = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
-        discount = np.where(ones > 0, (ones + 0.5) / (ones + 2 * twos + 1), 0.5)
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        if k == 0:
-            below = np.exp(m.floor)
-        else:
-            below = np.exp(m.logp[k - 1][np.searchsorted(m.grams[k - 1], gram & ((1 << CLASS_BITS * k) - 1))])
-        p = np.maximum(c - discount, 0) / np.maximum(total[at], 1) + weight[at] * below
-        m.grams.append(gram)
-        m.logp.append(np.log(p).astype(np.float32))
-        m.contexts.append(context)
-        m.weight.append(np.log(np.maximum(weight, 1e-12)).astype(np.float32))
-    return m
-
+def count_grams(docs: DataFrame) -> DataFrame:
+    """``lang, ctx, sym, n`` over all ``docs(text, lang)``."""
 
-def count_grams(docs: DataFrame, classes: int) -> DataFrame:
-    """``lang, key, n`` over all ``docs(text, lang)``."""
+    def merge(parts):
+        context, symbol, n = (np.concatenate(x) for x in zip(*parts))
+        _, first, at = np.unique(slot(ORDER, context, symbol), return_index=True, return_inverse=True)
+        return context[first], symbol[first], np.bincount(at, weights=n, minlength=len(first))
 
     def count(batches):
         found: dict[str, list] = {}
@@ -192,47 +196,124 @@ def count_grams(docs: DataFrame, classes: int) -> DataFrame:
             texts, lang = batch.column("text"), np.array(batch.column("lang").to_pylist(), object)
             for lo, hi in slices(texts):
                 for name in set(lang[lo:hi]):
-                    own = texts.slice(lo, hi - lo).filter(pa.array(lang[lo:hi] == name))
-                    words = LetterWords(own, classes)
-                    key, word = words.keys()
+                    words = LetterWords(texts.slice(lo, hi - lo).filter(pa.array(lang[lo:hi] == name)))
+                    context, symbol, word = words.grams()
                     times = np.bincount(words.word, minlength=len(words.length))
-                    distinct, at = np.unique(key, return_inverse=True)
-                    found.setdefault(name, []).append((distinct, np.bincount(at, weights=times[word]).astype(np.int64)))
-                    if len(found[name]) >= 16:
-                        found[name] = [merge(found[name])]
+                    found.setdefault(name, []).append(merge([(context, symbol, times[word])]))
+                if sum(len(p[0]) for parts in found.values() for p in parts) > HELD:
+                    for name, parts in found.items():
+                        yield from batches_of(name, *merge(parts))
+                    found = {}
         for name, parts in found.items():
-            keys, n = merge(parts)
-            for a in range(0, len(keys), 50_000):
-                k = keys[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(k), pa.string()), pa.array(k), pa.array(n[a : a + 50_000])], ["lang", "key", "n"]
-                )
+            yield from batches_of(name, *merge(parts))
 
-    def merge(parts):
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+    def batches_of(name, context, symbol, n):
+        for a in range(0, len(n), 50_000):
+            part = [pa.array(x[a : a + 50_000].astype(np.int64)) for x in (context, symbol, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part[0]), pa.string()), *part], ["lang", "ctx", "sym", "n"])
+
+    rows = docs.select("text", "lang").mapInArrow(count, "lang string, ctx long, sym long, n long")
+    return rows.groupBy("lang", "ctx", "sym").agg(F.sum("n").alias("n"))
 
-    rows = docs.select("text", "lang").mapInArrow(count, "lang string, key long, n long")
-    return rows.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
+def kneser_ney(grams: DataFrame) -> tuple[DataFrame, float]:
+    """Model rows ``k, ctx, sym, lang, value`` of ``grams(lang, ctx, sym, n)``, and the log-probability of an unseen symbol.
 
-def fit(train: DataFrame) -> Models | None:
+    ``value`` is the interpolated log-probability of an n-gram, or the log of
+    its context's backing-off weight in the rows that have CONTEXT as symbol.
+    """
+    counts = {ORDER: grams}
+    for k in range(ORDER - 1, 0, -1):
+        # a gram that opens with a start mark has one predecessor only, so its own count is taken
+        oldest = F.shiftright("ctx", BITS * (k - 2)).bitwiseAND(F.lit(ending(1))) if k > 1 else F.lit(END)
+        kinds = F.when(oldest == START, F.col("n")).otherwise(F.lit(1))
+        shorter = F.col("ctx").bitwiseAND(F.lit(ending(k - 1)))
+        counts[k] = counts[k + 1].select("lang", shorter.alias("ctx"), "sym", kinds.alias("n"))
+        counts[k] = counts[k].groupBy("lang", "ctx", "sym").agg(F.sum("n").alias("n"))
+    counts[1] = stored(counts[1])
+    unseen = 1.0 / (counts[1].select("sym").distinct().count() + 1)
+    rows, lower = [], None
+    for k in range(1, ORDER + 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.when(ones > 0, (ones + 0.5) / (ones + 2 * twos + 1)).otherwise(F.lit(0.5))
+        of_lang = counts[k].groupBy("lang").agg(discount.alias("discount"))
+        of_context = counts[k].groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        of_context = of_context.join(of_lang, "lang").withColumn("weight", F.expr("discount * kinds / total"))
+        grams_k = counts[k].join(of_context, ["lang", "ctx"])
+        if lower is None:
+            grams_k = grams_k.withColumn("below", F.lit(unseen))
+        else:
+            shorter = F.col("ctx").bitwiseAND(F.lit(ending(k - 2)))
+            below = lower.select("lang", F.col("ctx").alias("short"), "sym", F.col("p").alias("below"))
+            grams_k = grams_k.withColumn("short", shorter).join(below, ["lang", "short", "sym"])
+        p = F.expr("greatest(n - discount, 0) / total + weight * below")
+        lower = stored(grams_k.select("lang", "ctx", "sym", p.alias("p"), "weight"))
+        order, value = F.lit(k).alias("k"), F.col("value").cast("float")
+        rows.append(lower.select(order, "ctx", "sym", "lang", F.log("p").alias("value")))
+        weights = lower.groupBy("lang", "ctx").agg(F.log(F.greatest(F.max("weight"), F.lit(1e-12))).alias("value"))
+        rows.append(weights.select(order, "ctx", F.lit(CONTEXT).cast("long").alias("sym"), "lang", "value"))
+    table = functools.reduce(DataFrame.unionByName, rows).withColumn("value", value)
+    return table, float(np.log(unseen))
+
+
+@dataclass
+class Fitted:
+    """The model table of all languages, whole in memory where it is small, and what calibration found."""
+
+    langs: list[str]
+    floor: float
+    table: DataFrame
+    whole: Models | None
+    score_of: np.ndarray | None = None
+    limit: np.ndarray | None = None
+
+
+def fit(train: DataFrame) -> Fitted | None:
     """Models of all languages of ``train(text, lang)``; None without any letters."""
-    classes = (1 << CLASS_BITS) - 2
-    grams = count_grams(train, classes).persist()
-    if grams.select("key").distinct().limit(MODEL_ROWS + 1).count() > MODEL_ROWS:
-        grams.unpersist()
-        classes = FOLDED
-        grams = count_grams(train, classes).persist()
-    got = grams.toArrow()
-    grams.unpersist()
-    if not len(got):
+    grams = stored(count_grams(train))
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    if not langs:
         return None
-    names, lang = np.unique(np.array(got["lang"].to_pylist(), object).astype(str), return_inverse=True)
-    keys, at = np.unique(got["key"].to_numpy(), return_inverse=True)
-    counts = np.zeros((len(keys), len(names)))
-    counts[at, lang] = got["n"].to_numpy()
-    return kneser_ney([str(x) for x in names], classes, keys, counts)
+    table, floor = kneser_ney(grams)
+    small = table.count() * len(langs) <= MODEL_CELLS
+    return Fitted(langs, floor, table, Models.of(langs, floor, table.toArrow()) if small else None)
+
+
+def chunk_grams(chunk: pa.Table) -> pa.Table:
+    """``chunk, k, ctx, sym`` of all n-grams of a chunk's texts, of all orders, and of their contexts."""
+    parts = []
+    texts = chunk["text"].combine_chunks()
+    for lo, hi in slices(texts):
+        context, symbol, _ = LetterWords(texts.slice(lo, hi - lo)).grams()
+        for k in range(1, ORDER + 1):
+            before = context & ending(k - 1)
+            for sym in (symbol, np.full(len(symbol), CONTEXT, np.int64)):
+                _, first = np.unique(slot(k, before, sym), return_index=True)
+                parts.append((np.full(len(first), k), before[first], sym[first]))
+    k, context, symbol = (np.concatenate(x) for x in zip(*parts)) if parts else np.zeros((3, 0), np.int64)
+    _, first = np.unique(slot(k, context, symbol), return_index=True)
+    of_chunk = np.full(len(first), chunk["chunk"][0].as_py() if len(chunk) else 0)
+    columns = [of_chunk, k[first].astype(np.int32), context[first], symbol[first]]
+    return pa.table([pa.array(c) for c in columns], ["chunk", "k", "ctx", "sym"])
+
+
+def scored(rows: DataFrame, fitted: Fitted, work: Callable, schema: str) -> DataFrame:
+    """``work(batches, models)`` over ``rows``, which have a ``text`` and get ``times``, how often a row occurs."""
+    if fitted.whole is not None:
+        models = fitted.whole
+        return rows.withColumn("times", F.lit(1).cast("long")).mapInArrow(lambda batches: work(batches, models), schema)
+    langs, floor = fitted.langs, fitted.floor
+    once = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("times")))
+    size = once.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    once = once.withColumn("chunk", F.pmod(F.xxhash64(*rows.columns), F.lit(size // CHUNK + 1)))
+    wanted = once.groupBy("chunk").applyInArrow(chunk_grams, "chunk long, k int, ctx long, sym long")
+    found = wanted.join(fitted.table, ["k", "ctx", "sym"])
+
+    def work_on_chunk(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        models = Models.of(langs, floor, grams)
+        return pa.Table.from_batches(list(work(texts.combine_chunks().to_batches(), models)))
+
+    return once.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(work_on_chunk, schema)
 
 
 def evidence(ce: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,24 +338,25 @@ def isotonic(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), a / b) for a, b, k in blocks])
 
 
-def calibrate(models: Models, rows: DataFrame) -> None:
+def calibrate(fitted: Fitted, rows: DataFrame) -> None:
     """Sets the score per evidence bin and each language's limit from ``rows(text, lang)`` not counted."""
-    langs = models.langs
+    langs = fitted.langs
 
-    def tally(batches):
+    def tally(batches, models):
         known = {x: k for k, x in enumerate(langs)}
         found = np.zeros((2, BINS), np.int64)
         entropy = np.zeros((len(langs), 2048), np.int64)
         for batch in batches:
-            texts = batch.column("text")
+            texts, times = batch.column("text"), batch.column("times").to_numpy()
             truth = np.array([known.get(x, -1) for x in batch.column("lang").to_pylist()])
             for lo, hi in slices(texts):
                 ce, n = models.cross_entropy(texts.slice(lo, hi - lo))
                 best, s = evidence(ce, n)
-                own, use = truth[lo:hi], n > 0
-                np.add.at(found, ((best == own).astype(int)[use], s[use]), 1)
+                own, use, each = truth[lo:hi], n > 0, times[lo:hi]
+                np.add.at(found, ((best == own).astype(int)[use], s[use]), each[use])
                 good = use & (best == own)
-                np.add.at(entropy, (best[good], np.minimum((ce[good, best[good]] * 100).astype(int), 2047)), 1)
+                at = best[good], np.minimum((ce[good, best[good]] * 100).astype(int), 2047)
+                np.add.at(entropy, at, each[good])
         for kind, table in (("s", found), ("e", entropy)):
             a, b = np.nonzero(table)
             yield pa.RecordBatch.from_arrays(
@@ -282,39 +364,45 @@ def calibrate(models: Models, rows: DataFrame) -> None:
                 ["kind", "a", "b", "n"],
             )
 
-    counted = rows.select("text", "lang").mapInArrow(tally, "kind string, a long, b long, n long")
+    counted = scored(rows.select("text", "lang"), fitted, tally, "kind string, a long, b long, n long")
     found, entropy = np.zeros((2, BINS)), np.zeros((len(langs), 2048))
     # 2 * BINS + 2048 rows for each language at most
     for r in counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
         (found if r["kind"] == "s" else entropy)[r["a"], r["b"]] += r["n"]
-    models.score_of = isotonic(found[1], found[0])
+    fitted.score_of = isotonic(found[1], found[0])
     below = np.cumsum(entropy, axis=1)
     share = below / np.maximum(below[:, -1:], 1)
-    models.limit = np.where(below[:, -1] > 0, (1 + (share >= QUANTILE).argmax(axis=1)) / 100, np.inf)
+    fitted.limit = np.where(below[:, -1] > 0, (1 + (share >= QUANTILE).argmax(axis=1)) / 100, np.inf)
 
 
-def predict(docs: DataFrame, models: Models | None) -> DataFrame:
+def predict(docs: DataFrame, fitted: Fitted | None) -> DataFrame:
     """``doc_id, lang_pred, score, cross_entropy, accepted`` for every whole text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if fitted is None:
+        return rows.selectExpr("doc_id", "'und' lang_pred", "0D score", "0D cross_entropy", "false accepted")
+    langs, score_of, limit = fitted.langs, fitted.score_of, fitted.limit
 
-    def rows(batches):
+    def name(batches, models):
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
+            texts = batch.column("text")
             for lo, hi in slices(texts):
                 size = hi - lo
-                if models is None:
-                    lang, score, best_ce, ok = ["und"] * size, np.zeros(size), np.zeros(size), np.zeros(size, bool)
-                else:
-                    ce, n = models.cross_entropy(texts.slice(lo, size))
-                    best, s = evidence(ce, n)
-                    lang = [models.langs[b] if m else "und" for b, m in zip(best, n)]
-                    score, best_ce = models.score_of[s] * (n > 0), ce[np.arange(size), best]
-                    ok = (n > 0) & (score >= LEAST) & (best_ce <= models.limit[best])
+                ce, n = models.cross_entropy(texts.slice(lo, size))
+                best, s = evidence(ce, n)
+                lang = [langs[b] if m else "und" for b, m in zip(best, n)]
+                score, best_ce = score_of[s] * (n > 0), ce[np.arange(size), best]
+                ok = (n > 0) & (score >= LEAST) & (best_ce <= limit[best])
+                own = [batch.column(c).slice(lo, size) for c in ("doc_id", "times")]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, size), pa.array(lang, pa.string()), pa.array(score), pa.array(best_ce), pa.array(ok)],
-                    ["doc_id", "lang_pred", "score", "cross_entropy", "accepted"],
+                    [own[0], pa.array(lang, pa.string()), pa.array(score), pa.array(best_ce), pa.array(ok), own[1]],
+                    ["doc_id", "lang_pred", "score", "cross_entropy", "accepted", "times"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, PREDICTED)
+    out = scored(rows, fitted, name, PREDICTED + ", times long")
+    if fitted.whole is None:  # a row for each of its copies, by thousands
+        out = out.withColumn("part", F.explode(F.expr("sequence(0, (times - 1) div 4096)")))
+        out = out.withColumn("copy", F.explode(F.expr("sequence(1, least(4096, times - 4096 * part))")))
+    return out.drop("times", "part", "copy")
 
 
 def remainder() -> Column:
@@ -325,10 +413,10 @@ def remainder() -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the rows of ``docs(doc_id, text, lang)`` that are not held out and predicts all of them."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    models = fit(known.filter(remainder() == 0))
-    if models is not None:
-        calibrate(models, known.filter(remainder() == 2))
-    return predict(docs, models)
+    fitted = fit(known.filter(remainder() == 0))
+    if fitted is not None:
+        calibrate(fitted, known.filter(remainder() == 2))
+    return predict(docs, fitted)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from growret.llm import language_id
-from growret.llm.language_id import CLASS_BITS, END, ORDER, START, LetterWords, identify, kneser_ney
+from growret.llm.language_id import BITS, END, ORDER, START, fit, identify
 from tests.llm.cases import collected, frame, messy_docs
 
 SYLLABLES = {"aa": "the th and ing er ou".split(), "bb": "le la eau que ment é".split(), "cc": "der sch ung ä zu keit".split()}
@@ -50,24 +51,65 @@ def test_messy_rows_and_empty_tables(spark):
     assert [(r["lang_pred"], r["score"]) for r in unlabelled] == [("und", 0.0)]
 
 
-def test_folded_classes_still_work(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MODEL_ROWS", 10)
-    rows = corpus()
-    got = {r["doc_id"]: r["lang_pred"] for r in identify(frame(spark, rows)).collect()}
-    assert sum(got[r[0]] == r[2] for r in rows) > 0.9 * len(rows)
-
-
-def test_probabilities_sum_to_one():
-    import pyarrow as pa
-
-    words = LetterWords(pa.array(["abba bab cab", "Ab ba"]), 4094)
-    key, word = words.keys()
-    keys, at = np.unique(key, return_inverse=True)
-    counts = np.bincount(at, weights=np.bincount(words.word)[word])[:, None]
-    m = kneser_ney(["x"], 4094, keys, counts)
-    symbols = sorted(set(words.symbols) - {START}) + [2 + 4000]  # END, the letters, and the one unseen symbol
-    assert END in symbols
-    mask = (1 << CLASS_BITS * (ORDER - 1)) - 1
-    for context in list(np.unique(keys >> CLASS_BITS))[:20] + [12345 & mask]:
-        p = np.exp(m.log_probability(np.array([context << CLASS_BITS | s for s in symbols]))).sum()
-        assert abs(p - 1) < 1e-4
+def test_a_model_too_large_for_memory_gives_the_same_rows(spark, monkeypatch):
+    rows = corpus() + [(700, speech("aa", 7, 40), "aa", "s", None)] * 5 + messy_docs()
+    names = ("doc_id", "lang_pred", "score", "cross_entropy", "accepted")
+    whole = collected(identify(frame(spark, rows)), *names)
+    monkeypatch.setattr(language_id, "MODEL_CELLS", 10)
+    monkeypatch.setattr(language_id, "CHUNK", 300)
+    parts = collected(identify(frame(spark, rows)), *names)
+    assert len(whole) == len(rows) and [r[:2] + r[4:] for r in parts] == [r[:2] + r[4:] for r in whole]
+    assert np.allclose([r[2:4] for r in parts], [r[2:4] for r in whole])
+
+
+@pytest.mark.parametrize("apart", [36, 4094])
+def test_alphabets_apart_by_any_distance_stay_apart(spark, monkeypatch, apart):
+    letters = {"near": range(0x4E00, 0x4E00 + 20), "far": range(0x4E00 + apart, 0x4E00 + apart + 20)}
+    write = lambda name, k: "".join(map(chr, random.Random(k).choices(letters[name], k=30 + k % 20)))
+    rows = [(k, write(("near", "far")[k % 2], k), ("near", "far")[k % 2], "s", None) for k in range(200)]
+    for cells in (language_id.MODEL_CELLS, 10):
+        monkeypatch.setattr(language_id, "MODEL_CELLS", cells)
+        got = {r["doc_id"]: r["lang_pred"] for r in identify(frame(spark, rows)).collect()}
+        assert sum(got[r[0]] == r[2] for r in rows) >= 0.95 * len(rows)
+
+
+def brute_force(grams, symbols):
+    """Interpolated Kneser-Ney of one language by its definition: p(symbol | context) from ``{gram tuple: count}``."""
+    counts = {ORDER: grams}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = {}
+        for g, n in counts[k + 1].items():
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + (n if g[1] == START else 1)
+    cut = {}
+    for k, c in counts.items():
+        ones, twos = list(c.values()).count(1), list(c.values()).count(2)
+        cut[k] = (ones + 0.5) / (ones + 2 * twos + 1) if ones else 0.5
+
+    def p(context, symbol):
+        k = len(context) + 1
+        below = p(context[1:], symbol) if k > 1 else 1 / (symbols + 1)
+        here = [n for g, n in counts[k].items() if g[:-1] == context]
+        if not here:
+            return below
+        return max(counts[k].get((*context, symbol), 0) - cut[k], 0) / sum(here) + cut[k] * len(here) / sum(here) * below
+
+    return p
+
+
+def test_probabilities_equal_the_definition_and_sum_to_one(spark):
+    texts = {"x": ["abba bab cab", "Ab ba"], "y": ["bcd", "dcb 漢字 dcb"]}
+    rows = [(k, t, g, None, None) for k, (g, t) in enumerate((g, t) for g, ts in texts.items() for t in ts)]
+    fitted = fit(frame(spark, rows))
+    symbols = sorted({END} | {2 + ord(c) for ts in texts.values() for t in ts for c in t.lower() if c != " "})
+    assert fitted.langs == ["x", "y"]
+    for lang, name in enumerate(fitted.langs):
+        grams = {}
+        for word in " ".join(texts[name]).lower().split():
+            padded = (START,) * (ORDER - 1) + tuple(2 + ord(c) for c in word) + (END,)
+            for i in range(len(word) + 1):
+                grams[padded[i : i + ORDER]] = grams.get(padded[i : i + ORDER], 0) + 1
+        p = brute_force(grams, len(symbols))
+        for context in sorted({g[:-1] for g in grams})[:20] + [(7, 8, 9)]:
+            packed = np.full(len(symbols) + 1, sum(s << BITS * (ORDER - 2 - i) for i, s in enumerate(context)))
+            got = np.exp(fitted.whole.log_probability(packed, np.array([*symbols, 4000])))[:, lang]
+            assert np.allclose(got, [p(context, s) for s in (*symbols, 4000)], rtol=1e-4) and abs(got.sum() - 1) < 1e-4
