@@ -9,11 +9,18 @@ the lineitem aggregation) and gives one layout to all: annual bars by
 ``year``, monthly rows by ``report_month``, weekly bars clustered by date,
 with the columns that every reader would compute again (entity key, previous
 prices).  Stored tables expire after ``spark.growret.cacheSeconds`` (3600, the
-reference's hour); :func:`refresh` drops them at once.
+reference's hour), and at once when an input file is added, removed or written
+again; :func:`refresh` drops them whatever their age.  Results of a query are
+kept by name and arguments beside the tables they come from.
+
+Folders of replaced tables are removed when no reader can be expected any more,
+``spark.growret.keepSeconds`` (3600) after they were replaced, at the next look
+at the cache; :func:`forget` removes all folders of a session at once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import time
 import uuid
@@ -30,6 +37,11 @@ _LOCK = threading.Lock()
 _CACHE: dict[tuple, "ModelTables"] = {}
 CACHE_SECONDS_CONF = "spark.growret.cacheSeconds"
 CACHE_SECONDS = 3600
+KEEP_SECONDS_CONF = "spark.growret.keepSeconds"
+KEEP_SECONDS = 3600
+INPUTS = ("lineitem", "part", "supplier")
+#: Replaced tables by application: when, and the folder.
+_RETIRED: dict[str, list[tuple[float, str]]] = {}
 
 # Stored layout: folder columns, then the columns rows are range-clustered by.
 # Range partitioning on (folder column, entity) before the write gives each
@@ -52,33 +64,36 @@ _PREPARE: dict[str, Callable[[DataFrame], DataFrame]] = {
 class ModelTables(dict):
     """The model tables by name, plus shared intermediates built from them.
 
-    ``shared(name, build)`` stores ``build(self)`` once, the same way as the
-    tables.
+    ``shared(name, build, **arguments)`` stores ``build(self, **arguments)``
+    once for each name and set of arguments, the same way as the tables.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], root: str):
+    def __init__(self, tables: dict[str, DataFrame], root: str, inputs: str = ""):
         super().__init__(tables)
         self.root = root
+        self.inputs = inputs  # fingerprint of the files the tables come from
         self.stored_at = time.time()
         self.seconds: dict[str, float] = {}
         self._shared: dict[str, DataFrame] = {}
         self._lock = threading.Lock()
 
-    def shared(self, name: str, build: Callable[["ModelTables"], DataFrame]) -> DataFrame:
+    def shared(self, name: str, build: Callable[..., DataFrame], **arguments) -> DataFrame:
+        if arguments:
+            name += "-" + hashlib.sha256(repr(sorted(arguments.items())).encode()).hexdigest()[:32]
         with self._lock:
             if name not in self._shared:
                 began = time.perf_counter()
-                self._shared[name] = _store(build(self), f"{self.root}/shared/{name}")
+                self._shared[name] = _store(build(self, **arguments), f"{self.root}/shared/{name}")
                 self.seconds[f"shared {name}"] = time.perf_counter() - began
             return self._shared[name]
 
 
-def shared(tables: dict[str, DataFrame], name: str, build: Callable[[dict], DataFrame]) -> DataFrame:
-    """``tables.shared(name, build)`` for stored tables; plain dicts
+def shared(tables: dict[str, DataFrame], name: str, build: Callable[..., DataFrame], **arguments) -> DataFrame:
+    """``tables.shared(name, build, **arguments)`` for stored tables; plain dicts
     (tables a caller loaded itself) just build."""
     if isinstance(tables, ModelTables):
-        return tables.shared(name, build)
-    return build(tables)
+        return tables.shared(name, build, **arguments)
+    return build(tables, **arguments)
 
 
 def _store(df: DataFrame, path: str, folders: list[str] = [], cluster: list[str] = []) -> DataFrame:  # noqa: B006
@@ -106,18 +121,57 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Names, lengths and times of the input files, as one hash; a listing, no file is read."""
+    found = []
+    for name in INPUTS:
+        fs, at = _file_system(spark, f"{sf_dir}/{name}.parquet")
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    fs, at = _file_system(spark, root)
+    fs.delete(at, True)
+
+
+def _retire(spark: SparkSession, tables: ModelTables) -> None:
+    _RETIRED.setdefault(spark.sparkContext.applicationId, []).append((time.time(), tables.root))
+
+
+def _remove_retired(spark: SparkSession) -> None:
+    """Remove this application's folders that were replaced long enough ago."""
+    keep = float(spark.conf.get(KEEP_SECONDS_CONF, str(KEEP_SECONDS)))
+    mine = _RETIRED.get(spark.sparkContext.applicationId, [])
+    for entry in [x for x in mine if time.time() - x[0] > keep]:
+        mine.remove(entry)
+        _remove(spark, entry[1])
+
+
 def model_tables(spark: SparkSession, sf_dir: str) -> ModelTables:
-    """Derived model tables for ``sf_dir``, stored once per application until they expire."""
+    """Derived model tables for ``sf_dir``, stored once per application until they expire or their input changes."""
     key = _key(spark, sf_dir)
     age = float(spark.conf.get(CACHE_SECONDS_CONF, str(CACHE_SECONDS)))
     with _LOCK:
-        hit = _CACHE.get(key)
-        if hit is None or time.time() - hit.stored_at > age:
-            hit = _CACHE[key] = _materialize(spark, sf_dir)
+        _remove_retired(spark)
+        hit, inputs = _CACHE.get(key), fingerprint(spark, sf_dir)
+        if hit is None or time.time() - hit.stored_at > age or hit.inputs != inputs:
+            new = _materialize(spark, sf_dir, inputs)
+            if hit is not None:
+                _retire(spark, hit)
+            hit = _CACHE[key] = new
         return hit
 
 
-def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
+def _materialize(spark: SparkSession, sf_dir: str, inputs: str) -> ModelTables:
     # a folder of its own: neither another application nor a reader of expired tables is overwritten
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/growret-model-{uuid.uuid4().hex}"
     seconds: dict[str, float] = {}
@@ -134,7 +188,7 @@ def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
     derived = derive_model_tables(cells, star["supplier"], ranks)
     prices = derived.pop("stock_prices")  # as large as lineitem and read for one maximum: a view of the cells
     days = cells.select(F.col("d").alias("date"))  # a row per entity and day has the same latest date
-    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices, "price_days": days}, root)
+    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices, "price_days": days}, root, inputs)
     tables.seconds = seconds
     return tables
 
@@ -142,13 +196,17 @@ def _materialize(spark: SparkSession, sf_dir: str) -> ModelTables:
 def refresh(spark: SparkSession, sf_dir: str) -> ModelTables:
     """Store the model tables of ``sf_dir`` anew, whatever their age."""
     with _LOCK:
-        _CACHE.pop(_key(spark, sf_dir), None)
+        old = _CACHE.pop(_key(spark, sf_dir), None)
+        if old is not None:
+            _retire(spark, old)
     return model_tables(spark, sf_dir)
 
 
-def forget(spark: SparkSession | None = None) -> None:
-    """Drop remembered tables (all, or those of one session)."""
+def forget(spark: SparkSession) -> None:
+    """Drop the remembered tables of this session's application and remove their folders, replaced ones included."""
+    app = spark.sparkContext.applicationId
     with _LOCK:
-        for k in list(_CACHE):
-            if spark is None or k[0] == spark.sparkContext.applicationId:
-                del _CACHE[k]
+        for k in [k for k in _CACHE if k[0] == app]:
+            _retire(spark, _CACHE.pop(k))
+        for _, root in _RETIRED.pop(app, []):
+            _remove(spark, root)

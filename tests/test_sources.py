@@ -150,3 +150,56 @@ def test_no_scratch_checkpoint_folder_on_a_cluster():
         conf=SimpleNamespace(get=lambda key, default=None: "hdfs:///shared/ckpt" if key == "spark.checkpoint.dir" else default),
     )
     assert ensure_checkpoint_dir(named) == "hdfs:///shared/ckpt"
+
+
+def test_changed_input_is_seen_and_folders_are_removed(spark, tmp_path):
+    import os
+    import shutil
+
+    from growret.session import ensure_checkpoint_dir
+    from growret.sources.store import KEEP_SECONDS_CONF, model_tables
+
+    d = str(tmp_path)
+    for name in ("part", "supplier"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", d)
+    lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    lines.limit(500).write.parquet(f"{d}/lineitem.parquet")
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    folders = lambda: {x for x in os.listdir(base) if x.startswith("growret-model-")}
+    start = folders()
+    old = model_tables(spark, d)
+    rows = old["monthly_revenue"].count()
+    assert model_tables(spark, d) is old and len(folders() - start) == 1
+    lines.limit(3000).write.mode("append").parquet(f"{d}/lineitem.parquet")
+    new = model_tables(spark, d)
+    assert new is not old and new["monthly_revenue"].count() > rows
+    assert old["monthly_revenue"].count() == rows and len(folders() - start) == 2  # readers keep theirs for a while
+    spark.conf.set(KEEP_SECONDS_CONF, "-1")
+    try:
+        assert model_tables(spark, d) is new
+        assert len(folders() - start) == 1 and new["monthly_revenue"].count() > rows
+        (tmp_path / "part.parquet").touch()
+        assert model_tables(spark, d) is not new
+        model_tables(spark, d)  # removes what the look before it replaced
+        assert len(folders() - start) == 1
+    finally:
+        spark.conf.unset(KEEP_SECONDS_CONF)
+
+
+def test_results_are_kept_by_arguments(spark):
+    from growret.operators import heatmap as H
+    from growret.sources.store import model_tables, shared
+
+    t = model_tables(spark, SF_SMALL)
+    calls = []
+
+    def cells(tables, year, stat):
+        calls.append((year, stat))
+        return H.heatmap_cells(tables["stock_annual_k"], tables["monthly_revenue"], year=year, metric="yoy_pct", stat=stat)
+
+    a = shared(t, "cells", cells, year=1998, stat="mean")
+    assert shared(t, "cells", cells, stat="mean", year=1998) is a and calls == [(1998, "mean")]
+    b = shared(t, "cells", cells, year=1997, stat="mean")
+    assert b is not a and _rows(b) == _rows(cells(t, 1997, "mean")) and _rows(a) == _rows(cells(t, 1998, "mean"))
+    plain = dict(t)
+    assert _rows(shared(plain, "cells", cells, year=1998, stat="mean")) == _rows(a)
