@@ -72,6 +72,6 @@ def shared_input(tables: dict[str, DataFrame], name: str) -> DataFrame:
 
 
 def load_all() -> dict[str, Query]:
-    from growret.plans import q_bursts, q_heatmap, q_sql, q_timing  # noqa: F401  (registration side effects)
+    from growret.plans import q_bursts, q_heatmap, q_loads, q_sql, q_timing  # noqa: F401  (registration side effects)
 
     return REGISTRY

@@ -45,8 +45,9 @@ def name_ranks(part: DataFrame) -> DataFrame:
     return part.orderBy("p_name").withColumn("name_rank", F.monotonically_increasing_id())
 
 
-def line_cells(lineitem: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(supplier, day) cells of lineitem x part: the one heavy pass.
+def line_cells(lineitem: DataFrame, ranks: DataFrame, *, ends: bool = False) -> DataFrame:
+    """(supplier, day) cells of lineitem x part: the one heavy pass.  ``ends``
+    adds the places of the first and last line, by which cells can be merged.
 
     A day's lines are ordered by (time, order, line number, price, quantity).
     The five are the digits of one number, whose casts fail loudly if a value
@@ -68,6 +69,7 @@ def line_cells(lineitem: DataFrame, ranks: DataFrame) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         digits.cast("decimal(38,0)").alias("line"),
     )
+    places_of_ends = [F.min("line").alias("line_first"), F.max("line").alias("line_last")] if ends else []
     return rows.groupBy("l_suppkey", "d").agg(
         F.sum("amt").alias("amt"),
         F.count(F.lit(1)).alias("n"),
@@ -75,6 +77,7 @@ def line_cells(lineitem: DataFrame, ranks: DataFrame) -> DataFrame:
         F.min_by("px", "line").alias("px_first"),
         F.max_by("px", "line").alias("px_last"),
         F.max("px").alias("px_high"),
+        *places_of_ends,
     )
 
 

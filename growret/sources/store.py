@@ -68,10 +68,11 @@ class ModelTables(dict):
     once for each name and set of arguments, the same way as the tables.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], root: str, inputs: str = ""):
+    def __init__(self, tables: dict[str, DataFrame], root: str, inputs: str = "", sf_dir: str = ""):
         super().__init__(tables)
         self.root = root
         self.inputs = inputs  # fingerprint of the files the tables come from
+        self.sf_dir = sf_dir
         self.stored_at = time.time()
         self.seconds: dict[str, float] = {}
         self._shared: dict[str, DataFrame] = {}
@@ -188,7 +189,7 @@ def _materialize(spark: SparkSession, sf_dir: str, inputs: str) -> ModelTables:
     derived = derive_model_tables(cells, star["supplier"], ranks)
     prices = derived.pop("stock_prices")  # as large as lineitem and read for one maximum: a view of the cells
     days = cells.select(F.col("d").alias("date"))  # a row per entity and day has the same latest date
-    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices, "price_days": days}, root, inputs)
+    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices, "price_days": days}, root, inputs, sf_dir)
     tables.seconds = seconds
     return tables
 
