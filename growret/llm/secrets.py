@@ -61,21 +61,55 @@ SIGNS = ("[+/]", "[_-]")
 PARTS = "array<struct<start:int,token:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks_of(items: Column) -> Column:
+    """An array cut into about sqrt(n) arrays of as many items, so that what is appended to item by item stays short."""
+
+    def cut(a: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))), F.lit(1)).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / n).cast("int"))
+        return F.when(F.size(a) > 0, F.transform(numbers, lambda b: F.slice(a, b * n + 1, n))).otherwise(F.slice(F.array(a), 1, 0))
+
+    return let(items, cut)
+
+
+def before(values: Column, op) -> Column:
+    """For each whole number of an array, the numbers before it put together by ``op`` (associative, 0 changes nothing)."""
+    none = F.array().cast("array<int>")
+
+    def walk(a: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), none.alias("out"))
+        step = lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(a, begin, step, lambda s: s["out"])
+
+    def per_block(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda a: F.aggregate(a, F.lit(0), op))
+        both = F.arrays_zip(blocks.alias("a"), walk(whole, F.lit(0)).alias("first"))
+        return F.flatten(F.transform(both, lambda z: walk(z["a"], z["first"])))
+
+    return let(blocks_of(values), per_block)
+
+
+def later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def spans_of(text: Column, pattern: str, kind: int, found: Column, good: Column) -> Column:
     """Spans of the matches ``found`` (all of them, in order) for which ``good``, an array beside it, is true."""
     pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    sizes = F.transform(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: F.struct(F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(
-            end.alias("at"), F.when(x["g"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")
-        )
+    def placed(n: Column) -> Column:
+        at = before(F.transform(n, lambda x: x["p"] + x["m"]), lambda s, x: s + x)
+        kept = F.filter(F.arrays_zip(at.alias("at"), n.alias("n"), good.alias("g")), lambda x: x["g"])
+        start = lambda x: x["at"] + x["n"]["p"]
+        return F.transform(kept, lambda x: F.struct(start(x).alias("start"), F.lit(kind).alias("kind"), (start(x) + x["n"]["m"]).alias("end")))
 
-    both = F.arrays_zip(pieces.alias("p"), found.alias("m"), good.alias("g"))
-    return F.when(F.size(found) > 0, F.aggregate(both, begin, step, lambda s: s["out"])).otherwise(F.array().cast(SPANS))
+    return F.when(F.size(found) > 0, let(sizes, placed)).otherwise(F.array().cast(SPANS))
 
 
 def upper_tail(z: Column) -> Column:
@@ -214,9 +248,14 @@ def scan(docs: DataFrame, cut: dict[int, int] | None = None) -> DataFrame:
     both = F.arrays_zip(runs.alias("r"), F.col("_noise").alias("n"))
     spans = F.flatten(F.transform(both, lambda x: F.transform(x["n"], lambda s: span_in(x["r"], s))))
     d = d.withColumn("_base", base).withColumn("_more", spans)
-    inside = lambda x: F.exists("_base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    added = F.filter("_more", lambda x: ~inside(x))
-    return d.select(*kept, F.array_sort(F.concat("_base", added)).alias("findings"))
+    return d.select(*kept, let(F.array_sort(F.concat("_base", "_more")), without_covered).alias("findings"))
+
+
+def without_covered(spans: Column) -> Column:
+    """Sorted spans without the random ones that lie within a base span."""
+    reach = before(F.transform(spans, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), later)
+    both = F.arrays_zip(spans.alias("s"), reach.alias("r"))
+    return F.transform(F.filter(both, lambda x: (x["s"]["kind"] < 3) | (x["s"]["end"] > x["r"])), lambda x: x["s"])
 
 
 def joined(found: Column) -> Column:
@@ -247,17 +286,22 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every finding replaced by ``mark`` and ``n_chars`` counted anew."""
     text = F.coalesce("text", F.lit(""))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        new = F.concat(state["out"], F.array(F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(mark)))
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= state["at"], new).otherwise(state["out"]).alias("out"),
-        )
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    clean = F.when(F.size("findings") > 0, F.aggregate("findings", begin, step, rest)).otherwise(F.col("text"))
+    def cut(findings: Column) -> Column:
+        """Stretches of kept text, from the end of all findings before to a finding that starts there or later."""
+        both = F.arrays_zip(before(F.transform(findings, lambda x: x["end"]), later).alias("a"), findings.alias("f"))
+        stretches = F.transform(both, lambda x: F.struct(x["a"].alias("a"), x["f"]["start"].alias("e")))
+        return F.filter(stretches, lambda x: x["a"] <= x["e"])
+
+    def written(block: Column) -> Column:
+        first = F.element_at(block, 1)["a"]
+        part = F.substring(text, first + 1, F.element_at(block, -1)["e"] - first)
+        piece = lambda p: F.transform(block, lambda x: F.concat(F.substring(p, x["a"] - first + 1, x["e"] - x["a"]), F.lit(mark)))
+        return let(part, lambda p: F.array_join(piece(p), ""))
+
+    last = F.array_max(F.transform("findings", lambda x: x["end"]))
+    kept = F.array_join(F.transform(blocks_of(let(F.col("findings"), cut)), written), "")
+    clean = F.when(F.size("findings") > 0, F.concat(kept, F.substring(text, last + 1, F.length(text)))).otherwise(F.col("text"))
     found = scan(docs)
     out = found.withColumn("_clean", clean)
     columns = {"text": F.col("_clean")}
