@@ -124,3 +124,49 @@ def test_query_shape_messy_rows_and_empty_table(spark, tmp_path):
 def test_no_python_in_the_plan(spark):
     plan = secrets.scan(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+WORDS = (
+    "get element by class name async internal server error handler user session request buffer stream reader writer index "
+    "table column value string number array object factory builder service client config default update delete create"
+).split()
+
+
+def test_keys_are_found_among_names(spark):
+    """At least 90 of 100 keys are reported, and at most 5 of 100 reports are names."""
+    r = random.Random(21)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for sign in ("", "_"):
+        for _ in range(400):
+            words = [r.choice(WORDS) for _ in range(r.randint(5, 7))]
+            words.insert(r.randrange(1, len(words)), str(r.randint(1, 99)))
+            texts.append(sign.join(w if sign else w.capitalize() for w in words))
+    names = len(texts)
+    texts += [noise(r, b62, r.choice((24, 32, 40))) for _ in range(200)]
+    found = secrets.scan(frame(spark, [(k, f"see {t} here", None, None, None) for k, t in enumerate(texts)]))
+    hit = {x["doc_id"] for x in found.collect() if any(s["kind"] == 3 for s in x["findings"])}
+    right = sum(k >= names for k in hit)
+    assert right >= 0.9 * 200 and len(hit) - right <= 0.05 * len(hit), (right, len(hit))
+
+
+def test_a_long_text_of_many_matches(spark):
+    r = random.Random(8)
+    text = "é " + " ".join(noise(r, "0123456789abcdef", r.choice((16, 17, 19))) + r.choice(("", "G", " word", f" token={noise(r, 'ghijkl', 13)}")) for _ in range(6000))
+    df = frame(spark, [(1, text, None, None, None)])
+    got = [tuple(s) for s in secrets.scan(df, {}).collect()[0]["findings"]]
+    assert got == base(text)
+    out, at = "", 0
+    for start, _, end in got:
+        if start >= at:
+            out += text[at:start] + "[secret]"
+        at = max(at, end)
+    assert secrets.redact(df).collect()[0]["text"] == out + text[at:]
+
+
+def test_places_by_blocks(spark):
+    rows = [([],), ([5],), ([3, 0, 7, 1],), (list(range(50)),)]
+    d = spark.createDataFrame(rows, "v array<int>").select("v", secrets.before(F.col("v"), lambda a, b: a + b).alias("s"), secrets.before(F.col("v"), secrets.later).alias("m"))
+    for v, s, m in d.collect():
+        assert s == [sum(v[:k]) for k in range(len(v))]
+        assert m == [max([0, *v[:k]]) for k in range(len(v))]
