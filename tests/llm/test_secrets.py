@@ -154,8 +154,8 @@ def test_a_long_text_of_many_matches(spark):
     r = random.Random(8)
     text = "é " + " ".join(noise(r, "0123456789abcdef", r.choice((16, 17, 19))) + r.choice(("", "G", " word", f" token={noise(r, 'ghijkl', 13)}")) for _ in range(6000))
     df = frame(spark, [(1, text, None, None, None)])
-    got = [tuple(s) for s in secrets.scan(df, {}).collect()[0]["findings"]]
-    assert got == base(text)
+    got = [tuple(s) for s in secrets.scan(df).collect()[0]["findings"]]
+    assert [s for s in got if s[1] < 3] == base(text)
     out, at = "", 0
     for start, _, end in got:
         if start >= at:
