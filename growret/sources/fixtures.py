@@ -9,9 +9,14 @@ aggregation reduces it to (supplier, day) cells.  The model tables are
 roll-ups of that cell table, so the large shuffle happens once.  Every buffer
 of the aggregation has a fixed width -- sums, counts, a price by the smallest
 or largest line number, and for the largest part name its rank in the order
-of all names -- so Spark combines in hash maps on both sides of the shuffle
-and never sorts the lines.  A supplier holding a third of all lines costs no
-more than any other.
+of all names -- so Spark combines in hash maps and never sorts the lines.
+
+Most days of a supplier have one line, so combining before the shuffle would
+save nothing and only fill memory: the lines are dealt out first, by supplier
+and month, to tasks of about ``LINES`` lines, whatever the input's size.  The
+months of a supplier then lie in one file each, which the roll-ups combine
+before their own shuffles.  A supplier holding a third of all lines is spread
+over its months.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ ID_WIDTH = 6
 EVEN_SUFFIX = ".TW"
 ODD_SUFFIX = ".TWO"
 MINGUO_OFFSET = 1911
+#: Lines that one task aggregates, about.
+LINES = 400_000
 
 
 def read_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -45,14 +52,12 @@ def name_ranks(part: DataFrame) -> DataFrame:
     return part.orderBy("p_name").withColumn("name_rank", F.monotonically_increasing_id())
 
 
-def line_cells(lineitem: DataFrame, ranks: DataFrame, *, ends: bool = False) -> DataFrame:
-    """(supplier, day) cells of lineitem x part: the one heavy pass.  ``ends``
-    adds the places of the first and last line, by which cells can be merged.
+def line_values(lineitem: DataFrame, part: DataFrame, name: str) -> DataFrame:
+    """Lines with a known part: supplier, day ``d``, column ``name`` of the part, ``amt``, ``px`` and their place ``line``.
 
     A day's lines are ordered by (time, order, line number, price, quantity).
     The five are the digits of one number, whose casts fail loudly if a value
     has more digits than its place."""
-    rank = ranks.select("p_partkey", "name_rank")
     places = [
         (F.hour("l_shipdate") * 3600 + F.minute("l_shipdate") * 60 + F.second("l_shipdate"), 5),
         (F.col("l_orderkey"), 16),
@@ -61,24 +66,29 @@ def line_cells(lineitem: DataFrame, ranks: DataFrame, *, ends: bool = False) ->
         (F.round(F.col("l_quantity")), 3),
     ]
     digits = F.concat(*[F.lpad(c.cast(f"decimal({n},0)").cast("string"), n, "0") for c, n in places])
-    rows = lineitem.join(rank, F.col("l_partkey") == F.col("p_partkey"), "inner").select(
+    return lineitem.join(part.select("p_partkey", name), F.col("l_partkey") == F.col("p_partkey"), "inner").select(
         "l_suppkey",
         F.to_date("l_shipdate").alias("d"),
-        "name_rank",
+        name,
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("amt"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         digits.cast("decimal(38,0)").alias("line"),
     )
-    places_of_ends = [F.min("line").alias("line_first"), F.max("line").alias("line_last")] if ends else []
-    return rows.groupBy("l_suppkey", "d").agg(
+
+
+def line_cells(lineitem: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(supplier, day) cells of lineitem x part: the one heavy pass."""
+    month = F.year("d") * 12 + F.month("d")
+    rows = line_values(lineitem, ranks, "name_rank").withColumn("_month", month)
+    rows = rows.repartition(1 + lineitem.count() // LINES, "l_suppkey", "_month")
+    return rows.groupBy("l_suppkey", "_month", "d").agg(
         F.sum("amt").alias("amt"),
         F.count(F.lit(1)).alias("n"),
         F.max("name_rank").alias("name_rank"),
         F.min_by("px", "line").alias("px_first"),
         F.max_by("px", "line").alias("px_last"),
         F.max("px").alias("px_high"),
-        *places_of_ends,
-    )
+    ).drop("_month")
 
 
 def _stock_id(suppkey: Column) -> Column:

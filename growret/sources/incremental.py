@@ -6,9 +6,11 @@ month, ``stock_annual_k`` by year, ``stock_weekly_k`` by the month its week
 starts in.  A load reads its own lines and the folders they touch, never the
 lines of earlier loads:
 
-1. the new lines become cells, which are joined to the stored cells of their
-   months (late lines of old months too) and written to ``staged/{load}``;
-2. the months' folders are replaced from there by dynamic partition overwrite;
+1. the new lines, each as a cell of its own, are dealt out by month and supplier
+   together with the stored cells of their months (late lines of old months too);
+   one aggregation, after one shuffle, writes the cells to ``staged/{load}`` by month;
+2. the months' folders are replaced from there by dynamic partition overwrite,
+   file by file, without a shuffle;
 3. the folders of the model tables that depend on them are derived again: the
    months themselves, the next ones (growth to the month before) and those a
    year later (growth to the year before), the years, and the weeks.
@@ -17,7 +19,7 @@ Steps 2 and 3 depend on the staged cells alone, so a load that was interrupted
 is finished by running it again, or by the next load, and adds nothing twice.  A
 load's name is remembered: loading it again does nothing.  One writer at a time.
 
-What reaches the driver is the list of touched months.  Defined results: lines
+What reaches the driver is the list of touched months, and how many lines and cells each has.  Defined results: lines
 without a supplier, a ship date or a known part are in no model table, as these
 declare their keys not null; the name of a line's part is the one it had when
 the line was loaded; an empty load leaves all folders alone.
@@ -35,13 +37,15 @@ from growret.functions.returns import entity_key
 from growret.sources import fixtures
 from growret.sources.model import MODEL_SCHEMAS
 
-#: Folder column of each stored table, and the columns its rows are clustered by.
+#: Folder column of each stored table, and the columns its rows are clustered by (staged cells lie in their folders).
 FOLDERS = {
-    "cells": ("month", ["l_suppkey"]),
+    "cells": ("month", []),
     "monthly_revenue": ("report_month", ["stock_id"]),
     "stock_annual_k": ("year", ["symbol"]),
     "stock_weekly_k": ("bar_month", ["date", "symbol"]),
 }
+#: Rows of a month that one task merges, about.
+SHARE = 250_000
 _CELLS = (
     "l_suppkey bigint, d date, amt decimal(28,4), n bigint, top_name string, px_first double, line_first decimal(38,0), "
     "px_last double, line_last decimal(38,0), px_high double, month string"
@@ -72,7 +76,8 @@ def month_after(month: str, by: int) -> str:
 def _overwrite(df: DataFrame, root: str, table: str) -> None:
     """Replace the folders of ``table`` that ``df`` has rows of."""
     folder, cluster = FOLDERS[table]
-    w = df.repartitionByRange(folder, *cluster).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    df = df.repartitionByRange(folder, *cluster) if cluster else df
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     w.partitionBy(folder).parquet(f"{root}/{table}")
 
 
@@ -82,12 +87,21 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_CELLS).parquet(path)
 
 
-def new_cells(lines: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Cells of ``lines`` as they are stored: with the ends' places, so that cells can be merged later."""
-    known = lines.filter(F.col("l_suppkey").isNotNull() & F.col("l_shipdate").isNotNull())
-    names = ranks.select("name_rank", F.col("p_name").alias("top_name"))
-    cells = fixtures.line_cells(known, ranks, ends=True).join(names, "name_rank", "left")
-    return _as_stored(cells.withColumn("month", F.date_format("d", "yyyy-MM")))
+def lines_as_cells(lines: DataFrame, part: DataFrame) -> DataFrame:
+    """Each line with a known part as a cell, as cells are stored: with the ends' places, so that cells can be merged later."""
+    rows = fixtures.line_values(_known(lines), part, "p_name")
+    return _as_stored(
+        rows.select(
+            "l_suppkey", "d", "amt", F.lit(1).alias("n"), F.col("p_name").alias("top_name"),
+            F.when(F.col("line").isNotNull(), F.col("px")).alias("px_first"), F.col("line").alias("line_first"),
+            F.when(F.col("line").isNotNull(), F.col("px")).alias("px_last"), F.col("line").alias("line_last"),
+            F.col("px").alias("px_high"), F.date_format("d", "yyyy-MM").alias("month"),
+        )
+    )
+
+
+def _known(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.col("l_suppkey").isNotNull() & F.col("l_shipdate").isNotNull())
 
 
 def _as_stored(cells: DataFrame) -> DataFrame:
@@ -95,30 +109,27 @@ def _as_stored(cells: DataFrame) -> DataFrame:
     return cells.select(*[F.col(c).cast(t).alias(c) for c, t in fields])
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Cells of both; a day in both is one cell again.  Each side has a row per supplier and day."""
-    keys = ["l_suppkey", "d", "month"]
-    both = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("o")).join(
-        new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("n")), keys, "full_outer"
-    )
-    o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
+def merged(cells: DataFrame, rows: dict[str, int]) -> DataFrame:
+    """One cell for each supplier and day of ``cells``, which has about so many ``rows`` of each month.
 
-    def end(name: str, old_wins: Column) -> list[Column]:
-        kept = n(f"line_{name}").isNull() | F.coalesce(old_wins, F.lit(False))
-        return [F.when(kept, o(f"{c}_{name}")).otherwise(n(f"{c}_{name}")).alias(f"{c}_{name}") for c in ("px", "line")]
+    They are dealt out by month and a share of the suppliers, at most so many
+    that a share has ``SHARE`` rows; a task writes few folders then, and the
+    largest month is no larger a task than others.
+    """
+    shares = 1 + max(rows.values(), default=0) // SHARE
+    tasks = 1 + sum(rows.values()) // SHARE
+    by = ["month", "share", "l_suppkey", "d"]
+    dealt = cells.withColumn("share", F.pmod(F.xxhash64("l_suppkey"), F.lit(shares))).repartition(tasks, "month", "share")
+    ends = [
+        e for name, pick, edge in (("first", F.min_by, F.min), ("last", F.max_by, F.max))
+        for e in (pick(f"px_{name}", f"line_{name}").alias(f"px_{name}"), edge(f"line_{name}").alias(f"line_{name}"))
+    ]
+    sums = [F.sum("amt").alias("amt"), F.sum("n").alias("n")]
+    return _as_stored(dealt.groupBy(*by).agg(*sums, F.max("top_name").alias("top_name"), *ends, F.max("px_high").alias("px_high")))
 
-    zero = F.lit(0)
-    return _as_stored(
-        both.select(
-            *keys,
-            (F.coalesce(o("amt"), n("amt")) + F.when(o("amt").isNull(), zero).otherwise(F.coalesce(n("amt"), zero))).alias("amt"),
-            (F.coalesce(o("n"), zero) + F.coalesce(n("n"), zero)).alias("n"),
-            F.greatest(o("top_name"), n("top_name")).alias("top_name"),
-            *end("first", o("line_first") <= n("line_first")),
-            *end("last", o("line_last") >= n("line_last")),
-            F.greatest(o("px_high"), n("px_high")).alias("px_high"),
-        )
-    )
+
+def _rows_by_month(cells: DataFrame) -> dict[str, int]:
+    return {r["month"]: r["count"] for r in cells.groupBy("month").count().collect()}
 
 
 def load_lines(spark: SparkSession, root: str, load: str, lines: DataFrame, part: DataFrame, supplier: DataFrame) -> bool:
@@ -133,14 +144,13 @@ def load_lines(spark: SparkSession, root: str, load: str, lines: DataFrame, part
             _finish(spark, root, name, supplier)
     if _exists(spark, f"{root}/loads/{load}"):
         return False
-    staged = f"{root}/staged/{load}"
-    fixtures.name_ranks(part).write.mode("overwrite").parquet(f"{staged}/ranks")
-    new = new_cells(lines, spark.read.parquet(f"{staged}/ranks"))
-    new.write.mode("overwrite").parquet(f"{staged}/new")
-    new = spark.read.schema(_CELLS).parquet(f"{staged}/new")
-    months = [r.month for r in new.select("month").distinct().collect()]
-    old = read_cells(spark, f"{root}/cells").filter(F.col("month").isin(months))
-    merged(old, new).write.mode("overwrite").parquet(f"{staged}/cells")
+    new = lines_as_cells(lines, part)
+    rows = _rows_by_month(_known(lines).select(F.date_format("l_shipdate", "yyyy-MM").alias("month")))
+    old = read_cells(spark, f"{root}/cells").filter(F.col("month").isin(list(rows)))
+    for month, n in _rows_by_month(old).items():
+        rows[month] += n
+    cells = merged(old.unionByName(new), rows)
+    cells.write.mode("overwrite").partitionBy("month").parquet(f"{root}/staged/{load}/cells")
     _finish(spark, root, load, supplier)
     return True
 
