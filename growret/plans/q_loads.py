@@ -25,7 +25,7 @@ PIECES = {"early": EARLY, "late": f"NOT {EARLY}"}
 
 
 def _loaded(t) -> dict[str, DataFrame]:
-    spark = t["monthly_revenue"].sparkSession
+    spark = t.spark
     root = f"{t.root}/loaded"
     star = read_star(spark, t.sf_dir)
     for name, piece in PIECES.items():

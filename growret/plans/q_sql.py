@@ -12,7 +12,7 @@ from growret.sources.sinks import register_views
 
 def _sql(t, text: str, **args):
     spark = t["monthly_revenue"].sparkSession
-    register_views(spark, t)
+    register_views(spark, {name: t[name] for name in t if name in text})
     register_sql_functions(spark)
     return spark.sql(text, args=args)
 

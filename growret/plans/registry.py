@@ -21,7 +21,7 @@ class Query:
     order: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = finalize(self.build(model_tables(spark, sf_dir)))
+        out = finalize(self.build(model_tables(spark, sf_dir, now=())))
         if self.order is None:
             return out
         # the place of each row in the result as returned; these results are

@@ -4,7 +4,8 @@ The reference caches each query result for an hour.  Here the shared inputs
 -- the model tables, and intermediate results several queries start from,
 such as the event study the stage statistics read -- are written once as
 parquet to the session's shared checkpoint folder, and every query reads
-them.  That cuts lineage (a lost executor re-reads files instead of redoing
+them.  A registered query stores the tables that it reads, and the cells of all
+lines when it reads any: loads, which have cells of their own, store none.  That cuts lineage (a lost executor re-reads files instead of redoing
 the lineitem aggregation) and gives one layout to all: annual bars by
 ``year``, monthly rows by ``report_month``, weekly bars clustered by date,
 with the columns that every reader would compute again (entity key, previous
@@ -24,7 +25,7 @@ import hashlib
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ _LAYOUT = {
     "monthly_revenue": (["report_month"], ["stock_id"]),
     "stock_weekly_k": ([], ["date", "symbol"]),
 }
+#: The tables by name, with those that are views of the cells.
+NAMES = (*_LAYOUT, "stock_prices", "price_days")
 #: Columns stored beside the declared ones, computed once instead of at each read.
 _PREPARE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "stock_annual_k": lambda df: df.withColumn("stock_id", entity_key("symbol")),
@@ -61,15 +64,20 @@ _PREPARE: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-class ModelTables(dict):
+class ModelTables(Mapping):
     """The model tables by name, plus shared intermediates built from them.
 
+    ``derive()`` gives the tables to store and the views.  It is called, and a
+    table stored, when the first one or that table is first asked for.
     ``shared(name, build, **arguments)`` stores ``build(self, **arguments)``
     once for each name and set of arguments, the same way as the tables.
     """
 
-    def __init__(self, tables: dict[str, DataFrame], root: str, inputs: str = "", sf_dir: str = ""):
-        super().__init__(tables)
+    def __init__(self, spark: SparkSession, derive: Callable[[], dict[str, DataFrame]], root: str, inputs: str = "", sf_dir: str = ""):
+        self.spark = spark
+        self._derive, self._derived = derive, None
+        self._tables: dict[str, DataFrame] = {}
+        self._storing = threading.Lock()
         self.root = root
         self.inputs = inputs  # fingerprint of the files the tables come from
         self.sf_dir = sf_dir
@@ -78,6 +86,23 @@ class ModelTables(dict):
         self._shared: dict[str, DataFrame] = {}
         self._lock = threading.Lock()
 
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in NAMES:
+            raise KeyError(name)
+        with self._storing:
+            if self._derived is None:
+                self._derived = self._derive()
+            if name not in self._tables:
+                df = self._derived[name]
+                self._tables[name] = store_model_tables({name: df}, self.root, self.seconds)[name] if name in _LAYOUT else df
+            return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(NAMES)
+
+    def __len__(self) -> int:
+        return len(NAMES)
+
     def shared(self, name: str, build: Callable[..., DataFrame], **arguments) -> DataFrame:
         if arguments:
             name += "-" + hashlib.sha256(repr(sorted(arguments.items())).encode()).hexdigest()[:32]
@@ -89,7 +114,7 @@ class ModelTables(dict):
             return self._shared[name]
 
 
-def shared(tables: dict[str, DataFrame], name: str, build: Callable[..., DataFrame], **arguments) -> DataFrame:
+def shared(tables: Mapping[str, DataFrame], name: str, build: Callable[..., DataFrame], **arguments) -> DataFrame:
     """``tables.shared(name, build, **arguments)`` for stored tables; plain dicts
     (tables a caller loaded itself) just build."""
     if isinstance(tables, ModelTables):
@@ -157,40 +182,45 @@ def _remove_retired(spark: SparkSession) -> None:
         _remove(spark, entry[1])
 
 
-def model_tables(spark: SparkSession, sf_dir: str) -> ModelTables:
-    """Derived model tables for ``sf_dir``, stored once per application until they expire or their input changes."""
+def model_tables(spark: SparkSession, sf_dir: str, now: tuple[str, ...] = ("stock_annual_k", "monthly_revenue")) -> ModelTables:
+    """Derived model tables for ``sf_dir``, stored once per application until they expire or their input changes.
+
+    Those of ``now`` are stored at once, others when they are first asked for."""
     key = _key(spark, sf_dir)
     age = float(spark.conf.get(CACHE_SECONDS_CONF, str(CACHE_SECONDS)))
     with _LOCK:
         _remove_retired(spark)
         hit, inputs = _CACHE.get(key), fingerprint(spark, sf_dir)
         if hit is None or time.time() - hit.stored_at > age or hit.inputs != inputs:
-            new = _materialize(spark, sf_dir, inputs)
+            new = _new_tables(spark, sf_dir, inputs)
             if hit is not None:
                 _retire(spark, hit)
             hit = _CACHE[key] = new
+        for name in now:
+            hit[name]
         return hit
 
 
-def _materialize(spark: SparkSession, sf_dir: str, inputs: str) -> ModelTables:
+def _new_tables(spark: SparkSession, sf_dir: str, inputs: str) -> ModelTables:
     # a folder of its own: neither another application nor a reader of expired tables is overwritten
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/growret-model-{uuid.uuid4().hex}"
-    seconds: dict[str, float] = {}
-
-    def timed(name: str, df: DataFrame) -> DataFrame:
-        began = time.perf_counter()
-        out = _store(df, f"{root}/{name}")
-        seconds[name] = time.perf_counter() - began
-        return out
-
     star = read_star(spark, sf_dir)
-    ranks = timed("name_ranks", name_ranks(star["part"]))
-    cells = timed("cells", line_cells(star["lineitem"], ranks))
-    derived = derive_model_tables(cells, star["supplier"], ranks)
-    prices = derived.pop("stock_prices")  # as large as lineitem and read for one maximum: a view of the cells
-    days = cells.select(F.col("d").alias("date"))  # a row per entity and day has the same latest date
-    tables = ModelTables(store_model_tables(derived, root, seconds) | {"stock_prices": prices, "price_days": days}, root, inputs, sf_dir)
-    tables.seconds = seconds
+
+    def derive() -> dict[str, DataFrame]:
+        def timed(name: str, df: DataFrame) -> DataFrame:
+            began = time.perf_counter()
+            out = _store(df, f"{root}/{name}")
+            tables.seconds[name] = time.perf_counter() - began
+            return out
+
+        ranks = timed("name_ranks", name_ranks(star["part"]))
+        cells = timed("cells", line_cells(star["lineitem"], ranks))
+        supplier = timed("supplier", star["supplier"])  # from here on no input file is read: all tables are of one state
+        # stock_prices is as large as lineitem and read for one maximum: a view of the
+        # cells, whose row per entity and day has the same latest date
+        return derive_model_tables(cells, supplier, ranks) | {"price_days": cells.select(F.col("d").alias("date"))}
+
+    tables = ModelTables(spark, derive, root, inputs, sf_dir)
     return tables
 
 
