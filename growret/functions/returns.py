@@ -115,18 +115,17 @@ def previous_bar(bars: DataFrame, values: list[str]) -> DataFrame:
     """``bars`` with ``_prev``, a struct of ``values`` of the symbol's bar before (NULL for its first one).
 
     A symbol's history is cut into months, so no task sorts more of it than one
-    month, however long or hot it is; the last bar of each month, found by a
-    ``max_by`` that merges before the shuffle, is carried to the symbol's next
-    month that has bars.
+    month, however long or hot it is; the last bar of each month is carried to
+    the symbol's next month that has bars.  Symbol and month are one key, which
+    is never null, so the window, the months' last bars and the join with what is
+    carried share one shuffle of the bars.
     """
-    block = F.trunc("date", "month")
-    month = Window.partitionBy("symbol", "_block").orderBy("date")
-    near = bars.withColumn("_block", block).withColumn("_near", F.lag(F.struct(*values)).over(month))
-    last = bars.groupBy(F.col("symbol").alias("_symbol"), block.alias("_month")).agg(F.max_by(F.struct(*values), "date").alias("_last"))
-    months = Window.partitionBy("_symbol").orderBy("_month")  # a row per month
-    carried = last.select("_symbol", "_month", F.lag("_last").over(months).alias("_carried"))
-    same = F.col("symbol").eqNullSafe(F.col("_symbol")) & F.col("_block").eqNullSafe(F.col("_month"))
-    out = near.join(carried, same, "left")
+    dealt = bars.withColumn("_block", F.struct("symbol", F.trunc("date", "month").alias("month"))).drop("symbol").repartition("_block")
+    near = dealt.withColumn("_near", F.lag(F.struct(*values)).over(Window.partitionBy("_block").orderBy("date")))
+    last = dealt.groupBy("_block").agg(*[F.max_by(v, "date").alias(v) for v in values])  # hash maps: widths are fixed
+    months = Window.partitionBy("_block.symbol").orderBy("_block.month")  # a row per month
+    carried = last.select(F.col("_block").alias("_to"), F.lag(F.struct(*values)).over(months).alias("_carried"))
+    out = near.join(carried, F.col("_block") == F.col("_to"), "left").withColumn("symbol", F.col("_block.symbol"))
     return out.select(*bars.columns, F.coalesce("_near", "_carried").alias("_prev"))
 
 

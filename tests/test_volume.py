@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as E
+from growret.functions.returns import with_previous
 from growret.sources import fixtures, incremental
 from growret.sources.fixtures import line_cells, name_ranks, read_star
 from growret.sources.store import model_tables
@@ -59,6 +60,14 @@ def test_lines_are_dealt_out_before_they_are_combined(spark, star_dir, monkeypat
     assert cells.columns == ["l_suppkey", "d", "amt", "n", "name_rank", "px_first", "px_last", "px_high"]
 
 
+def test_bars_are_shuffled_once_for_their_previous_ones(spark):
+    bars = spark.createDataFrame([("1.TW", None, 1.0, 2.0), (None, None, 3.0, 4.0)], "symbol string, date date, w_close double, w_high double")
+    out = with_previous(bars)
+    assert out.count() == len(out.collect()) == 2
+    plan = _plan(out)
+    assert plan.count("REPARTITION_BY_COL") >= 1 and "ReusedExchange" in plan and "SortAggregate" not in plan
+
+
 def test_a_load_merges_lines_with_one_shuffle(spark, star_dir, tmp_path, monkeypatch):
     star, root = read_star(spark, star_dir), str(tmp_path / "root")
     lines = incremental.lines_as_cells(star["lineitem"], star["part"])
