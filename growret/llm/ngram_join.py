@@ -19,15 +19,20 @@
    or when the sizes rule it out.
 5. These links give components.  Lists that still hold several are joined in
    full, but only across components.  Components that meet the smallest one of a
-   list in ``OFTEN`` lists form clusters; a cluster of one block is a cell, to
-   which each set comes once.  Lists that no such cluster covers are joined one
-   by one, in cells of two blocks of ``BLOCK`` rows.  A cell first sees prefixes: an n-gram of one prefix that comes before the
-   end of the other in the global order, but is not in it, is missing in the
-   other set; only sets that keep a possible partner, not in their own whole
-   cluster, come to the cell.  The sets
-   of a cell walk its trie; a subtree of the walking set's own component is
-   skipped.  A pair inside one component needs no link, so no link between
-   components is lost and no group is expanded into all pairs.
+   list in ``OFTEN`` lists form clusters, whose classes meet once, not in each
+   list that they share, if these are not more pairs than in the lists.  Other
+   lists are cut by size where they are larger than a block, so that a set meets
+   its own part and the next ones only, and groups that have met are left out.
+   Rows meet in cells of two blocks of ``BLOCK`` rows.  A cell first sees
+   prefixes: sets that link share an n-gram of both; an n-gram of one prefix
+   that comes before the end of the other in the global order, but is not in it,
+   is missing in the other set; only sets that keep a possible partner come to
+   the cell.  Sets that don't have ``percent`` of their n-grams among the sets
+   of other components are left out there, the others walk its trie; a subtree
+   of the walking set's own component is skipped.  A cell sends links that join
+   components not joined by those before.  A pair inside one component needs no
+   link, so no link between components is lost and no group is expanded into all
+   pairs.
 
 Defined results: a null or empty text (or one without words) has an empty set
 and is linked with nothing; fewer words than an n-gram make one n-gram of all of
@@ -41,6 +46,7 @@ clashing names included, are dropped; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +71,8 @@ GROUP_BYTES, LEAST = 4 << 20, 64
 #: Steps of the counts' logarithm that order n-grams.
 SCALE = 8
 GIVEN = np.dtype("<u8")
-#: Kinds of cells: majors with minors, minors with minors, a whole cluster.
-MAJORS, MINORS, WHOLE = 0, 1, 2
+#: Kinds of cells, modulo ``KINDS``: rows of one part of a list, a cluster; other numbers are two parts.
+ONE_PART, CLUSTER, KINDS = 0, 2, 8
 
 
 def ngram_sets(texts: pa.Array, width: int):
@@ -127,8 +133,6 @@ class Trie:
         self.paths = [paths[k] for k in self.order]
         self.size = np.array([len(p) for p in self.paths])
         shared = [self._common(a, b) for a, b in zip(self.paths, self.paths[1:])]
-        # first row, past the last one, where the node's n-grams begin and end, children, least and greatest size
-        self.nodes: list[tuple] = []
         self._grow(np.array(shared, np.int64))
 
     @staticmethod
@@ -138,52 +142,97 @@ class Trie:
         return int(differ[0]) if len(differ) else n
 
     def _grow(self, shared: np.ndarray) -> None:
-        work = [(0, len(self.paths), 0, -1)]
+        work, nodes = [(0, len(self.paths), 0, -1)], []
         while work:
             lo, hi, depth, parent = work.pop()
             end = int(shared[lo : hi - 1].min()) if hi - lo > 1 else len(self.paths[lo])
-            index = len(self.nodes)
-            self.nodes.append((lo, hi, depth, end, [], int(self.size[lo:hi].min()), int(self.size[lo:hi].max())))
-            if parent >= 0:
-                self.nodes[parent][4].append(index)
+            index = len(nodes)
+            nodes.append((lo, hi, depth, end, parent))
             if hi - lo > 1:
                 cuts = [lo, *(np.flatnonzero(shared[lo : hi - 1] == end) + lo + 1).tolist(), hi]
                 work += [(a, b, end, index) for a, b in zip(cuts, cuts[1:])]
-
-    def linked(self, s: np.ndarray, percent: int, group: np.ndarray, own: int, alike: list[int | None]) -> list[int]:
+        # per node: first row, past the last one, where its n-grams begin and end in its rows; a leaf has one row
+        self.lo, self.hi, depth, self.end, parent = np.array(nodes, np.int64).T
+        self.flat = np.concatenate(self.paths)
+        row = np.cumsum(self.size) - self.size
+        self.begin, self.length = row[self.lo] + depth, self.end - depth
+        self.last = np.where(self.end > 0, self.flat[row[self.lo] + np.maximum(self.end, 1) - 1], -1)
+        self.least = np.array([self.size[a:b].min() for a, b in zip(self.lo, self.hi)])
+        self.most = np.array([self.size[a:b].max() for a, b in zip(self.lo, self.hi)])
+        self.below = np.argsort(parent, kind="stable")[1:]  # children, by parent (the root has none)
+        self.children = np.bincount(parent[1:], minlength=len(nodes))
+        self.child = np.cumsum(self.children) - self.children
+
+    def linked(self, s: np.ndarray, percent: int, group: np.ndarray, own: int, alike: np.ndarray) -> list[int]:
         """Sets (their numbers as given) that link with ``s``; those of ``group`` number ``own`` are left out.
 
-        ``group`` holds a number per row of the trie, ``alike`` the number that
-        all rows below a node share, or None.
+        ``group`` holds a number per row of the trie, ``alike`` says whether all
+        rows below a node share it.  The nodes of one depth are walked together.
         """
         at = np.minimum(np.searchsorted(self.names, s), len(self.names) - 1)
         mine = np.zeros(len(self.names) + 1, np.int64)
         mine[self.rank[at[self.names[at] == s]] + 1] = 1
         before = np.cumsum(mine)  # of s, by rank
         n, held, total, found = len(s), mine[1:], int(before[-1]), []
-        work = [(0, 0)]
-        while work:
-            node, both = work.pop()
-            if alike[node] == own:
-                continue
-            lo, hi, depth, end, below, least, most = self.nodes[node]
-            if 100 * min(n, most) < percent * max(n, least):
-                continue
-            path = self.paths[lo][depth:end]
-            both += int(held[path].sum())
-            left = total - int(before[self.paths[lo][end - 1] + 1]) if end else total  # of s, beyond this path in the order
-            if both + min(left, most - end) < needed(n, least, percent):
-                continue
-            if below:
-                work.extend((child, both) for child in below)
-            else:
-                found += [self.order[k] for k in range(lo, hi) if group[k] != own and both >= needed(n, int(self.size[k]), percent)]
-        return found
-
-    def alike(self, group: np.ndarray) -> list[int | None]:
-        """Per node the number that all its rows share in ``group``, or None."""
+        nodes, both = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            least, most = self.least[nodes], self.most[nodes]
+            fits = 100 * np.minimum(n, most) >= percent * np.maximum(n, least)
+            fits &= ~(alike[nodes] & (group[self.lo[nodes]] == own))
+            nodes, both, least, most = nodes[fits], both[fits], least[fits], most[fits]
+            summed = np.concatenate([[0], np.cumsum(held[self.flat[spans(self.begin[nodes], self.length[nodes])]])])
+            ends = np.cumsum(self.length[nodes])
+            both = both + summed[ends] - summed[ends - self.length[nodes]]
+            left = total - before[self.last[nodes] + 1]  # of s, beyond this path in the order
+            fits = both + np.minimum(left, most - self.end[nodes]) >= needed(n, least, percent)
+            nodes, both = nodes[fits], both[fits]
+            leaf = self.children[nodes] == 0
+            rows = self.lo[nodes[leaf]]
+            found.append(rows[(group[rows] != own) & (both[leaf] >= needed(n, self.size[rows], percent))])
+            count = self.children[nodes]
+            nodes, both = self.below[spans(self.child[nodes], count)], np.repeat(both, count)
+        return [self.order[k] for rows in found for k in rows]
+
+    def alike(self, group: np.ndarray) -> np.ndarray:
+        """Per node whether all its rows share one number of ``group``."""
         change = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
-        return [int(group[lo]) if change[lo] == change[hi - 1] else None for lo, hi, *_ in self.nodes]
+        return change[self.lo] == change[self.hi - 1]
+
+
+def spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1 .. of each span, one span after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def with_partner(
+    left: list[np.ndarray], left_group: np.ndarray, right: list[np.ndarray], right_group: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each side of whose n-grams the other side's rows of other groups hold ``percent`` in a hundred.
+
+    A set that links has so many of its n-grams in the other one.  A row that is
+    left out holds no n-gram for the next look.
+    """
+    stays = [np.arange(len(left)), np.arange(len(right))]
+    sides = [(left, np.asarray(left_group)), (right, np.asarray(right_group))]
+    while len(stays[0]) and len(stays[1]):
+        flat = []
+        for (sets, group), rows in zip(sides, stays):
+            size = np.array([len(sets[k]) for k in rows])
+            flat.append((np.concatenate([sets[k] for k in rows]), np.repeat(group[rows], size), size))
+        kept = []
+        for (grams, group, size), (theirs, their_group, _), rows in zip(flat, flat[::-1], stays):
+            order = np.argsort(theirs, kind="stable")
+            theirs, their_group = theirs[order], their_group[order]
+            first = np.flatnonzero(np.concatenate([[True], theirs[1:] != theirs[:-1]]))
+            names, low, high = theirs[first], np.minimum.reduceat(their_group, first), np.maximum.reduceat(their_group, first)
+            at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+            held = (names[at] == grams) & ((low[at] != group) | (high[at] != group))
+            kept.append(rows[100 * np.add.reduceat(held.astype(np.int64), np.cumsum(size) - size) >= percent * size])
+        done = all(10 * len(k) > 9 * len(rows) for k, rows in zip(kept, stays))
+        stays = kept
+        if done:
+            break
+    return stays[0], stays[1]
 
 
 def trie_links(
@@ -204,6 +253,23 @@ def trie_links(
                 yield k, r
 
 
+def joining(links, left_comp, right_comp):
+    """The links that join two components not yet joined by those before."""
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = above.get(up, up)
+            c = up
+        return c
+
+    for k, r in links:
+        a, b = top(int(left_comp[k])), top(int(right_comp[r]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            yield k, r
+
+
 def scan(docs: DataFrame, width: int, percent: int, limit: np.uint64) -> DataFrame:
     """``doc_id, t, n, set_id, head`` of each row: ``t`` names its text, ``set_id`` its set; the head is packed."""
 
@@ -244,10 +310,10 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, percent: int, limit: np.uint64) -> DataFrame:
-    """``v, n, most, grams, steps``: the prefix of each class in the global order, without n-grams that it alone has.
+    """``v, n, most, grams, steps, kept``: the prefix of each class in the global order, without n-grams that it alone has.
 
     ``most`` is the greatest overlap with another class that these leave;
-    ``steps`` has the scale of counts, a byte per n-gram.
+    ``steps`` has the scale of counts, a byte per n-gram; ``kept`` is ``grams`` as bytes.
     """
     size = rows.agg(F.sum(F.length("head")).alias("bytes")).first()["bytes"] or 0
     groups = max(LEAST, -(-size // GROUP_BYTES))
@@ -320,12 +386,13 @@ def prefixes(rows: DataFrame, percent: int, limit: np.uint64) -> DataFrame:
                 "most": pa.array(most, pa.int64()),
                 "grams": pa.array(kept, pa.list_(pa.int64())),
                 "steps": pa.array(steps, pa.binary()),
+                "kept": pa.array([x.tobytes() for x in kept], pa.binary()),
             }
         )
 
     sent = dealt.groupBy("g").applyInArrow(send, "part long, g int, grams binary, more binary")
     answers = sent.groupBy("part").applyInArrow(meet, "g int, part long, steps binary")
-    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(post, "v binary, n long, most long, grams array<long>, steps binary")
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(post, "v binary, n long, most long, grams array<long>, steps binary, kept binary")
 
 
 def _more(count: np.ndarray) -> bytes:
@@ -443,94 +510,116 @@ def links_across(
 ) -> DataFrame:
     """Links ``a, b`` (vertices) between different components that meet in a list.
 
-    In a large cluster the rows of a list's largest component are its majors,
-    all others its minors; majors meet minors, and minors each other.
+    Components that meet the smallest one of a list in ``OFTEN`` lists form
+    clusters.  A cluster's classes meet once, whatever the number of lists that
+    they share, if these are not fewer pairs than in its lists.  Elsewhere the
+    rows of a list meet that are of different groups (cluster or component).  A
+    list of more than a block is cut into parts by size, so that a set can link
+    in its own part and the two next to it only; rows of its largest group, if
+    these are more than a block, are parts of their own, which meet the others'.
     """
     of = classes.select("v", "u").join(comps.withColumnRenamed("v", "u"), "u", "left").select("v", F.coalesce("comp", "u").alias("comp"))
-    mine = lists.select("gram", "v", "n").join(of, "v")
-    per = mine.groupBy("gram", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    split = stored(
-        per.groupBy("gram")
-        .agg(
-            F.max(F.struct("rows", "comp", "grams")).alias("top"),
-            F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("comps"),
-            F.min("comp").alias("lowest"),
-        )
-        .filter("comps > 1")
-        .select(
-            "gram",
-            F.col("top.comp").alias("major"),
-            "lowest",
-            _blocks(F.col("top.rows"), F.col("top.grams")).alias("bm"),
-            _blocks(F.col("rows") - F.col("top.rows"), F.col("grams") - F.col("top.grams")).alias("bq"),
-        )
-    )
-    mixed = stored(mine.join(split, "gram"))
+    mine = lists.select("gram", "v", "n", "most").join(of, "v")
+    several = mine.groupBy("gram").agg(F.min("comp").alias("lowest"), F.max("comp").alias("highest")).filter("lowest < highest")
+    mixed = stored(mine.join(several.select("gram", "lowest"), "gram"))
     met = mixed.filter("comp <> lowest").select("gram", F.col("lowest").alias("a"), F.col("comp").alias("b")).distinct()
     meet = met.groupBy("a", "b").agg(F.count("*").alias("lists")).filter(F.col("lists") >= OFTEN).select("a", "b")
     clusters = stored(components(meet).select(F.col("v").alias("comp"), F.col("comp").alias("cluster")))
-    classed = stored(mixed.select("v", "comp", "n").distinct().join(clusters, "comp"))
-    sizes = stored(classed.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")))
-    place = [F.lit(x).cast("int").alias(c) for c, x in (("kind", WHOLE), ("i", 0), ("j", 0), ("side", 0))]
-    whole = sizes.filter("blocks = 1").select("cluster")
-    small = classed.join(whole, "cluster").select(F.col("cluster").alias("gram"), *place, F.col("comp").alias("grp"), "comp", "v")
-    # what met in its whole cluster need not meet again
-    placed = stored(mixed.join(clusters.join(whole, "cluster"), "comp", "left").withColumn("grp", F.coalesce("cluster", "comp")))
-    open_lists = placed.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("gram")
-    rows = placed.join(open_lists, "gram").withColumn("is_major", F.expr("comp = major"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.when(F.col("is_major"), F.col("bm")).otherwise(F.col("bq"))).cast("int"))
-    cell = "struct<kind:int,i:int,j:int,side:int>"
-    majors = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct({MAJORS}, own, x, 0) as {cell}))")
-    minors = F.expr(f"transform(sequence(0, bm - 1), x -> cast(struct({MAJORS}, x, own, 1) as {cell}))")
-    others = F.expr(f"transform(sequence(0, bq - 1), x -> cast(struct({MINORS}, least(own, x), greatest(own, x), int(own > x)) as {cell}))")
-    dealt = rows.withColumn("c", F.explode(F.when(F.col("is_major"), majors).otherwise(F.concat(minors, others))))
-    cells = dealt.select("gram", "c.*", "v", "grp", "comp").join(posted, "v")
+    clustered = mixed.join(clusters, "comp")
+    classed = stored(clustered.select("v", "comp", "n", "cluster").distinct())
+    in_lists = clustered.groupBy("gram", "cluster").agg(F.count("*").alias("rows")).groupBy("cluster").agg(F.sum(F.col("rows") * F.col("rows")).alias("pairs"))
+    sizes = classed.groupBy("cluster").agg(F.count("*").alias("rows"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    joint = stored(sizes.join(in_lists, "cluster").filter("rows * rows <= pairs").select("cluster", "blocks"))
+    # what meets in its cluster need not meet in lists
+    placed = stored(mixed.join(clusters.join(joint, "cluster"), "comp", "left").withColumn("grp", F.coalesce("cluster", "comp")).select("gram", "v", "n", "most", "comp", "grp"))
+    per = placed.groupBy("gram", "grp").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    split = (
+        per.groupBy("gram")
+        .agg(F.max(F.struct("rows", "grp")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("grps"))
+        .filter("grps > 1")
+        .select("gram", (_blocks(F.col("rows"), F.col("grams")) > 1).alias("large"), F.when(F.col("top.rows") > BLOCK, F.col("top.grp")).alias("largest"))
+    )
+    width = math.log(100 / percent) * 1.0001 + 1e-9  # sizes that can link are less than this apart, in logarithms
+    step = lambda size: F.floor(F.log(size.cast("double")) / width)
+    rows = placed.join(split, "gram").withColumn("major", F.coalesce(F.col("grp") == F.col("largest"), F.lit(False)))
+    rows = stored(rows.withColumn("step", F.when(F.col("large"), step(F.col("n"))).otherwise(F.lit(0))).drop("largest"))
+    parts = stored(rows.groupBy("gram", "step", "major").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), F.min("grp").alias("lo"), F.max("grp").alias("hi")))
+    low, high = parts.alias("low"), parts.alias("high")
+    apart = F.col("high.step") - F.col("low.step")
+    meet = low.join(high, (F.col("low.gram") == F.col("high.gram")) & apart.between(0, 1))
+    meet = meet.filter(F.expr("not (low.major and high.major) and least(low.lo, high.lo) < greatest(low.hi, high.hi)"))
+    meet = meet.filter((apart == 1) | ~F.col("low.major"))
+    kind = (F.col("low.step") * KINDS + apart * 4 + F.col("low.major").cast("int") * 2 + F.col("high.major").cast("int")).alias("kind")
+    of_part = lambda mine, other, side: meet.select(f"{mine}.gram", f"{mine}.step", f"{mine}.major", F.col(f"{mine}.blocks").alias("blocks"), F.col(f"{other}.blocks").alias("others"), kind, F.lit(side).alias("side"))
+    sent = of_part("low", "high", 0).union(of_part("high", "low", 1).filter(f"kind % {KINDS} <> {ONE_PART}"))
+    block = lambda of: F.pmod(F.xxhash64("v"), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    inside = ["least(own, x) AS i", "greatest(own, x) AS j", "int(own > x) AS side"]
+    dealt = rows.join(sent, ["gram", "step", "major"])
+    # the greatest and the least size that a set can link with
+    reach = F.floor(F.col("most") * (100 + percent) / percent) - F.col("n")
+    lower = F.ceil(F.col("n") * percent / 100)
+    next_part = F.when(F.col("side") == 0, step(F.greatest(reach, F.lit(1))) > F.col("step")).otherwise(step(lower) < F.col("step"))
+    dealt = dealt.filter((F.col("kind") % KINDS < 4) | next_part)
+    dealt = dealt.withColumn("own", block(F.col("blocks"))).withColumn("x", each("others"))
+    one = dealt.filter(f"kind % {KINDS} = {ONE_PART}").selectExpr("gram", "kind", *inside, "v", "grp", "comp")
+    two = dealt.filter(f"kind % {KINDS} <> {ONE_PART}").selectExpr("gram", "kind", "if(side = 0, own, x) AS i", "if(side = 0, x, own) AS j", "side", "v", "grp", "comp")
+    of_clusters = classed.join(joint, "cluster").withColumn("own", block(F.col("blocks"))).withColumn("x", each("blocks"))
+    of_clusters = of_clusters.selectExpr("cluster AS gram", f"{CLUSTER}L AS kind", *inside, "v", "comp AS grp", "comp")
+    cells = one.unionByName(two).unionByName(of_clusters)
+    cells = cells.join(posted.select("v", "n", "most", "steps", "kept"), "v")
     by = ["gram", "kind", "i", "j"]
 
     def sides(key, cell) -> tuple[list[int], list[int]]:
-        alone = key[1] != MAJORS and key[2] == key[3]
+        alone = key[1] % KINDS in (ONE_PART, CLUSTER) and key[2] == key[3]
         return [k for k, x in enumerate(cell["side"]) if x == 0], [k for k, x in enumerate(cell["side"]) if x == (0 if alone else 1)]
 
     def possible(key, cell):
-        """The rows of a cell that have a partner of another component whose prefix leaves a link possible."""
-        left, right = sides(key, cell)
-        n, most, grp = (np.array(cell[c]) for c in ("n", "most", "grp"))
-        need = needed(n[left], n[right][:, None], percent)
-        open_ = (np.minimum(most[left], most[right][:, None]) >= need) & (grp[left] != grp[right][:, None])
-        used = np.flatnonzero(open_.any(axis=0))
-        if not len(used):
+        """The rows of a cell that have a partner of another group whose prefix leaves a link possible."""
+        left, right = (np.array(x, np.int64) for x in sides(key, cell))
+        if not len(left) or not len(right):
             return []
-        left, need, open_ = [left[k] for k in used], need[:, used], open_[:, used]
-        grams = {k: np.array(cell["grams"][k], np.int64) for k in {*left, *(right[r] for r in np.flatnonzero(open_.any(axis=1)))}}
-        order = {k: keys(g, cell["steps"][k], limit) for k, g in grams.items()}
+        n, most, grp = (np.array(cell[c]) for c in ("n", "most", "grp"))
+        grams = [np.frombuffer(x, np.int64) for x in cell["kept"]]
+        order = [keys(g, x, limit) for g, x in zip(grams, cell["steps"])]
+        size = np.array([len(grams[k]) for k in left])
         all_grams, all_keys = (np.concatenate([x[k] for k in left]) for x in (grams, order))
-        holder = np.repeat(np.arange(len(left)), [len(grams[k]) for k in left])
+        holder, begin = np.repeat(np.arange(len(left)), size), np.cumsum(size) - size
         sort = np.argsort(all_grams, kind="stable")
         sorted_grams, sorted_holder = all_grams[sort], holder[sort]
         last = np.array([order[k][-1] for k in left])
-        alive = set()
-        for r in np.flatnonzero(open_.any(axis=1)):
-            k = right[r]
+        alive = np.zeros(len(grams), bool)
+        for k in right:
+            need = needed(n[left], n[k], percent)
+            fits = np.flatnonzero((np.minimum(most[left], most[k]) >= need) & (grp[left] != grp[k]))
+            if not len(fits):
+                continue
             lo, hi = np.searchsorted(sorted_grams, grams[k]), np.searchsorted(sorted_grams, grams[k], side="right")
-            at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())
-            both = np.bincount(sorted_holder[at], minlength=len(left))
-            before = np.searchsorted(order[k], last)  # of the right prefix, before the left one's end
-            after = np.bincount(holder[all_keys < order[k][-1]], minlength=len(left))
-            reach = np.minimum(most[k] - np.maximum(before - both, 0), most[left] - np.maximum(after - both, 0))
-            fits = np.flatnonzero(open_[r] & (reach >= need[r]))
+            both = np.bincount(sorted_holder[spans(lo, hi - lo)], minlength=len(left))
+            fits = fits[both[fits] > 0]
+            before = np.searchsorted(order[k], last[fits])  # of the right prefix, before the left one's end
+            fits = fits[most[k] - np.maximum(before - both[fits], 0) >= need[fits]]
+            if not len(fits):
+                continue
+            summed = np.concatenate([[0], np.cumsum(all_keys[spans(begin[fits], size[fits])] < order[k][-1])])
+            ends = np.cumsum(size[fits])
+            after = summed[ends] - summed[ends - size[fits]]
+            fits = fits[most[left[fits]] - np.maximum(after - both[fits], 0) >= need[fits]]
             if len(fits):
-                alive.add(k)
-                alive.update(left[x] for x in fits)
-        return [(*key, cell["side"][k], cell["grp"][k], cell["comp"][k], cell["v"][k]) for k in alive]
+                alive[k] = True
+                alive[left[fits]] = True
+        return [(*key, cell["side"][k], cell["grp"][k], cell["comp"][k], cell["v"][k]) for k in np.flatnonzero(alive)]
 
-    near = _cells(cells, by, possible, "gram long, kind int, i int, j int, side int, grp long, comp long, v binary")
-    full = stored(small.unionByName(near)).join(sets, "v")
+    near = _cells(cells, by, possible, "gram long, kind long, i int, j int, side int, grp long, comp long, v binary")
+    full = stored(near).join(sets, "v")
 
     def walk(key, cell):
         left, right = sides(key, cell)
         sets, u, grp, comp = _unpacked(cell["s"]), cell["u"], np.array(cell["grp"]), np.array(cell["comp"])
+        x, y = with_partner([sets[k] for k in left], grp[left], [sets[k] for k in right], grp[right], percent)
+        left, right = [left[k] for k in x], [right[k] for k in y]
         found = trie_links([sets[k] for k in left], grp[left], [sets[k] for k in right], grp[right], percent, comp[left])
-        return [(u[left[k]], u[right[r]]) for k, r in found]
+        return [(u[left[k]], u[right[r]]) for k, r in joining(found, comp[left], comp[right])]
 
     return _cells(full, by, walk, "a long, b long").distinct()
 

@@ -6,7 +6,7 @@ import pytest
 
 from growret.llm import ngram_join
 from growret.llm.arrays import U64
-from growret.llm.ngram_join import ORACLE, jaccard_join, needed, op13_ngram_join, prefix_size, trie_links
+from growret.llm.ngram_join import ORACLE, jaccard_join, joining, needed, op13_ngram_join, prefix_size, trie_links, with_partner
 from tests.llm.cases import collected, frame, messy_docs, sentence
 from tests.llm.test_arrays import thue_morse
 from tests.llm.test_near_dedup import brute, edited
@@ -72,6 +72,50 @@ def test_join_equals_brute_force(spark, monkeypatch, seed):
     assert run(spark, rows) == expected(rows)
 
 
+def test_lists_without_clusters_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)  # lists are cut by size, their largest groups apart
+    monkeypatch.setattr(ngram_join, "OFTEN", 10**9)
+    rows = near_copies(4)
+    assert run(spark, rows) == expected(rows)
+
+
+def test_a_group_meets_once_not_in_each_list(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    dealt, cells = [], ngram_join._cells
+
+    def counted(df, keys, *more):
+        if keys == ["gram", "kind", "i", "j"]:
+            dealt.append(df.count())
+        return cells(df, keys, *more)
+
+    monkeypatch.setattr(ngram_join, "_cells", counted)
+    r, base = random.Random(5), sentence(50, 150, 5000)
+    rows = [(k, edited(base, r, 4)) for k in range(48)]
+    assert run(spark, rows) == expected(rows)
+    assert 0 < dealt[0] <= 2 * 48 * 48 // 8  # a row to each block of the group
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_only_rows_without_links_are_left_out(percent):
+    r = np.random.default_rng(percent)
+    for _ in range(60):
+        cores = [r.integers(0, 60, r.integers(3, 30)) for _ in range(4)]
+        sets = [np.unique(np.concatenate([cores[r.integers(4)], r.integers(0, 99, r.integers(1, 6))])).astype(U64) for _ in range(40)]
+        group = r.integers(-1, 9, 40)
+        x, y = with_partner(sets[:25], group[:25], sets[25:], group[25:], percent)
+        both = np.array([[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]])
+        size = np.array([len(s) for s in sets])
+        linked = (100 * both >= percent * (size[:25, None] + size[25:] - both)) & (group[:25, None] != group[25:])
+        assert set(np.flatnonzero(linked.any(axis=1))) <= set(x) and set(np.flatnonzero(linked.any(axis=0))) <= set(y)
+    unlike = [np.arange(k, k + 5).astype(U64) for k in (0, 100)]
+    assert [len(k) for k in with_partner(unlike, [1, 2], unlike, [1, 2], percent)] == [0, 0]
+
+
+def test_a_link_of_joined_components_is_not_sent_again():
+    links = [(0, 0), (1, 0), (0, 1), (1, 1), (2, 1)]
+    assert list(joining(links, [5, 6, 7], [1, 2])) == [(0, 0), (1, 0), (0, 1), (2, 1)]
+
+
 def test_other_width_and_similarity(spark):
     rows = near_copies(2)
     assert run(spark, rows, 3, 60) == expected(rows, 3, 60)
